@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from palaver.llm.bpe import op7_bpe
+from palaver.llm.minhash import op9_minhash
 
 
 def queries() -> dict:
-    return {"op7_bpe": op7_bpe}
+    return {"op7_bpe": op7_bpe, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
