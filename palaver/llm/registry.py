@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from palaver.llm.bpe import op7_bpe
+from palaver.llm.html import op1_html
 from palaver.llm.langid import op8_langid
 from palaver.llm.minhash import op9_minhash
 
 
 def queries() -> dict:
-    return {"op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_minhash": op9_minhash}
+    return {"op1_html": op1_html, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
