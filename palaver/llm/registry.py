@@ -6,10 +6,11 @@ from palaver.llm.bpe import op7_bpe
 from palaver.llm.html import op1_html
 from palaver.llm.langid import op8_langid
 from palaver.llm.minhash import op9_minhash
+from palaver.llm.warc import op3_warc
 
 
 def queries() -> dict:
-    return {"op1_html": op1_html, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_minhash": op9_minhash}
+    return {"op1_html": op1_html, "op3_warc": op3_warc, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
