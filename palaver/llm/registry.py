@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 from palaver.llm.bpe import op7_bpe
+from palaver.llm.decontaminate import op4_decontaminate
 from palaver.llm.html import op1_html
 from palaver.llm.langid import op8_langid
+from palaver.llm.linededup import op10_linededup
 from palaver.llm.minhash import op9_minhash
+from palaver.llm.substring import op5_substring
 from palaver.llm.warc import op3_warc
 
 
 def queries() -> dict:
-    return {"op1_html": op1_html, "op3_warc": op3_warc, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_minhash": op9_minhash}
+    return {
+        "op1_html": op1_html,
+        "op3_warc": op3_warc,
+        "op4_decontaminate": op4_decontaminate,
+        "op5_substring": op5_substring,
+        "op7_bpe": op7_bpe,
+        "op8_langid": op8_langid,
+        "op9_minhash": op9_minhash,
+        "op10_linededup": op10_linededup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
