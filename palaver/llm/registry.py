@@ -9,12 +9,14 @@ from palaver.llm.langid import op8_langid
 from palaver.llm.linededup import op10_linededup
 from palaver.llm.minhash import op9_minhash
 from palaver.llm.substring import op5_substring
+from palaver.llm.toxicity import op2_toxicity
 from palaver.llm.warc import op3_warc
 
 
 def queries() -> dict:
     return {
         "op1_html": op1_html,
+        "op2_toxicity": op2_toxicity,
         "op3_warc": op3_warc,
         "op4_decontaminate": op4_decontaminate,
         "op5_substring": op5_substring,
