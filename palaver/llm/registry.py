@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from palaver.llm.bpe import op7_bpe
 from palaver.llm.decontaminate import op4_decontaminate
+from palaver.llm.egojoin import op6_embedding
 from palaver.llm.html import op1_html
 from palaver.llm.langid import op8_langid
 from palaver.llm.linededup import op10_linededup
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_warc": op3_warc,
         "op4_decontaminate": op4_decontaminate,
         "op5_substring": op5_substring,
+        "op6_embedding": op6_embedding,
         "op7_bpe": op7_bpe,
         "op8_langid": op8_langid,
         "op9_minhash": op9_minhash,
