@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from palaver.llm.shared import materialize, new_path, table
 
 REVISIT_BYTES = 100
+#: Repeated payloads up to which their table (about 100 bytes a row) is broadcast; beyond, the join is shuffled.
+BROADCAST_ROWS = 100_000
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -54,7 +56,10 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("bigint")).withColumn("digest", F.sha2("payload", 256))
     same = rows.where(f"size >= {REVISIT_BYTES}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    rows = rows.join(same, "digest", "left").select("page_id", "url", "payload", "size", "digest", "first")
+    # repeated payloads are few as a rule; then the pages themselves need no shuffle
+    same = materialize(same, "warc-same")
+    few = same.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(same) if few else same.hint("merge"), "digest", "left").select("page_id", "url", "payload", "size", "digest", "first")
 
     def run(batches):
         yield pa.RecordBatch.from_arrays([pa.array([_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:palaver:info>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"software: palaver\r\nformat: WARC File Format 1.1\r\n")], pa.binary())], ["value"])
