@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.shared import U64, mix, table
+from palaver.llm.shared import U64, KeyBits, materialize, mix, table
 
 Q = 8
 EDIT_SHARE = 0.10
@@ -294,7 +294,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark passage; rows without a doc_id stay."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    bad = materialize(leaks(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "leaking")
+    return without(docs, bad)
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``bad`` (doc_id); only rows that may be in it are shuffled."""
+    bits = KeyBits(bad, "doc_id")
+    return bits.maybe(docs, "doc_id", present=False).unionByName(bits.maybe(docs, "doc_id").join(bad, "doc_id", "left_anti").select(*docs.columns))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

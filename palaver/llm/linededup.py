@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.shared import discard, materialize, table
+from palaver.llm.shared import KeyBits, discard, materialize, table
 
 WINDOW, DIVISOR, LEAST_LINES = 2, 4, 2
 _CONTENT = frozenset(range(48, 58)) | frozenset(range(65, 91)) | frozenset(range(97, 123)) | frozenset(range(128, 256))
@@ -76,6 +76,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     discard(found)
     # bytes of the chunks in question: each document's wanted chunk numbers go to its text
     wanted = again.groupBy("doc_id").agg(F.collect_set("chunk").alias("chunks"))
+    held = KeyBits(again.select("doc_id").distinct(), "doc_id").maybe(docs.select("doc_id", "text"), "doc_id")
 
     def fetch(batches):
         for batch in batches:
@@ -85,7 +86,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
                 rows += [(doc, k, parts[k][3]) for k in numbers if k < len(parts)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "chunk", "raw"])
 
-    raw = materialize(docs.join(wanted, "doc_id").select("doc_id", "text", "chunks").mapInArrow(fetch, "doc_id bigint, chunk int, raw binary"), "line-bytes")
+    raw = materialize(held.join(wanted, "doc_id").select("doc_id", "text", "chunks").mapInArrow(fetch, "doc_id bigint, chunk int, raw binary"), "line-bytes")
     pairs = again.where("doc_id <> first_doc_id or chunk <> first_chunk").select("doc_id", "chunk", "first_doc_id", "first_chunk")
     theirs = raw.select(F.col("doc_id").alias("first_doc_id"), F.col("chunk").alias("first_chunk"), F.col("raw").alias("first_raw"))
     same = pairs.join(raw, ["doc_id", "chunk"]).join(theirs, ["first_doc_id", "first_chunk"]).where("raw = first_raw")
@@ -98,9 +99,15 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with repeated chunks of lines removed from the text; with ``counts`` also n_lines, n_removed."""
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = repeated_chunks(narrow).groupBy("doc_id").agg(F.collect_set("chunk").alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
+    same = repeated_chunks(narrow)
+    gone = same.groupBy("doc_id").agg(F.collect_set("chunk").alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
     names = docs.columns
-    joined = docs.join(gone, F.col(id_col).cast("bigint") == F.col("_gone_id"), "left").select(*[docs[c] for c in names], "_gone")
+    # only texts that may lose lines meet their lists; the others go straight from the scan to the result
+    bits = KeyBits(same.select("doc_id").distinct(), "doc_id")
+    keyed = docs.withColumn("_key", F.col(id_col).cast("bigint"))
+    touched = bits.maybe(keyed, "_key").join(gone, F.col("_key") == F.col("_gone_id"), "left").select(*names, "_gone")
+    rest = bits.maybe(keyed, "_key", present=False).select(*names, F.lit(None).cast("array<int>").alias("_gone"))
+    joined = touched.unionByName(rest)
     at = names.index(text_col)
     schema = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema) + (", n_lines bigint, n_removed bigint" if counts else "")
 

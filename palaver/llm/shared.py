@@ -135,3 +135,47 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     before = np.where(first > 0, total[np.maximum(first - 1, 0)], U64(0))
     hashes = mix((total[last] - before) * down[first])
     return hashes, first, last + 1, np.searchsorted(first, offsets)
+
+
+# ---------------------------------------------------------------- prefilters by a bitmap of keys
+
+#: Bits of a key bitmap: sixteen for each key, at least and at most these (128 MB); a fuller one only filters less.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 30
+
+
+class KeyBits:
+    """A bitmap of the hashes of keys: tells for certain that a key is absent, and mostly that it is present.
+
+    It replaces the shuffle of a wide table for the sake of few of its rows: rows whose bit is clear never leave the
+    scan.  Executors build it; its size is bounded, and an exact join afterwards takes care of the false positives.
+    """
+
+    def __init__(self, keys: DataFrame, column: str):
+        spark = keys.sparkSession
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, keys.count()) - 1).bit_length()))
+        at = self.place(column) + 1
+        parts = keys.where(F.col(column).isNotNull()).select(at.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
+        table = np.zeros(self.bits // 8, np.uint8)
+        for r in parts:
+            part = np.frombuffer(bytes(r.m), np.uint8)
+            table[(r.n - 1) * 4096 : r.n * 4096] = part[: len(table) - (r.n - 1) * 4096]
+        self.sent = spark.sparkContext.broadcast(table)
+
+    def place(self, column: str):
+        return F.pmod(F.xxhash64(column), F.lit(self.bits))
+
+    def maybe(self, df: DataFrame, column: str, present: bool = True) -> DataFrame:
+        """Rows of ``df`` whose key may be among the keys; with ``present=False`` the others, null keys included."""
+        sent, n = self.sent, len(df.columns)
+
+        def run(batches):
+            table = sent.value
+            for batch in batches:
+                at = batch.column(n).fill_null(0).to_numpy(zero_copy_only=False)
+                hit = ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & np.asarray(batch.column(n).is_valid())
+                kept = batch.select(list(range(n))).filter(pa.array(hit if present else ~hit))
+                if kept.num_rows:
+                    yield kept
+
+        flagged = df.withColumn("_palaver_bit", F.when(F.col(column).isNotNull(), self.place(column)))
+        return flagged.mapInArrow(run, df.schema)

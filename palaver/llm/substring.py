@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.shared import U64, discard, materialize, mix, table, text_runs
+from palaver.llm.shared import U64, KeyBits, discard, materialize, mix, table, text_runs
 
 REACH = 24
 WORDS = 50
@@ -158,7 +158,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # one row per pair of documents; its seeds are chunks of the one document
     pairs = seeds.groupBy("doc_id", "first_doc_id").agg(F.collect_list(F.struct("start", "there", "size")).alias("seeds"))
     needed = seeds.select("doc_id").union(seeds.select(F.col("first_doc_id").alias("doc_id"))).distinct()
-    texts = materialize(docs.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")), "texts")
+    texts = materialize(KeyBits(needed, "doc_id").maybe(docs, "doc_id").groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")), "texts")
     held = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("first_doc_id"), F.col("text").alias("other")), "first_doc_id")
     return held.select("doc_id", "first_doc_id", "seeds", "text", "other").mapInArrow(_extend, SPANS)
 
