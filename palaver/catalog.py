@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palaver.plans import queries_calls
+from palaver.plans import queries_calls, queries_rollups
 
-_MODULES = [queries_calls]
+_MODULES = [queries_calls, queries_rollups]
 
 
 def queries() -> dict:

@@ -92,7 +92,7 @@ def resolve_names(evidence: DataFrame) -> DataFrame:
     """
     named = evidence.where("coalesce(name, '') <> ''").withColumn("_key", F.lower(T.strip("name")))
     per = named.groupBy("cluster_id", "_key").agg(
-        F.sum("confidence").alias("score"),
+        F.round(F.sum("confidence"), 9).alias("score"),
         F.count("*").alias("n"),
         F.min("pos").alias("first_pos"),
         F.coalesce(F.max_by("name", F.when(F.col("confidence") > 0.8, F.col("pos"))), F.min_by("name", "pos")).alias("spelling"),

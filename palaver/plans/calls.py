@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +48,7 @@ def with_model(calls: DataFrame, complete: Callable[[str], str | None] | None =
     """
     if complete is None:
         return calls.withColumn(column, F.lit(None).cast("string"))
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def ask(prompts: pd.Series) -> pd.Series:
+    def ask_all(prompts):
         def one(p):
             try:
                 return None if p is None else complete(p)
@@ -59,4 +57,6 @@ def with_model(calls: DataFrame, complete: Callable[[str], str | None] | None =
 
         return prompts.map(one)
 
+    ask_all.__annotations__ = {"prompts": pd.Series, "return": pd.Series}
+    ask = F.pandas_udf(ask_all, "string")
     return calls.withColumn(column, ask(F.col("text") if prompt is None else prompt))

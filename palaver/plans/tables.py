@@ -68,7 +68,7 @@ USAGE = "usage AS (SELECT l_returnflag AS model, CASE WHEN l_linestatus = 'O' TH
 
 def episodes(spark: SparkSession, d: str) -> DataFrame:
     """Orders as episodes: the priority is the task type, the price the overall score."""
-    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("task_type"), F.col("o_orderkey").alias("pos"), F.col("o_orderdate").alias("timestamp"), F.round(F.col("o_totalprice") / 50000, 1).alias("score"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("custkey"))
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("task_type"), F.col("o_orderkey").alias("pos"), F.col("o_orderdate").alias("timestamp"), F.round(F.col("o_totalprice") / 50000, 4).alias("score"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("custkey"))
 
 
-EPISODES = "ep AS (SELECT o_orderpriority AS task_type, o_orderkey AS pos, o_orderdate AS ts, round(o_totalprice / 50000, 1) AS score, o_orderstatus AS status, o_custkey AS custkey FROM orders)"
+EPISODES = "ep AS (SELECT o_orderpriority AS task_type, o_orderkey AS pos, o_orderdate AS ts, round(o_totalprice / 50000, 4) AS score, o_orderstatus AS status, o_custkey AS custkey FROM orders)"
