@@ -252,7 +252,7 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str, most: int):
         yield sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
 
 
-_INDEXES: dict[int, Index] = {}
+_INDEXES: dict[int, tuple[list, Index]] = {}
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_chars: int = SLICE_CHARS) -> DataFrame:
@@ -263,10 +263,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):
+            # the passages are kept beside their index: an id is only reused once its object is gone
             if id(sent.value) not in _INDEXES:
                 _INDEXES.clear()
-                _INDEXES[id(sent.value)] = Index(sent.value)
-            index = _INDEXES[id(sent.value)]
+                _INDEXES[id(sent.value)] = (sent.value, Index(sent.value))
+            index = _INDEXES[id(sent.value)][1]
             for batch in batches:
                 n = batch.num_rows
                 i = 0
