@@ -150,8 +150,9 @@ class KeyBits:
     scan.  Executors build it; its size is bounded, and an exact join afterwards takes care of the false positives.
     """
 
-    def __init__(self, keys: DataFrame, column: str):
+    def __init__(self, keys: DataFrame, column: str, hashed: bool = False):
         spark = keys.sparkSession
+        self.hashed = hashed  # the keys are random numbers already
         self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, keys.count()) - 1).bit_length()))
         at = self.place(column) + 1
         parts = keys.where(F.col(column).isNotNull()).select(at.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
@@ -162,7 +163,7 @@ class KeyBits:
         self.sent = spark.sparkContext.broadcast(table)
 
     def place(self, column: str):
-        return F.pmod(F.xxhash64(column), F.lit(self.bits))
+        return F.pmod(F.col(column) if self.hashed else F.xxhash64(column), F.lit(self.bits))
 
     def maybe(self, df: DataFrame, column: str, present: bool = True) -> DataFrame:
         """Rows of ``df`` whose key may be among the keys; with ``present=False`` the others, null keys included."""

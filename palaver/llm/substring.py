@@ -7,8 +7,7 @@ first place, the smallest (doc_id, start); the texts of both documents are then
 the whole equal stretch counts if it has more than ``WORDS`` words.
 
 Cases: null and empty texts have no chunks; rows without a doc_id and repeats inside one document are not reported;
-of rows that repeat a doc_id with different texts, the longest text is compared; a text without any boundary is one
-chunk; an empty table gives an empty table; further columns don't matter.
+different texts under one doc_id are compared each; a text without any boundary is one chunk; an empty table gives an empty table; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -150,17 +149,21 @@ def _extend(batches):
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stretches of bytes [start, end) of a document that an earlier document (first_doc_id) holds too."""
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     found = materialize(docs.mapInArrow(_chunk, "doc_id bigint, start int, size int, digest bigint"), "chunks")
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("there"))
-    seeds = materialize(found.join(first, "digest").where("doc_id <> first_doc_id").select("doc_id", "first_doc_id", "start", "there", "size"), "seeds")
+    first = materialize(first, "first-chunks")
+    again = KeyBits(first, "digest", hashed=True).maybe(found, "digest")
+    seeds = materialize(again.join(first, "digest").where("doc_id <> first_doc_id").select("doc_id", "first_doc_id", "start", "there", "size"), "seeds")
     discard(found)
+    discard(first)
     # one row per pair of documents; its seeds are chunks of the one document
-    pairs = seeds.groupBy("doc_id", "first_doc_id").agg(F.collect_list(F.struct("start", "there", "size")).alias("seeds"))
-    needed = seeds.select("doc_id").union(seeds.select(F.col("first_doc_id").alias("doc_id"))).distinct()
-    texts = materialize(KeyBits(needed, "doc_id").maybe(docs, "doc_id").groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")), "texts")
-    held = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("first_doc_id"), F.col("text").alias("other")), "first_doc_id")
-    return held.select("doc_id", "first_doc_id", "seeds", "text", "other").mapInArrow(_extend, SPANS)
+    pairs = materialize(seeds.groupBy("doc_id", "first_doc_id").agg(F.collect_list(F.struct("start", "there", "size")).alias("seeds")), "pairs")
+    discard(seeds)
+    later = KeyBits(pairs.select("doc_id").distinct(), "doc_id").maybe(docs, "doc_id")
+    earlier = KeyBits(pairs.select("first_doc_id").distinct(), "first_doc_id").maybe(docs.select(F.col("doc_id").alias("first_doc_id"), F.col("text").alias("other")), "first_doc_id")
+    held = pairs.join(later, "doc_id").join(earlier, "first_doc_id")
+    return held.select("doc_id", "first_doc_id", "seeds", "text", "other").mapInArrow(_extend, SPANS).distinct()
 
 
 def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
