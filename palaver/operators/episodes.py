@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palaver.functions import text as T
+
 #: Words that mark a finding as something that fails.
 FAILS = ["risk", "missing", "weak", "gap", "concern", "anti"]
 
@@ -110,3 +112,13 @@ def playbook_markdown(bench: DataFrame, patterns: DataFrame, episodes: DataFrame
         "task_type",
         F.concat_ws("\n", F.concat(F.lit("# "), F.initcap(F.replace("task_type", F.lit("-"), F.lit(" "))), F.lit(" Playbook\n")), F.format_string("*From %d calls*\n", "calls"), F.lit("## What works\n"), text("works"), F.lit("\n## What fails\n"), text("fails"), F.lit("\n## Benchmarks\n\n| score | avg | min | max | n |\n|-|-|-|-|-|"), F.array_join("bench", "\n")).alias("markdown"),
     )
+
+
+def prep_markdown(task_types: DataFrame, notes: DataFrame, recent_rows: DataFrame, playbooks: DataFrame, budget_words: int = 2000) -> DataFrame:
+    """Per task type a page to prepare a call: notes, recent scores, and the playbook cut to half the budget of words."""
+    n = notes.groupBy("task_type").agg(F.sort_array(F.collect_list(F.struct("place", F.concat(F.lit("- "), F.col("finding")).alias("line")))).alias("n"))
+    r = recent_rows.groupBy("task_type").agg(F.sort_array(F.collect_list(F.struct("place", F.format_string("- %s: %s", F.col("timestamp").cast("string"), F.coalesce(F.col("score").cast("string"), F.lit("-"))).alias("line")))).alias("r"))
+    lines = lambda c: F.array_join(F.transform(F.coalesce(c, F.array()), lambda x: x["line"]), "\n")
+    book = T.truncate_words(F.coalesce("markdown", F.lit("")), budget_words // 2)
+    out = task_types.join(n, "task_type", "left").join(r, "task_type", "left").join(playbooks, "task_type", "left")
+    return out.select("task_type", F.concat_ws("\n", F.concat(F.lit("# Preparation: "), F.col("task_type")), F.lit("\n## Notes\n"), lines(F.col("n")), F.lit("\n## Recent\n"), lines(F.col("r")), F.lit("\n## Playbook\n"), book).alias("markdown"))

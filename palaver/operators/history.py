@@ -77,3 +77,15 @@ def suitable(catalog: DataFrame, excluded: list[str]) -> DataFrame:
 def by_owner(catalog: DataFrame) -> DataFrame:
     owner = F.when(F.coalesce("owned_by", F.lit("")) == "", "unknown").otherwise(F.col("owned_by")).alias("owner")
     return catalog.groupBy(owner).agg(F.count("*").alias("n_models"), F.sort_array(F.collect_set("id")).alias("ids"))
+
+
+def comparison_markdown(compared: DataFrame) -> DataFrame:
+    """One row: a Markdown table of :func:`compare_runs`, by model (runs hold few models)."""
+    row = F.format_string("| %s | %s | %s | %s | %s |", "model", F.coalesce(F.col("quality_before").cast("string"), F.lit("-")), F.coalesce(F.col("quality_after").cast("string"), F.lit("-")), F.coalesce(F.col("delta").cast("string"), F.lit("-")), F.col("status"))
+    return compared.agg(F.concat(F.lit("| model | before | after | change | status |\n|-|-|-|-|-|\n"), F.array_join(F.sort_array(F.collect_list(row)), "\n")).alias("markdown"))
+
+
+def ranking_markdown(models: DataFrame) -> DataFrame:
+    """One row: a Markdown table of models by falling quality."""
+    row = F.struct(-F.col("avg_quality"), F.col("model"), F.format_string("| %s | %s | %d |", F.col("model"), F.col("avg_quality").cast("string"), F.col("tier")).alias("line"))
+    return models.agg(F.concat(F.lit("| model | quality | tier |\n|-|-|-|\n"), F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["line"]), "\n")).alias("markdown"))

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from palaver.functions import text as T
 
-TRUSTED = ("contacts", "calendar", "audioscript_confirmed", "speaker_db")
+TRUSTED = ("contacts", "calendar", "diarisation_confirmed", "speaker_db")
 EVIDENCE = ["cluster_id", "source", "name", "confidence", "detail", "call_id", "pos"]
 
 
 def confirmed_evidence(resolved: DataFrame) -> DataFrame:
     """Names that the transcripts' own diarisation confirmed."""
     return resolved.where("coalesce(speaker_cluster_id, '') <> '' and coalesce(display_name, '') <> ''").select(
-        F.col("speaker_cluster_id").alias("cluster_id"), F.lit("audioscript_confirmed").alias("source"), F.col("display_name").alias("name"), F.lit(0.95).alias("confidence"), F.concat(F.lit("status="), F.coalesce("status", F.lit("None"))).alias("detail"), "call_id", "pos"
+        F.col("speaker_cluster_id").alias("cluster_id"), F.lit("diarisation_confirmed").alias("source"), F.col("display_name").alias("name"), F.lit(0.95).alias("confidence"), F.concat(F.lit("status="), F.coalesce("status", F.lit("None"))).alias("detail"), "call_id", "pos"
     )
 
 
@@ -161,3 +161,37 @@ def aliases(old: Column, canonical: Column, full: Column, likely: Column, new: C
     clean = lambda c: F.trim(F.split_part(c, F.lit(" ("), F.lit(1)))
     added = F.array(F.when(F.coalesce(canonical, F.lit("")) != "", clean(canonical)), F.when(F.contains(full, F.lit(" ")), F.split_part(full, F.lit(" "), F.lit(1))), F.when(likely != new, clean(likely)))
     return F.sort_array(F.array_distinct(F.filter(F.concat(F.coalesce(old, F.array().cast("array<string>")), added), lambda x: x.isNotNull() & (x != ""))))
+
+
+def profiles(resolved: DataFrame, evidence: DataFrame, roles: DataFrame | None = None) -> DataFrame:
+    """Per cluster: calls it was resolved in, name, confidence, full name, evidence and display name, the surest first.
+
+    ``roles`` (cluster_id, role, pos): the first one that is not empty counts.
+    """
+    calls = resolved.where("coalesce(speaker_cluster_id, '') <> ''").groupBy(F.col("speaker_cluster_id").alias("cluster_id")).agg(F.count("*").alias("total_calls"))
+    out = calls.join(resolve_names(evidence), "cluster_id", "left")
+    if roles is not None:
+        out = out.join(roles.where("coalesce(role, '') <> ''").groupBy("cluster_id").agg(F.min_by("role", "pos").alias("role")), "cluster_id", "left")
+    return out.withColumn("display_name", T.display_name("likely_name", F.coalesce("name_confidence", F.lit(0.0)), "cluster_id"))
+
+
+def top_evidence(evidence: DataFrame, most: int = 3) -> DataFrame:
+    """The surest evidence of each cluster."""
+    w = Window.partitionBy("cluster_id").orderBy(F.col("confidence").desc(), "pos")
+    return evidence.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def find_profile(profiles: DataFrame, wanted: str) -> DataFrame:
+    """Profiles of a cluster id or a name, or else of names that hold the text."""
+    low = F.lower(F.coalesce("likely_name", F.lit("")))
+    exact = (F.col("cluster_id").cast("string") == wanted) | (low == wanted.lower())
+    rank = F.when(exact, 0).when(F.contains(low, F.lit(wanted.lower())), 1)
+    hits = profiles.withColumn("_rank", rank).where("_rank is not null")
+    return hits.join(F.broadcast(hits.agg(F.min("_rank").alias("_best"))), F.col("_rank") == F.col("_best")).drop("_rank", "_best")
+
+
+def profile_topics(topics: DataFrame, most: int = 20) -> DataFrame:
+    """Per cluster the first different topics (cluster_id, topic, pos) by their first 50 characters."""
+    firsts = topics.withColumn("_key", F.left(F.lower(T.strip("topic")), F.lit(50))).groupBy("cluster_id", "_key").agg(F.min_by("topic", "pos").alias("topic"), F.min("pos").alias("pos"))
+    w = Window.partitionBy("cluster_id").orderBy("pos")
+    return firsts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("_key")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.operators import analyzers, chunks, classify, communication, enrich, extract, reports, topics
+from palaver.plans import model
 from palaver.sources import transcripts as S
 
 
@@ -42,21 +42,5 @@ def analyze(transcripts: DataFrame, lexicon: dict[str, list[str]] | None = None,
 
 
 def with_model(calls: DataFrame, complete: Callable[[str], str | None] | None = None, column: str = "reply", prompt: Column | None = None) -> DataFrame:
-    """Hook for an external model: ``complete`` maps a prompt to a reply or None; without it the column is null.
-
-    Batches go through Arrow; a failing call gives null, never a failed task.
-    """
-    if complete is None:
-        return calls.withColumn(column, F.lit(None).cast("string"))
-    def ask_all(prompts):
-        def one(p):
-            try:
-                return None if p is None else complete(p)
-            except Exception:
-                return None
-
-        return prompts.map(one)
-
-    ask_all.__annotations__ = {"prompts": pd.Series, "return": pd.Series}
-    ask = F.pandas_udf(ask_all, "string")
-    return calls.withColumn(column, ask(F.col("text") if prompt is None else prompt))
+    """Hook for an external model: ``complete`` maps a prompt to a reply or None; without it the column is null."""
+    return model.ask(calls, F.col("text") if prompt is None else prompt, complete, column)

@@ -51,3 +51,17 @@ def replace_table(df: DataFrame, path: str) -> None:
 def write_pages(pages: DataFrame, path: str) -> None:
     """Markdown pages (file, markdown), one folder per file name."""
     pages.select("file", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
+
+
+def write_runs(runs: DataFrame, path: str) -> None:
+    """Evaluation runs as JSON documents, one file a run."""
+    runs.coalesce(1).write.mode("append").json(path)
+
+
+def emit(df: DataFrame, form: str = "json", most: int = 1000) -> str:
+    """At most ``most`` rows as text for a terminal: JSON lines or a Markdown table."""
+    rows = df.limit(most)
+    if form == "json":
+        return "\n".join(r.j for r in rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).collect())
+    lines = [" | ".join(str(v) for v in r) for r in rows.collect()]
+    return "\n".join(["| " + " | ".join(rows.columns) + " |", "|" + "-|" * len(rows.columns), *(f"| {x} |" for x in lines)])

@@ -18,7 +18,7 @@ RUN = "timestamp string, models_tested int, in_progress boolean, results array<s
 MANIFEST = "version string, entries map<string,struct<file_path:string,file_hash:string,status:string,analyzed_at:string,call_type:string,file_size:bigint,file_mtime:double>>"
 IDENTITIES = "identities map<string,struct<canonical_name:string,total_calls:int,total_speaking_seconds:double,first_seen:string,last_seen:string,typical_co_speakers:array<string>,aliases:array<string>>>"
 #: File names with these parts are results or databases, no transcripts.
-NOT_TRANSCRIPTS = r"embeddings|manifest|speaker_identities|\.audioscript"
+NOT_TRANSCRIPTS = r"embeddings|manifest|speaker_identities"
 
 
 def read_transcripts(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:

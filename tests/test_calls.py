@@ -154,3 +154,63 @@ def test_sinks(spark, tmp_path):
     for n in (1, 2):
         sinks.replace_table(spark.range(n), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_calendar_events(spark):
+    from palaver.sources import calendars
+
+    row = [("Sync", (("Ann", "a@x"),), [((None, "b@x"),), (("Cy", "c@x"),)], ("weekly",), ("Room",), "hello"), (None, None, None, None, None, None)]
+    a, b = calendars.parse(spark.createDataFrame(row, calendars.EVENT)).collect()
+    assert (a.subject, a.organizer, a.attendees, a.is_recurring, a.series_name, a.location) == ("Sync", "Ann", ["b@x", "Cy"], True, "Sync", "Room")
+    assert (b.subject, b.organizer, b.attendees, b.is_recurring, b.series_name) == ("", "", [], False, None)
+
+
+def test_model_calls(spark):
+    from palaver.plans import model
+
+    tried = []
+
+    def flaky(p):
+        tried.append(p)
+        if len(tried) < 3:
+            raise ConnectionError
+        return "ok"
+
+    waits = []
+    assert model.with_retries(flaky, sleep=waits.append)("x") == "ok" and waits == [1.0, 2.0]
+    assert model.with_retries(lambda p: 1 / 0, sleep=waits.append)("x") is None and len(waits) == 2
+    assert model.exit_code(FileNotFoundError("x")) == 3 and model.exit_code(RuntimeError("request timed out")) == 6
+    one = lambda name, *v: spark.createDataFrame([(x,) for x in v], f"{name} string")
+    grid = model.run_benchmark(one("model", "a", "b"), one("task", "t").withColumn("template", F.lit("say {transcript}")), one("fixture", "f").withColumn("transcript", F.lit("hi")), lambda p: p)
+    assert sorted(r.response for r in grid.collect()) == ["a\nsay hi", "b\nsay hi"]
+    assert spark.range(1).select(model.render("{a}-{b}", a="x", b=F.lit("y")).alias("p")).first().p == "x-y"
+
+
+def test_profiles(spark):
+    resolved = spark.createDataFrame([("c1", "k1", "Ann Lee", "ok", 0), ("c2", "k1", None, None, 1), ("c2", "k2", None, None, 2)], "call_id string, speaker_cluster_id string, display_name string, status string, pos int")
+    p = identity.profiles(resolved, identity.confirmed_evidence(resolved))
+    assert {r.cluster_id: (r.total_calls, r.display_name) for r in p.collect()} == {"k1": (2, "Ann Lee"), "k2": (1, "k2")}
+    assert [r.cluster_id for r in identity.find_profile(p, "ann").collect()] == ["k1"]
+
+
+def test_settings(tmp_path):
+    from palaver.sources import config
+
+    f = tmp_path / "s.json"
+    f.write_text('{"competitors": ["X"], "max_topics": 3}')
+    s = config.settings(str(f), max_topics=5, methodology=None)
+    assert (s.competitors, s.max_topics, s.methodology) == (("X",), 5, "meddic")
+    with pytest.raises(ValueError):
+        config.settings(methodology="none")
+    with pytest.raises(ValueError):
+        config.settings(colour="red")
+
+
+def test_command_line(spark, folder, capsys):
+    from palaver.__main__ import main
+
+    assert main(["classify", str(folder)]) == 0
+    assert '"call_id":"one"' in capsys.readouterr().out
+    assert main(["analyze", str(folder), "--table", "topics", "--format", "markdown"]) == 0
+    assert "Hello there" in capsys.readouterr().out
+    assert main(["list-types"]) == 0 and main(["usage", str(folder / "none")]) != 0
