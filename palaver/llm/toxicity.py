@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.shared import _BYTE, U64, _powers, crc_mod, mix, table, text_runs
+from palaver.llm.shared import _BYTE, U64, KeyBits, _powers, crc_mod, mix, table, text_runs
 
 POSITIVES, UNLABELLED = 2_000, 4_000
 FEATURES = 1_024
@@ -161,10 +161,13 @@ def training_sets(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
     if not k:
         return [], [], 0.0
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.when(F.col("toxic") == 1, F.lit(int((1 << 30) * min(1.0, positives / k)))).otherwise(F.lit(int((1 << 30) * min(1.0, unlabelled / max(1, total - k)))))
-    confirmed = marks.where("toxic = 1")
-    # ids first: texts of the sample alone reach Python
-    sample = docs.join(confirmed, "doc_id", "left").where(F.col("text").isNotNull() & (place < share)).select(place.alias("place"), F.coalesce("toxic", F.lit(0)).cast("int").alias("toxic"), "text")
+    threshold = lambda most, of: F.lit(int((1 << 30) * min(1.0, most / max(1, of))))
+    confirmed = marks.where("toxic = 1").select("doc_id")
+    # neither side of the sample shuffles more than itself: a bitmap finds the confirmed texts, a hash the others
+    some = docs.where(F.col("text").isNotNull()).select("doc_id", "text").withColumn("place", place)
+    bad = KeyBits(confirmed, "doc_id").maybe(some.where(F.col("place") < threshold(positives, k)), "doc_id").join(confirmed, "doc_id", "left_semi")
+    rest = some.where(F.col("place") < threshold(unlabelled, total - k)).join(confirmed, "doc_id", "left_anti")
+    sample = bad.select("place", F.lit(1).alias("toxic"), "text").unionByName(rest.select("place", F.lit(0).alias("toxic"), "text"))
 
     def run(batches):
         for batch in batches:
