@@ -165,11 +165,14 @@ class KeyBits:
     def place(self, column: str):
         return F.pmod(F.col(column) if self.hashed else F.xxhash64(column), F.lit(self.bits))
 
-    def maybe(self, df: DataFrame, column: str, present: bool = True) -> DataFrame:
-        """Rows of ``df`` whose key may be among the keys; with ``present=False`` the others, null keys included."""
+    def maybe(self, df: DataFrame, column: str, present: bool = True, then=None, schema=None) -> DataFrame:
+        """Rows of ``df`` whose key may be among the keys; with ``present=False`` the others, null keys included.
+
+        ``then`` is a function of batches that is applied to these rows in the same worker and yields ``schema``.
+        """
         sent, n = self.sent, len(df.columns)
 
-        def run(batches):
+        def rows(batches):
             table = sent.value
             for batch in batches:
                 at = batch.column(n).fill_null(0).to_numpy(zero_copy_only=False)
@@ -179,4 +182,4 @@ class KeyBits:
                     yield kept
 
         flagged = df.withColumn("_palaver_bit", F.when(F.col(column).isNotNull(), self.place(column)))
-        return flagged.mapInArrow(run, df.schema)
+        return flagged.mapInArrow(rows if then is None else lambda batches: then(rows(batches)), schema or df.schema)
