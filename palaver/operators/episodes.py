@@ -70,8 +70,9 @@ def ellis_class(finding: str) -> Column:
 def ellis_distribution(findings: DataFrame, threshold: float = 0.40) -> DataFrame:
     """Counts and shares of the three answers, and whether the first reaches its target."""
     kinds = findings.select(ellis_class("finding").alias("answer")).where("answer is not null").groupBy("answer").agg(F.count("*").alias("n"))
-    total = kinds.agg(F.sum("n").alias("total"))
-    return kinds.crossJoin(F.broadcast(total)).select("answer", "n", F.round(100 * F.col("n") / F.col("total")).cast("int").alias("pct"), ((F.col("answer") == "very_disappointed") & (F.round(100 * F.col("n") / F.col("total")) >= threshold * 100)).alias("on_target"))
+    # at most three rows are left, so one window over them is cheap
+    share = F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    return kinds.select("answer", "n", share.cast("int").alias("pct"), ((F.col("answer") == "very_disappointed") & (share >= threshold * 100)).alias("on_target"))
 
 
 def half_trend(scores: DataFrame, within: list[str], order: list) -> DataFrame:

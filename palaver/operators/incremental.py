@@ -22,7 +22,11 @@ def record(manifest: DataFrame, processed: DataFrame) -> DataFrame:
     return manifest.join(new, "file_path", "left_anti").select(new.columns).unionByName(new)
 
 
-def route(calls: DataFrame, channels: DataFrame) -> DataFrame:
-    """Calls with the notification channels (name, on) that want their type; an empty list wants all."""
-    wants = F.coalesce(F.size("on") == 0, F.lit(True)) | F.array_contains("on", F.col("call_type"))
-    return calls.join(F.broadcast(channels.limit(10_000)), wants).select(*calls.columns, F.col("name").alias("channel"))
+def route(calls: DataFrame, channels: list[tuple[str, list[str]]]) -> DataFrame:
+    """Calls with the configured notification channels (name, call types) that want them; an empty list wants all.
+
+    The channels are settings, so they are constants of a projection and no join.
+    """
+    entries = [F.struct(F.lit(name).alias("name"), (F.lit(True) if not kinds else F.coalesce(F.col("call_type").isin(*kinds), F.lit(False))).alias("wants")) for name, kinds in channels]
+    wanted = F.filter(F.array(*entries), lambda e: e["wants"]) if entries else F.array().cast("array<struct<name:string,wants:boolean>>")
+    return calls.select(*calls.columns, F.explode(wanted).alias("_c")).select(*calls.columns, F.col("_c.name").alias("channel"))

@@ -81,7 +81,10 @@ def ask(rows: DataFrame, prompt: Column, complete: Callable[[str], str | None] |
 
 def run_benchmark(models: DataFrame, tasks: DataFrame, fixtures: DataFrame, complete: Callable[[str], str | None] | None = None) -> DataFrame:
     """Every model (model) on every task (task, template) and fixture (fixture, transcript): the cross product of three
-    small tables by design, at most 10,000 models, 100 tasks and 1,000 fixtures."""
-    grid = models.limit(10_000).join(F.broadcast(tasks.limit(100)), how="cross").join(F.broadcast(fixtures.limit(1_000)), how="cross")
+    small tables by design; more than 10,000 models, 100 tasks or 1,000 fixtures are refused."""
+    for df, most, what in ((models, 10_000, "models"), (tasks, 100, "tasks"), (fixtures, 1_000, "fixtures")):
+        if df.count() > most:
+            raise ValueError(f"more than {most} {what}")
+    grid = models.join(F.broadcast(tasks), how="cross").join(F.broadcast(fixtures), how="cross")
     prompt = F.replace(F.col("template"), F.lit("{transcript}"), F.coalesce("transcript", F.lit("")))
     return ask(grid.repartition("model"), F.concat(F.col("model"), F.lit("\n"), prompt), complete, "response")

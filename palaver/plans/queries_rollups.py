@@ -391,7 +391,7 @@ def pending_files(spark, d):
 @query("SELECT event_id AS call_id, name AS channel FROM events JOIN (VALUES ('all', []::VARCHAR[]), ('errors', ['error']), ('shop', ['purchase', 'click'])) c(name, ons) ON len(ons) = 0 OR list_contains(ons, event_type)")
 def notification_routes(spark, d):
     """B10, D13."""
-    channels = spark.createDataFrame([("all", []), ("errors", ["error"]), ("shop", ["purchase", "click"])], "name string, on array<string>")
+    channels = [("all", []), ("errors", ["error"]), ("shop", ["purchase", "click"])]
     return incremental.route(table(spark, d, "events").select(F.col("event_id").alias("call_id"), F.col("event_type").alias("call_type")), channels).select("call_id", "channel")
 
 
