@@ -10,7 +10,9 @@ candidates, the agreement of their signatures drops the hopeless ones, and the f
 Inside a band's bucket no pairs are expanded.  First every class is held against the bucket's smallest class; the
 confirmed links give provisional components (large-star and small-star).  Only buckets that then still hold more than
 one component are looked at again: their classes outside the bucket's main component are held against those of
-other components.  Candidates inside one component can't change it, so the result is that of all pairs.
+other components.  Candidates inside one component can't change it, so the result is that of all pairs.  This second
+look takes blocks of about ``BLOCK`` classes at a time and counts the shared shingles of two blocks by a matrix
+product; only pairs that reach the threshold leave a task.
 
 Cases: null and empty texts and texts without words have an empty set, link with nothing and are kept; null doc_ids
 are dropped by ``near_duplicates`` because a class needs a name; repeated rows of a doc_id count once each in the
@@ -25,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.llm.components import components
-from palaver.llm.shared import U64, discard, materialize, mix, table, text_runs, word_hashes
+from palaver.llm.shared import U64, KeyBits, discard, materialize, mix, table, text_runs, word_hashes
 
 WORDS, BANDS, ROWS = 5, 32, 4
 SIMILARITY = (75, 100)
+#: Classes, and members of their sets, that a block of the second look holds at most on average.
+BLOCK, BLOCK_MEMBERS = 256, 400_000
 _RNG = np.random.default_rng(977)
 _TIMES = _RNG.integers(0, 1 << 63, WORDS, dtype=U64) * U64(2) + U64(1)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=U64) * U64(2) + U64(1)
@@ -124,10 +128,10 @@ def _agree(batches):
 def _verify(pairs: DataFrame, signed: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
     """Confirmed pairs (a, b) of candidates (a, b)."""
     pairs = materialize(pairs, f"{tag}-pairs")
-    signs = signed.select("doc_id", "sig")
+    ids = lambda p: p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
+    signs = KeyBits(ids(pairs), "doc_id").maybe(signed.select("doc_id", "sig"), "doc_id")
     likely = materialize(pairs.join(signs.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(signs.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_agree, "a bigint, b bigint"), f"{tag}-likely")
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    sets = materialize(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id bigint, members binary"), f"{tag}-sets")
+    sets = materialize(KeyBits(ids(likely), "doc_id").maybe(docs.select("doc_id", "text"), "doc_id", then=_sets, schema="doc_id bigint, members binary"), f"{tag}-sets")
     held = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
     links = materialize(held.mapInArrow(_confirm, "a bigint, b bigint"), f"{tag}-links")
     for done in (pairs, likely, sets):
@@ -135,6 +139,73 @@ def _verify(pairs: DataFrame, signed: DataFrame, docs: DataFrame, tag: str) -> D
     return links
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets in ``x`` with all in ``y``."""
+    flat = [np.concatenate(s) if s else np.zeros(0, np.uint32) for s in (x, y)]
+    row = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(x), len(y)), np.float32)
+    at = [np.searchsorted(both, f) for f in flat]
+    if not len(both):
+        return out
+    hit = [both[np.minimum(k, len(both) - 1)] == f for k, f in zip(at, flat, strict=True)]
+    at = [k[h] for k, h in zip(at, hit, strict=True)]
+    row = [r[h] for r, h in zip(row, hit, strict=True)]
+    for low in range(0, len(both), width):
+        parts = []
+        for k, r, s in zip(at, row, (x, y), strict=True):
+            inside = (k >= low) & (k < low + width)
+            m = np.zeros((len(s), min(width, len(both) - low)), np.float32)
+            m[r[inside], k[inside] - low] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _compare_blocks(batches):
+    """Pairs of classes of two blocks, in different components, whose shortened sets reach the threshold."""
+    over, under = SIMILARITY
+    for batch in batches:
+        found_a, found_b = [], []
+        for r in range(batch.num_rows):
+            sides = []
+            for k in (0, 1):
+                block = batch.column(k)[r].values
+                sets = [np.frombuffer(v.as_buffer(), np.uint32) for v in block.field("members")]
+                sides.append([block.field(name).to_numpy(zero_copy_only=False) for name in ("doc_id", "component", "n_shingles")] + [sets])
+            (ids, parts, sizes, x), (ids2, parts2, sizes2, y) = sides
+            shared = _shared(x, y)
+            good = (parts[:, None] != parts2[None, :]) & (under * shared >= over * (sizes[:, None] + sizes2[None, :] - shared))
+            i, j = np.nonzero(good)
+            found_a.append(np.minimum(ids[i], ids2[j]))
+            found_b.append(np.maximum(ids[i], ids2[j]))
+        if found_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a), pa.int64()), pa.array(np.concatenate(found_b), pa.int64())], ["a", "b"])
+
+
+def _short_sets(batches):
+    """Sets cut to 32 bits a member: shared members are never missed, a chance agreement is settled by the full sets."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(x >> U64(32)).astype(np.uint32).tobytes() for x in shingle_sets(batch.column(1))], pa.binary())], ["doc_id", "members"])
+
+
+def _second_look(settled: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Candidates (a, b) in different components among rows (band, doc_id, component) that share a band."""
+    sized = settled.join(sizes, "doc_id")
+    open_bands = sized.groupBy("band").agg(F.min("component").alias("main"), F.max("component").alias("other"), F.count("*").alias("n"), F.sum("n_shingles").alias("m")).where("main < other")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("bigint")
+    still = materialize(sized.join(open_bands.select("band", "main", parts.alias("parts")), "band").select("band", "doc_id", "component", "n_shingles", (F.col("component") == F.col("main")).alias("is_main"), F.pmod(F.xxhash64("doc_id"), "parts").alias("part")), "open")
+    sets = materialize(KeyBits(still.select("doc_id").distinct(), "doc_id").maybe(docs.select("doc_id", "text"), "doc_id", then=_short_sets, schema="doc_id bigint, members binary").dropDuplicates(["doc_id"]), "open-sets")
+    blocks = materialize(still.join(sets, "doc_id").groupBy("band", "is_main", "part").agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "members")).alias("block")), "blocks")
+    x = blocks.where("not is_main").select("band", F.col("part").alias("px"), F.col("block").alias("x"))
+    y = blocks.select("band", "is_main", F.col("part").alias("py"), F.col("block").alias("y"))
+    pairs = x.join(y, "band").where("is_main or px <= py").select("x", "y").mapInArrow(_compare_blocks, "a bigint, b bigint")
+    out = materialize(pairs.distinct(), "second")
+    for done in (still, sets, blocks):
+        discard(done)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
     docs = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text").where("doc_id is not null")
@@ -146,23 +217,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = signed.where("n_shingles > 0").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     banded = materialize(first.select("doc_id", F.explode("bands").alias("band")), "bands")
     shared = materialize(banded.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("band", "least"), "shared")
-    crowded = materialize(banded.join(shared, "band"), "crowded")
+    crowded = materialize(KeyBits(shared, "band").maybe(banded, "band").join(shared, "band"), "crowded")
     discard(banded)
     links = _verify(crowded.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), signed, docs, "first")
     found = components(links, "a", "b")
     settled = materialize(crowded.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "settled")
-    open_bands = settled.groupBy("band").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main < other").select("band", "main")
-    still = materialize(settled.join(open_bands, "band"), "open")
-    x = still.where("component <> main").select("band", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-    y = still.select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"), "main")
-    # a pair of two classes outside the main component comes up twice: keep it once
-    pairs = x.join(y, "band").where("ca <> cb and (cb = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verify(pairs, signed, docs, "second")
+    likely = _second_look(settled, docs, member.where("doc_id = rep").select("doc_id", "n_shingles").dropDuplicates(["doc_id"]))
+    more = likely if likely.isEmpty() else _verify(likely, signed, docs, "second")
     if more.isEmpty():
         final = found
     else:
         final = components(links.unionByName(more), "a", "b")
-    for done in (crowded, settled, still, shared):
+    for done in (crowded, settled, shared):
         discard(done)
     return (
         member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -68,3 +68,25 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7), (None, 3), (100, 200)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint"), "a", "b").collect()}
     assert found == {i: 0 for i in range(41)} | {100: 100, 150: 100, 200: 100}
+
+
+def test_second_look_finds_links_past_the_first_class(spark):
+    """Copies that are too far from the smallest one, some of them near to each other."""
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        copy = list(words)
+        for _ in range(rnd.choice((2, 5, 7, 8))):
+            copy[rnd.randrange(150)] = f"x{rnd.random()}"
+        rows.append((i, " ".join(copy)))
+        if i % 5 == 0:
+            copy[rnd.randrange(150)] = "y"
+            rows.append((100 + i, " ".join(copy)))
+    old, minhash.BLOCK = minhash.BLOCK, 10
+    try:
+        out = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    finally:
+        minhash.BLOCK = old
+    want = brute(rows)
+    assert out == want and 3 < sum(k for _, _, k in want.values()) < 60
