@@ -16,6 +16,8 @@ text's lines; further columns are kept by ``dedup``; an empty table gives an emp
 
 from __future__ import annotations
 
+import zlib
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -52,8 +54,15 @@ def _boundary(roll: int) -> bool:
     return ((roll * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 40) % DIVISOR == 0
 
 
-def _digests(batches):
+def _slices(batches, most: int = 1000):
+    """Batches in pieces, so that what Python makes of a piece stays small."""
     for batch in batches:
+        for i in range(0, batch.num_rows, most):
+            yield batch.slice(i, most)
+
+
+def _digests(batches):
+    for batch in _slices(batches):
         ids, nth, h1, h2 = [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if doc is None or not text or "\n" not in text:
@@ -72,26 +81,34 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk, first_doc_id, first_chunk) of chunks to be removed, for ``docs`` (doc_id, text)."""
     found = materialize(docs.mapInArrow(_digests, "doc_id bigint, chunk int, h1 bigint, h2 bigint"), "line-chunks")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.chunk").alias("first_chunk"))
-    again = materialize(found.join(first, ["h1", "h2"]), "line-repeats")
+    first = materialize(first, "line-first")
     discard(found)
-    # bytes of the chunks in question: each document's wanted chunk numbers go to its text
-    wanted = again.groupBy("doc_id").agg(F.collect_set("chunk").alias("chunks"))
-    held = KeyBits(again.select("doc_id").distinct(), "doc_id").maybe(docs.select("doc_id", "text"), "doc_id")
+    # packed bytes are equal exactly if the bytes are
+    # a second scan brings the bytes of chunks whose digest may be repeated; digests are random, so they are their own hash
+    bits = KeyBits(first, "h1", hashed=True)
+    sent, mask = bits.sent, bits.bits - 1
 
     def fetch(batches):
-        for batch in batches:
+        table = sent.value
+        for batch in _slices(batches):
             rows = []
-            for doc, text, numbers in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                parts = chunks(text or "")
-                rows += [(doc, k, parts[k][3]) for k in numbers if k < len(parts)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "chunk", "raw"])
-
-    raw = materialize(held.join(wanted, "doc_id").select("doc_id", "text", "chunks").mapInArrow(fetch, "doc_id bigint, chunk int, raw binary"), "line-bytes")
-    pairs = again.where("doc_id <> first_doc_id or chunk <> first_chunk").select("doc_id", "chunk", "first_doc_id", "first_chunk")
-    theirs = raw.select(F.col("doc_id").alias("first_doc_id"), F.col("chunk").alias("first_chunk"), F.col("raw").alias("first_raw"))
-    same = pairs.join(raw, ["doc_id", "chunk"]).join(theirs, ["first_doc_id", "first_chunk"]).where("raw = first_raw")
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if doc is None or not text or "\n" not in text:
+                    continue
+                for k, (_, _, content, raw) in enumerate(chunks(text)):
+                    if content >= 2:
+                        both = xxhash.xxh3_128_intdigest(raw)
+                        h1 = (both >> 64) - (1 << 63)
+                        at = h1 & mask
+                        if table[at >> 3] >> (at & 7) & 1:
+                            rows.append((doc, k, h1, (both & 0xFFFFFFFFFFFFFFFF) - (1 << 63), zlib.compress(raw, 1)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "chunk", "h1", "h2", "raw"])
+
+    raw = materialize(docs.mapInArrow(fetch, "doc_id bigint, chunk int, h1 bigint, h2 bigint, raw binary"), "line-bytes")
+    theirs = raw.join(first, ["h1", "h2"]).where("doc_id = first_doc_id and chunk = first_chunk").select("h1", "h2", "first_doc_id", "first_chunk", F.col("raw").alias("first_raw"))
+    same = raw.join(theirs, ["h1", "h2"]).where("raw = first_raw and (doc_id <> first_doc_id or chunk <> first_chunk)")
     out = materialize(same.select("doc_id", "chunk", "first_doc_id", "first_chunk").distinct(), "line-same")
-    discard(again)
     discard(raw)
     return out
 
@@ -105,33 +122,48 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
     # only texts that may lose lines meet their lists; the others go straight from the scan to the result
     bits = KeyBits(same.select("doc_id").distinct(), "doc_id")
     keyed = docs.withColumn("_key", F.col(id_col).cast("bigint"))
-    touched = bits.maybe(keyed, "_key").join(gone, F.col("_key") == F.col("_gone_id"), "left").select(*names, "_gone")
-    rest = bits.maybe(keyed, "_key", present=False).select(*names, F.lit(None).cast("array<int>").alias("_gone"))
-    joined = touched.unionByName(rest)
     at = names.index(text_col)
-    schema = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema) + (", n_lines bigint, n_removed bigint" if counts else "")
+    kinds = {f.name: "string" if f.name == text_col else f.dataType.simpleString() for f in docs.schema}
+    out_schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items()) + (", n_lines bigint, n_removed bigint" if counts else "")
+    packed_schema = ", ".join(f"`{n}` {'binary' if n == text_col else k}" for n, k in kinds.items()) + ", _key bigint"
+
+    def pack(batches):
+        """Texts on their way to their lists, packed to halve the shuffle."""
+        for batch in _slices(batches):
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, [*names, "_key"])
+
+    def finish(batch, texts, lines, removed):
+        columns = list(batch.columns[: len(names)])
+        columns[at] = pa.array(texts, pa.string())
+        if counts:
+            columns += [pa.array(lines, pa.int64()), pa.array(removed, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names + ["n_lines", "n_removed"] * counts)
 
     def rewrite(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             texts, lines, removed = [], [], []
-            for text, numbers in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                total = text.count("\n") + 1 if text else 0
+            for raw, numbers in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                text = None if raw is None else zlib.decompress(raw).decode("utf-8", "surrogatepass")
+                lines.append(text.count("\n") + 1 if text else 0)
                 dropped = 0
-                if numbers:
+                if numbers and text:
                     out = set(numbers)
                     parts = chunks(text)
                     dropped = sum(b - a for k, (a, b, _, _) in enumerate(parts) if k in out)
                     text = b"\n".join(raw for k, (_, _, _, raw) in enumerate(parts) if k not in out).decode("utf-8", "surrogatepass")
                 texts.append(text)
-                lines.append(total)
                 removed.append(dropped)
-            columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(texts, pa.string())
-            if counts:
-                columns += [pa.array(lines, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names + ["n_lines", "n_removed"] * counts)
+            yield finish(batch, texts, lines, removed)
+
+    def untouched(batches):
+        for batch in _slices(batches):
+            texts = batch.column(at).to_pylist()
+            yield finish(batch, texts, [t.count("\n") + 1 if t else 0 for t in texts], [0] * len(texts))
 
-    return joined.mapInArrow(rewrite, schema)
+    touched = bits.maybe(keyed, "_key", then=pack, schema=packed_schema).join(gone, F.col("_key") == F.col("_gone_id"), "left").select(*names, "_gone")
+    return touched.mapInArrow(rewrite, out_schema).unionByName(bits.maybe(keyed, "_key", present=False, then=untouched, schema=out_schema))
 
 
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
