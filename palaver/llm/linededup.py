@@ -6,6 +6,11 @@ that boundaries follow the content and come back in step after lines were added
 digits in them that occur more than once in the whole table are removed everywhere but at their first place, the
 smallest (doc_id, chunk), after their bytes were compared with those of that place.
 
+With ``whole`` (the query) the pieces are not chunks but windows from each line with letters or digits to the next such
+line, and from each other line to the second such line on either side.  Every equal stretch of lines with two of them is
+a union of its windows, so a line goes exactly if some stretch around it stands at an earlier place (doc_id, line), and
+no boundary can part a passage.  Where a stretch overlaps its own first place, the lines of that place stay.
+
 Only digests are shuffled for all chunks; bytes travel for repeated chunks alone.
 
 Cases: null texts stay null, empty ones empty; lines are parted by ``\\n`` alone and compared byte by byte; a text of
@@ -17,6 +22,7 @@ text's lines; further columns are kept by ``dedup``; an empty table gives an emp
 from __future__ import annotations
 
 import zlib
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -54,6 +60,56 @@ def _boundary(roll: int) -> bool:
     return ((roll * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 40) % DIVISOR == 0
 
 
+def windows(text: str) -> tuple[list[bytes], list[tuple[int, int, bytes]]]:
+    """The lines of a text and (first line, line after the last, packed lines) of its windows, of each kind in order.
+
+    Packed lines are equal exactly if the lines are; equal lines in a row are counted, so long gaps stay short.
+    """
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    content = [i for i, x in enumerate(lines) if not _CONTENT.isdisjoint(x)]
+    out = [(p, q + 1, _packed(_counted(lines[p : q + 1]))) for p, q in zip(content[:-1], content[1:], strict=True)]
+    last = len(content) - 1
+    for k, c in enumerate(content if last > 0 else ()):
+        if k < last:  # lines before this one, with it and the next
+            found, end = _counted(lines[c : content[k + 1] + 1][::-1]), content[k + 1] + 1
+            for g in range(c - 1, content[k - 1] if k else -1, -1):
+                _count(found, lines[g])
+                out.append((g, end, b"<" + _packed(found)))
+        if k > 0:  # lines after this one, with it and the one before
+            found, begin = _counted(lines[content[k - 1] : c + 1]), content[k - 1]
+            for g in range(c + 1, content[k + 1] if k < last else len(lines)):
+                _count(found, lines[g])
+                out.append((begin, g + 1, b">" + _packed(found)))
+    return lines, out
+
+
+def _counted(lines: list[bytes]) -> list[tuple[int, bytes]]:
+    return [(sum(1 for _ in same), x) for x, same in groupby(lines)]
+
+
+def _count(found: list[tuple[int, bytes]], line: bytes) -> None:
+    if found[-1][1] == line:
+        found[-1] = (found[-1][0] + 1, line)
+    else:
+        found.append((1, line))
+
+
+def _packed(found: list[tuple[int, bytes]]) -> bytes:
+    return b"\n".join(b"%d:%b" % x for x in found)
+
+
+def _pieces(text: str, whole: bool) -> list[tuple[int, bytes]]:
+    """(number, bytes) of the pieces of a text that are looked up."""
+    if whole:
+        return [(k, raw) for k, (_, _, raw) in enumerate(windows(text)[1])]
+    return [(k, raw) for k, (_, _, content, raw) in enumerate(chunks(text)) if content >= 2]
+
+
+def _halves(raw: bytes) -> tuple[int, int]:
+    both = xxhash.xxh3_128_intdigest(raw)
+    return (both >> 64) - (1 << 63), (both & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
 def _slices(batches, most: int = 1000):
     """Batches in pieces, so that what Python makes of a piece stays small."""
     for batch in batches:
@@ -61,25 +117,24 @@ def _slices(batches, most: int = 1000):
             yield batch.slice(i, most)
 
 
-def _digests(batches):
+def _digests(batches, whole: bool):
     for batch in _slices(batches):
         ids, nth, h1, h2 = [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if doc is None or not text or "\n" not in text:
                 continue
-            for k, (_, _, content, raw) in enumerate(chunks(text)):
-                if content >= 2:
-                    both = xxhash.xxh3_128_intdigest(raw)
-                    ids.append(doc)
-                    nth.append(k)
-                    h1.append((both >> 64) - (1 << 63))
-                    h2.append((both & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
+            for k, raw in _pieces(text, whole):
+                a, b = _halves(raw)
+                ids.append(doc)
+                nth.append(k)
+                h1.append(a)
+                h2.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nth, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "chunk", "h1", "h2"])
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, chunk, first_doc_id, first_chunk) of chunks to be removed, for ``docs`` (doc_id, text)."""
-    found = materialize(docs.mapInArrow(_digests, "doc_id bigint, chunk int, h1 bigint, h2 bigint"), "line-chunks")
+def repeated_chunks(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, chunk, h1, first_doc_id, first_chunk) of chunks, or windows, to be removed, for ``docs`` (doc_id, text)."""
+    found = materialize(docs.mapInArrow(lambda batches: _digests(batches, whole), "doc_id bigint, chunk int, h1 bigint, h2 bigint"), "line-chunks")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.chunk").alias("first_chunk"))
     first = materialize(first, "line-first")
     discard(found)
@@ -95,29 +150,43 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if doc is None or not text or "\n" not in text:
                     continue
-                for k, (_, _, content, raw) in enumerate(chunks(text)):
-                    if content >= 2:
-                        both = xxhash.xxh3_128_intdigest(raw)
-                        h1 = (both >> 64) - (1 << 63)
-                        at = h1 & mask
-                        if table[at >> 3] >> (at & 7) & 1:
-                            rows.append((doc, k, h1, (both & 0xFFFFFFFFFFFFFFFF) - (1 << 63), zlib.compress(raw, 1)))
+                for k, raw in _pieces(text, whole):
+                    h1, h2 = _halves(raw)
+                    at = h1 & mask
+                    if table[at >> 3] >> (at & 7) & 1:
+                        rows.append((doc, k, h1, h2, zlib.compress(raw, 1)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "chunk", "h1", "h2", "raw"])
 
     raw = materialize(docs.mapInArrow(fetch, "doc_id bigint, chunk int, h1 bigint, h2 bigint, raw binary"), "line-bytes")
     theirs = raw.join(first, ["h1", "h2"]).where("doc_id = first_doc_id and chunk = first_chunk").select("h1", "h2", "first_doc_id", "first_chunk", F.col("raw").alias("first_raw"))
     same = raw.join(theirs, ["h1", "h2"]).where("raw = first_raw and (doc_id <> first_doc_id or chunk <> first_chunk)")
-    out = materialize(same.select("doc_id", "chunk", "first_doc_id", "first_chunk").distinct(), "line-same")
+    out = materialize(same.select("doc_id", "chunk", "h1", "first_doc_id", "first_chunk").distinct(), "line-same")
     discard(raw)
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks of lines removed from the text; with ``counts`` also n_lines, n_removed."""
+def _without(text: str, numbers: list) -> tuple[str, int]:
+    """A text without the windows of (number, h1, number of its first place where that is in the text too)."""
+    lines, found = windows(text)
+    out: set[int] = set()
+    for k, h1, first in numbers:
+        # rows may share a doc_id, the window of that number is then another text's
+        if k < len(found) and _halves(found[k][2])[0] == h1:
+            stay = range(*found[first][:2]) if first is not None and first < len(found) and found[first][2] == found[k][2] else ()
+            out.update(i for i in range(*found[k][:2]) if i not in stay)
+    return b"\n".join(x for i, x in enumerate(lines) if i not in out).decode("utf-8", "surrogatepass"), len(out)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, whole: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks of lines removed from the text; with ``counts`` also n_lines, n_removed.
+
+    With ``whole`` every repeated stretch of lines goes, whatever stands around it.
+    """
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    same = repeated_chunks(narrow)
-    gone = same.groupBy("doc_id").agg(F.collect_set("chunk").alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
+    same = repeated_chunks(narrow, whole)
+    number = F.struct("chunk", "h1", F.when(F.col("doc_id") == F.col("first_doc_id"), F.col("first_chunk")).alias("first")) if whole else F.col("chunk")
+    gone = same.groupBy("doc_id").agg(F.collect_set(number).alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
     names = docs.columns
     # only texts that may lose lines meet their lists; the others go straight from the scan to the result
     bits = KeyBits(same.select("doc_id").distinct(), "doc_id")
@@ -148,7 +217,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
                 text = None if raw is None else zlib.decompress(raw).decode("utf-8", "surrogatepass")
                 lines.append(text.count("\n") + 1 if text else 0)
                 dropped = 0
-                if numbers and text:
+                if numbers and text and whole:
+                    text, dropped = _without(text, [(x["chunk"], x["h1"], x["first"]) for x in numbers])
+                elif numbers and text:
                     out = set(numbers)
                     parts = chunks(text)
                     dropped = sum(b - a for k, (a, b, _, _) in enumerate(parts) if k in out)
@@ -167,4 +238,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
 
 
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, whole=True)

@@ -52,3 +52,47 @@ def test_against_dictionary(spark):
     assert {r.doc_id: r.text for r in out.collect()} == brute(rows)
     assert {r.n_removed for r in ld.dedup(df, counts=True).where("doc_id = 507").collect()} == {rows[3][1].count("\n") + 1}
     assert ld.dedup(df.limit(0)).count() == 0
+
+
+def stretches(rows):
+    """Lines in an equal stretch with two lines of letters or digits that begins earlier, by comparing all pairs of lines."""
+    texts = {i: t.encode().split(b"\n") for i, t in rows if t}
+    places = [(i, k) for i in sorted(texts) for k in range(len(texts[i]))]
+    gone = {i: set() for i in texts}
+    for a, (i, k) in enumerate(places):
+        for j, m in places[:a]:
+            n, content = 0, 0
+            while k + n < len(texts[i]) and m + n < len(texts[j]) and texts[i][k + n] == texts[j][m + n]:
+                content += bool(ld._CONTENT & set(texts[i][k + n]))
+                n += 1
+                if content >= 2:
+                    gone[i].update(x for x in range(k, k + n) if i != j or x >= m + n)
+    return {i: "\n".join(x.decode() for k, x in enumerate(texts[i]) if k not in gone[i]) if t else t for i, t in rows}
+
+
+def test_whole_stretches_of_any_place(spark):
+    rnd = random.Random(8)
+    passages = [[rnd.choice(("", "", "--", f"p{rnd.random()}")) for _ in range(n)] for n in (2, 3, 4, 5, 6, 8, 12)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(rnd.randint(1, 3)):
+            lines += [rnd.choice(("", "--", f"{rnd.random()}")) for _ in range(rnd.randint(0, 4))] + rnd.choice(passages)
+        rows.append((i, "\n".join(lines)))
+    rows += [(70, "x\nx\nx\nx\nx"), (71, "a\nb\n\na\nb\n\na\nb\n"), (72, "one\ntwo\nthree"), (73, "zero\ntwo\nthree\nfour"), (74, None), (75, ""), (76, "\n\n"), (77, "\n\n"), (78, rows[3][1])]
+    got = {r.doc_id: (r.text, r.n_removed) for r in ld.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), counts=True, whole=True).collect()}
+    assert {i: t for i, (t, _) in got.items()} == stretches(rows)
+    assert got[72] == ("one\ntwo\nthree", 0) and got[73] == ("zero\nfour", 2) and got[70] == ("x\nx", 3)
+
+
+def test_the_query_removes_whole_stretches(spark, tmp_path):
+    rows = [(i, "\n".join([f"before {i}", *(f"line {k} of {n}" for k in range(n)), f"after {i}"])) for n in (2, 3, 5, 8) for i in (2 * n, 2 * n + 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_removed) for r in ld.op10_linededup(spark, str(tmp_path)).collect()}
+    assert all(got[2 * n + 1] == (f"before {2 * n + 1}\nafter {2 * n + 1}", n) and got[2 * n][1] == 0 for n in (2, 3, 5, 8))
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    rows = [(1, "a\nb"), (2, "a\nb"), (2, "c\nd")]
+    out = ld.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), whole=True).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, "a\nb"), (2, ""), (2, "c\nd")]
