@@ -60,3 +60,44 @@ def test_passages_are_found_and_others_left(spark):
     for kind, ids in want.items():
         assert passages[kind] in left[ids[0]] and all(passages[kind][20:-20] not in left[i] for i in ids[1:])
     assert sub.repeats(df.limit(0)).count() == 0
+
+
+def uncovered(rows, spans):
+    """Windows of 51 words that an earlier document holds and that no span covers, without chunks."""
+    import re
+
+    seen, missed = set(), []
+    for doc, text in sorted(rows):
+        raw, own = text.encode(), set()
+        at = [m.span() for m in re.finditer(rb"\S+", raw)]
+        for (a, _), (_, b) in zip(at, at[50:], strict=False):
+            own.add(raw[a:b])
+            if raw[a:b] in seen and not any(d == doc and x <= a and b <= y for d, x, y in spans):
+                missed.append((doc, a, b))
+        seen |= own
+    return missed
+
+
+def spans_of(spark, rows):
+    texts = {i: t.encode() for i, t in rows}
+    out = sub.repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    for r in out:
+        part = texts[r.doc_id][r.start : r.end]
+        assert part == texts[r.first_doc_id][r.first_start : r.first_start + len(part)] and len(part.split()) == r.n_words > 50
+    return [(r.doc_id, r.start, r.end) for r in out]
+
+
+def test_copies_after_near_copies_are_found_whole(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8)))
+    rows = []
+    for g in range(6):
+        base = [word() for _ in range(300)]
+        rows += [(100 * g + k, " ".join(word() if rnd.random() < 1 / 35 else w for w in base)) for k in range(20)]
+        rows += [(100 * g + 50, " ".join(base)), (100 * g + 51, " ".join(base))]
+    spans = spans_of(spark, rows)
+    texts = dict(rows)
+    assert not uncovered(rows, spans)
+    for g in range(6):
+        copy = 100 * g + 51
+        assert len({x for d, a, b in spans if d == copy for x in range(a, b)}) == len(texts[copy])
