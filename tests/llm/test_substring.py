@@ -101,3 +101,13 @@ def test_copies_after_near_copies_are_found_whole(spark):
     for g in range(6):
         copy = 100 * g + 51
         assert len({x for d, a, b in spans if d == copy for x in range(a, b)}) == len(texts[copy])
+
+
+def test_periodic_runs_are_found(spark):
+    rnd = random.Random(9)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    runs = [" ".join(["For"] * 60), " ".join(["In."] * 200), " ".join(["ab", "cde"] * 40), "\n".join(["x"] * 70), " ".join(["one", "two", "three", "four"] * 20)]
+    rows = [(10 * k + i, f"{words(30)} {run} {words(30)}") for k, run in enumerate(runs) for i in range(2)]
+    spans = spans_of(spark, rows)
+    assert {d for d, _, _ in spans} == {10 * k + 1 for k in range(len(runs))}
+    assert not uncovered(rows, spans)
