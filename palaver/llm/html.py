@@ -1,9 +1,10 @@
 """Operator 1: main text of web pages by two passes of block rules.
 
 Pass one classifies each block by itself: blocks in menus, headers, footers, forms, adverts and reader comments are
-boilerplate, blocks of a declared article are text; without such a declaration, stop-word density, length and link
-density decide, and short blocks stay open.  Pass two gives open blocks the label that their nearest decided
-neighbours on both sides share, or else that of the nearer one.
+boilerplate, blocks of a declared article are text unless they are mostly links, which stay open; for all others, beside
+an article too, stop-word density, length and link density decide, and short blocks stay open.  Pass two gives open
+blocks the label that their nearest decided neighbours on both sides share, or else that of the nearer one; a declared
+article's border is not crossed.
 
 Cases: null and empty pages have an empty text; unclosed and misnested tags end with the element around them; a page
 cut off in a tag or a script ends there; character references are decoded once; repeated rows and further columns
@@ -190,12 +191,11 @@ _WORD = re.compile(r"\w+")
 
 def classify(blocks: list[Block]) -> list[Block]:
     """Label blocks: pass one by themselves, pass two by their neighbours."""
-    declared = any(b.declared and not b.out for b in blocks)
     for b in blocks:
         if b.out:
             b.label = BAD
-        elif declared:
-            b.label = GOOD if b.declared else BAD
+        elif b.declared:
+            b.label = OPEN if b.link_chars / len(b.text) > MOST_LINKS else GOOD
         else:
             n = len(b.text)
             words = _WORD.findall(b.text.lower())
@@ -212,8 +212,8 @@ def classify(blocks: list[Block]) -> list[Block]:
     for i, b in enumerate(blocks):
         if first[i] != OPEN:
             continue
-        left = next((k for k in range(i - 1, -1, -1) if first[k] != OPEN), None)
-        right = next((k for k in range(i + 1, len(blocks)) if first[k] != OPEN), None)
+        left = next((k for k in range(i - 1, -1, -1) if first[k] != OPEN and blocks[k].declared == b.declared), None)
+        right = next((k for k in range(i + 1, len(blocks)) if first[k] != OPEN and blocks[k].declared == b.declared), None)
         if left is None and right is None:
             b.label = GOOD if len(b.text) >= LENGTH_LOW else BAD
         elif left is None or right is None:

@@ -45,3 +45,11 @@ def test_whole_articles(spark):
         body = re.search(r"<article>(.*?)(</article>|<footer>)", r.html, re.S)[1]
         want = " ".join(unescape(re.sub(r"<br>|</?(p|h\d|div|li|ul|ol)\b[^>]*>", " ", body).replace("<b>", "").replace("</b>", "").replace("<i>", "").replace("</i>", "")).split())
         assert html.main_text(r.html) == want
+
+
+def test_body_beside_declared_teasers():
+    teaser = '<article><h3><a href="/x">Another story</a></h3><a href="/x">Read it all here</a></article>'
+    page = f"<body><div><h1>Head</h1><div>{LONG}</div><div>Short.</div><p>{LONG}</p></div>{teaser}{teaser}<div>Tail</div></body>"
+    assert html.main_text(page).startswith(f"Head {LONG} Short. {LONG}") and "Another" not in html.main_text(page)
+    page = f'<article><h1><a href="/me">Title</a></h1><p>{LONG}</p><p><a href="/x">A link</a></p><p>End</p></article>c'
+    assert html.main_text(page) == f"Title {LONG} A link End"
