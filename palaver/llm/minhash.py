@@ -12,7 +12,7 @@ confirmed links give provisional components (large-star and small-star).  Only b
 one component are looked at again: their classes outside the bucket's main component are held against those of
 other components.  Candidates inside one component can't change it, so the result is that of all pairs.  This second
 look takes blocks of about ``BLOCK`` classes at a time and counts the shared shingles of two blocks by a matrix
-product; only pairs that reach the threshold leave a task.
+product; only pairs that may reach the threshold leave a task.
 
 Cases: null and empty texts and texts without words have an empty set, link with nothing and are kept; null doc_ids
 are dropped by ``near_duplicates`` because a class needs a name; repeated rows of a doc_id count once each in the
@@ -163,7 +163,7 @@ def _shared(x: list[np.ndarray], y: list[np.ndarray], width: int = 8192) -> np.n
 
 
 def _compare_blocks(batches):
-    """Pairs of classes of two blocks, in different components, whose shortened sets reach the threshold."""
+    """Pairs of classes of two blocks, in different components, whose shortened sets may reach the threshold."""
     over, under = SIMILARITY
     for batch in batches:
         found_a, found_b = [], []
@@ -174,7 +174,9 @@ def _compare_blocks(batches):
                 sets = [np.frombuffer(v.as_buffer(), np.uint32) for v in block.field("members")]
                 sides.append([block.field(name).to_numpy(zero_copy_only=False) for name in ("doc_id", "component", "n_shingles")] + [sets])
             (ids, parts, sizes, x), (ids2, parts2, sizes2, y) = sides
-            shared = _shared(x, y)
+            # shared members with equal upper halves count once: at most as often as either set's own collide
+            lost, lost2 = (np.array([len(v) - len(np.unique(v)) for v in sets], np.int64) for sets in (x, y))
+            shared = _shared(x, y).astype(np.int64) + np.minimum(lost[:, None], lost2[None, :])
             good = (parts[:, None] != parts2[None, :]) & (under * shared >= over * (sizes[:, None] + sizes2[None, :] - shared))
             i, j = np.nonzero(good)
             found_a.append(np.minimum(ids[i], ids2[j]))
@@ -184,7 +186,7 @@ def _compare_blocks(batches):
 
 
 def _short_sets(batches):
-    """Sets cut to 32 bits a member: shared members are never missed, a chance agreement is settled by the full sets."""
+    """Sets cut to 32 bits a member, collisions kept: the full sets settle what agrees by chance or is granted for them."""
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(x >> U64(32)).astype(np.uint32).tobytes() for x in shingle_sets(batch.column(1))], pa.binary())], ["doc_id", "members"])
 

@@ -90,3 +90,21 @@ def test_second_look_finds_links_past_the_first_class(spark):
         minhash.BLOCK = old
     want = brute(rows)
     assert out == want and 3 < sum(k for _, _, k in want.values()) < 60
+
+
+def test_blocks_keep_pairs_whose_short_members_collide():
+    import numpy as np
+    import pyarrow as pa
+
+    def block(doc, members):
+        short = (np.array(members, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes()
+        return [{"doc_id": doc, "component": doc, "n_shingles": len(members), "members": short}]
+
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("component", pa.int64()), ("n_shingles", pa.int64()), ("members", pa.binary())]))
+    # three of four members are shared, exactly 75 %, two of them with equal upper halves
+    x, y = [(5 << 32) + 1, (5 << 32) + 2, 9 << 32], [(5 << 32) + 1, (5 << 32) + 2, 9 << 32, 11 << 32]
+    z = [5 << 32, 13 << 32, 14 << 32, 15 << 32]
+    left, right = ([block(1, x), block(1, x)], [block(2, y), block(3, z)])
+    batch = pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["x", "y"])
+    (out,) = minhash._compare_blocks([batch])
+    assert out.to_pylist() == [{"a": 1, "b": 2}]
