@@ -114,6 +114,11 @@ class Index:
         return out
 
     def _bands(self, hit, at, text, starts) -> list[tuple[int, int, int, int]]:
+        # a key has 29 bits for text and passage: more of both are taken some texts at a time
+        low, high, most = int(text.min()), int(text.max()), max(1, ((1 << 29) - 1) // len(self.passages))
+        if high - low >= most:
+            cuts = np.unique(np.append(np.searchsorted(text, np.arange(low, high + 1, most)), len(text)))
+            return [x for i, j in zip(cuts[:-1], cuts[1:], strict=True) for x in self._bands(hit[i:j], at[i:j], text[i:j], starts)]
         many = self.count[at]
         each = np.repeat(np.arange(len(at)), many)
         nth = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
@@ -122,10 +127,7 @@ class Index:
         diagonal = hit[each] - starts[text[each]] - self.place[posting]
         width = self.edits[passage] + 1
         cell = (diagonal + (1 << 31)) // width
-        low = int(text.min())
         key = ((text[each] - low) * len(self.passages) + passage) * (1 << 33) + cell
-        if (int(text.max()) - low + 1) * len(self.passages) >= 1 << 29:
-            raise ValueError("too many texts in a block for this slice of passages")
         cells, counts = np.unique(key, return_counts=True)
         following = np.zeros_like(counts)
         following[:-1] = np.where(cells[1:] == cells[:-1] + 1, counts[1:], 0)

@@ -79,3 +79,16 @@ def test_align_is_exact():
     for (p, t), got in zip(pairs, d.align([(code(p), code(t), -len(p), len(t), len(p)) for p, t in pairs]), strict=True):
         want = least_edits(p, t)
         assert got[0] == want and least_edits(p, t[got[1] : got[2]]) == want
+
+
+def test_many_texts_against_many_passages():
+    rnd = random.Random(7)
+    passages = [" ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(20)) for _ in range(3)]
+    index = d.Index(list(enumerate(passages)))
+    texts = [np.zeros(0, np.uint32)] * 10_000
+    for t, p in ((0, 0), (5_000, 1), (9_999, 2)):
+        texts[t] = index.passages[p]
+    want = index.regions(texts)
+    # passages without a shared q-gram only widen the keys
+    index.passages += [index.passages[0]] * 60_000
+    assert index.regions(texts) == want and {(t, p) for t, p, _, _ in want} == {(0, 0), (5_000, 1), (9_999, 2)}
