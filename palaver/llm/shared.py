@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -18,13 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _OWN: dict[str, str] = {}
+#: Tables in the shared folder that may still be read, in the order written.
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session whose executors are threads of this machine (``local[n]``, tests) gets a temporary
+    folder; any other is refused, because its executors would write to their own disks.
+    """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if context.applicationId not in _OWN:
             _OWN[context.applicationId] = tempfile.mkdtemp(prefix="palaver-")
         found = _OWN[context.applicationId]
@@ -32,7 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/palaver/{tag}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; it is deleted by :func:`clear`, or when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/palaver/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -48,13 +63,85 @@ def _remember(df: DataFrame, path: str) -> DataFrame:
     return df
 
 
+def _delete(path: str, spark: SparkSession) -> None:
+    _WRITTEN.pop(path, None)
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(where, True)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table written by :func:`materialize` that nothing reads any more."""
     path = df.__dict__.get("_palaver_path") if df is not None else None
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(path, df.sparkSession)
+
+
+def clear() -> None:
+    """Delete all intermediate tables; DataFrames that operators have returned and not yet run can't be run afterwards."""
+    for path, spark in list(_WRITTEN.items()):
+        _delete(path, spark)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Delete the intermediate tables written inside when the block ends: what it returns must have been stored by then."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path, spark in [x for x in _WRITTEN.items() if x[0] not in before]:
+            _delete(path, spark)
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone first
+        clear()
+
+
+# ---------------------------------------------------------------- what a Python worker keeps between tasks
+
+_STATE: dict[tuple, object] = {}
+
+
+def worker_state(owner: str, key, make):
+    """``make()``, kept in this Python worker until another owner or key is asked for.
+
+    Workers are reused by the stages of a job; what the stage before kept goes first, and its memory back to the system.
+    """
+    if (owner, key) not in _STATE:
+        if _STATE:
+            _STATE.clear()
+            release()
+        _STATE[owner, key] = make()
+    return _STATE[owner, key]
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+# ---------------------------------------------------------------- joins with a table of keys
+
+#: A key with more than this share of the rows is heavy; there are fewer than 1 / share of them, whatever the input.
+HEAVY = 1000
+
+
+def look_up(rows: DataFrame, keys: DataFrame, on: list[str], copies: str) -> DataFrame:
+    """``rows`` inner joined with ``keys`` (unique in ``on``); ``copies`` is the number of rows with a key.
+
+    Heavy keys are fewer than ``HEAVY``, so they are broadcast and their rows stay where they are; all others are joined by a
+    shuffle in which no key has more than a thousandth of the rows.  ``rows`` is read twice.
+    """
+    total = keys.agg(F.sum(copies)).first()[0] or 0
+    heavy = F.col(copies) * F.lit(HEAVY) > F.lit(total)
+    few = F.broadcast(keys.where(heavy).drop(copies))
+    return rows.join(few, on).unionByName(rows.join(F.broadcast(keys.where(heavy).select(*on)), on, "left_anti").join(keys.where(~heavy).drop(copies), on))
 
 
 def crc_mod(column: str, mod: int):
@@ -75,11 +162,12 @@ def text_runs(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20):
     for chunk in chunks:
         if chunk.null_count:
             chunk = chunk.fill_null("")
-        chunk = chunk.cast(pa.large_string())
+        if chunk.type not in (pa.string(), pa.large_string()):
+            chunk = chunk.cast(pa.large_string())
         n = len(chunk)
         if n:
             buffers = chunk.buffers()
-            offsets = np.frombuffer(buffers[1], np.int64)[chunk.offset : chunk.offset + n + 1]
+            offsets = np.frombuffer(buffers[1], np.int32 if chunk.type == pa.string() else np.int64)[chunk.offset : chunk.offset + n + 1].astype(np.int64)
             data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
             i = 0
             while i < n:
@@ -107,25 +195,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+#: Bytes whose powers are tabled; longer runs repeat the table.
+PERIOD = 1 << 20
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS:
         for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, U64)
+            steps = np.full(PERIOD, base, U64)
             steps[0] = 1
             _POWERS[name] = np.multiply.accumulate(steps)
     return _POWERS["up"], _POWERS["down"]
 
 
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of values[i] * base**i before each place (one entry more than values)."""
+    up, _ = _powers()
+    out = np.zeros(len(values) + 1, U64)
+    out[1:] = values
+    for k, at in enumerate(range(0, len(values), PERIOD)):
+        part = out[1 + at : 1 + at + PERIOD]
+        part *= up[: len(part)]
+        if k:
+            part *= U64(pow(_BASE, at, 1 << 64))
+    return np.cumsum(out, out=out)
+
+
+def powers_down(at: np.ndarray) -> np.ndarray:
+    """base**-i for each place."""
+    _, down = _powers()
+    if not len(at) or int(at.max()) < PERIOD:
+        return down[at]
+    far = np.array([pow(_INVERSE, int(k) * PERIOD, 1 << 64) for k in range(int(at.max()) // PERIOD + 1)], U64)
+    return down[at % PERIOD] * far[at // PERIOD]
+
+
 def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a run of rows, A-Z lower-cased.
 
     Returns the 64-bit hash of each word, its first byte, the byte after it, and the number of words before
-    each row (one entry more than rows).  Words never cross rows.
+    each row (one entry more than rows).  Words never cross rows.  A long run is hashed in parts that end at white space,
+    so memory beyond the words themselves is that of a part, or of the longest word.
     """
     n = len(data)
     if not n:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    if n <= 2 * PERIOD:
+        hashes, first, end = _hash_words(offsets, data)
+    else:
+        parts, a = [], 0
+        while a < n:
+            b = min(a + PERIOD, n)
+            while b < n:  # the next white space
+                gap = np.flatnonzero(_SPACE[data[b : b + 4096]])
+                b = b + int(gap[0]) if len(gap) else min(b + 4096, n)
+                if len(gap):
+                    break
+            inside = offsets[(offsets > a) & (offsets < b)] - a
+            h, x, y = _hash_words(inside, data[a:b])
+            parts.append((h, x + a, y + a))
+            a = b
+        hashes, first, end = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return hashes, first, end, np.searchsorted(first, offsets)
+
+
+def _hash_words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data)
     word = ~_SPACE[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
@@ -135,11 +270,8 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     ends[:-1] &= ~word[1:]
     ends[inner - 1] = word[inner - 1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-    up, down = _powers(n)
-    total = np.cumsum(_BYTE[data] * up[:n], dtype=U64)
-    before = np.where(first > 0, total[np.maximum(first - 1, 0)], U64(0))
-    hashes = mix((total[last] - before) * down[first])
-    return hashes, first, last + 1, np.searchsorted(first, offsets)
+    total = prefix_sums(_BYTE[data])
+    return mix((total[last + 1] - total[first]) * powers_down(first)), first, last + 1
 
 
 # ---------------------------------------------------------------- prefilters by a bitmap of keys

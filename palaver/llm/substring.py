@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.shared import U64, KeyBits, discard, materialize, mix, table, text_runs
+from palaver.llm.shared import U64, KeyBits, discard, materialize, mix, powers_down, prefix_sums, table, text_runs
 
 REACH = 24
 WORDS = 50
@@ -67,12 +67,6 @@ def boundaries(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((middle < before) & (middle <= after)) + REACH + 1
 
 
-def _prefix(data: np.ndarray, powers: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTES[data] * powers[: len(data)], out=out[1:])
-    return out
-
-
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte of each word and the byte after it."""
     edge = np.diff(np.concatenate(([False], ~_IS_SPACE[data], [False])).astype(np.int8))
@@ -81,21 +75,18 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _texts(batches):
     """(doc_id, bytes, words, digests of pieces as a function of their ends) of each text that has a window."""
-    from palaver.llm.shared import _powers
-
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         null = np.asarray(batch.column(0).is_null())
         for first, offsets, data in text_runs(batch.column(1)):
-            up, down = _powers(len(data))
-            total = _prefix(data, up)
+            total = prefix_sums(_BYTES[data])
             for r in range(len(offsets) - 1):
                 a, b = int(offsets[r]), int(offsets[r + 1])
                 if b - a <= 2 * WORDS or null[first + r]:
                     continue
                 words = _words(data[a:b])
                 if len(words[0]) > WORDS:
-                    yield int(ids[first + r]), data[a:b], words, lambda x, y, a=a: mix((total[a + y] - total[a + x]) * down[a + x] + (y - x).astype(U64)).view(np.int64)
+                    yield int(ids[first + r]), data[a:b], words, lambda x, y, a=a: mix((total[a + y] - total[a + x]) * powers_down(a + x) + (y - x).astype(U64)).view(np.int64)
         yield None
 
 

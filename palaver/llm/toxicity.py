@@ -13,7 +13,9 @@ held-out rows.  Scores cover every whole text.
 
 Cases: null and empty texts have no features and get the score of the bias; labels that are null or refer to no
 document are not used; several labels of a document count as toxic if one is; without any confirmed text every score
-is 0; repeated rows and further columns don't matter; an empty table gives an empty table.
+is 0; rows that repeat a doc_id are scored each by their own text; null doc_ids are scored too; ties don't arise; very
+long texts are hashed in parts; further columns pass through ``score``, but for those named as its results, which are
+replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.shared import _BYTE, U64, KeyBits, _powers, crc_mod, mix, table, text_runs
+from palaver.llm.shared import _BYTE, U64, KeyBits, crc_mod, mix, powers_down, prefix_sums, table, text_runs
 
 POSITIVES, UNLABELLED = 2_000, 4_000
 FEATURES = 1_024
@@ -49,10 +51,8 @@ def features(offsets: np.ndarray, data: np.ndarray):
     begins[inner] = word[inner]
     ends[inner - 1] = word[inner - 1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-    up, down = _powers(n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    before, scale = total[first], down[first]
+    total = prefix_sums(_BYTE[data])
+    before, scale = total[first], powers_down(first)
     row = np.searchsorted(offsets, first, "right") - 1
     size = last - first + 1
     yield row, (mix((total[last + 1] - before) * scale + _KIND[0]) >> U64(64 - BITS)).astype(np.uint32)
@@ -186,8 +186,9 @@ def training_sets(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with score and predicted in place of the text."""
+    """``docs`` with score and predicted in place of the text; columns of these names that it has go."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(*({"score", "predicted"} - {text_col}))
     at = docs.columns.index(text_col)
     rest = [c for c in docs.columns if c != text_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col) + ", score double, predicted int"

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from palaver.llm import shared
@@ -46,3 +47,59 @@ def test_materialized_tables_are_deleted(spark):
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     assert not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def test_long_runs_are_hashed_in_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(list("abcdé  \n"), 5000))
+    column = pa.array([text, "x" * 300, None, text])
+    (_, offsets, data), *none = shared.text_runs(column)
+    want = shared.word_hashes(offsets, data)
+    assert not none
+    monkeypatch.setattr(shared, "PERIOD", 64)
+    monkeypatch.setattr(shared, "_POWERS", {})
+    got = shared.word_hashes(offsets, data)
+    assert all(np.array_equal(a, b) for a, b in zip(want, got, strict=True))
+    assert len(shared._POWERS["up"]) == 64
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    with shared.scratch():
+        inner = shared.materialize(spark.range(3), "t")
+        with shared.scratch():
+            second = shared.materialize(inner.selectExpr("id + 1 as id"), "t")
+            assert second.count() == 3
+        assert inner.count() == 3 and second.__dict__["_palaver_path"] not in shared._WRITTEN
+    assert inner.__dict__["_palaver_path"] not in shared._WRITTEN
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    class Context:
+        master, applicationId = "yarn", "x"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session)
+    Context.master = "local[2]"
+    assert "palaver-" in shared.shared_dir(Session)
+
+
+def test_heavy_keys_are_looked_up(spark):
+    keys = spark.createDataFrame([(1, 9, 5000), (2, 8, 3), (3, 7, 1)], "k int, v int, n bigint")
+    rows = spark.range(6000).selectExpr("id", "case when id < 5000 then 1 when id < 5003 then 2 when id < 5004 then 3 when id < 5500 then 4 end as k")
+    got = {r.v: r["count"] for r in shared.look_up(rows, keys, ["k"], "n").groupBy("v").count().collect()}
+    assert got == {9: 5000, 8: 3, 7: 1} and shared.look_up(rows, keys.limit(0), ["k"], "n").count() == 0
+
+
+def test_worker_state_belongs_to_one_owner():
+    made = []
+    make = lambda x: lambda: made.append(x) or [x]
+    assert shared.worker_state("a", 1, make("a")) is shared.worker_state("a", 1, make("never"))
+    shared.worker_state("b", 1, make("b"))
+    assert list(shared._STATE) == [("b", 1)] and made == ["a", "b"]
