@@ -7,8 +7,9 @@ strings, parted by the spaces that the library puts where a file names no decode
 
 Cases: null and empty texts have no tokens and decode to the empty text; a text of white space only, too.
 Special tokens that stand in a text become their own ids.  Repeated rows give repeated results, columns other
-than the id and the text are not looked at, an empty table gives an empty table.  Memory: each Python worker
-keeps what it has encoded last: two dictionaries of at most ``CACHE_PIECES`` entries and their predecessors.
+than the id and the text are not looked at, an empty table gives an empty table.  Memory: texts are encoded one at a
+time; each Python worker keeps what it has encoded last, at most ``CACHE_BYTES`` of it, and nothing of words that are
+longer than ``LONGEST_KEPT``.
 """
 
 from __future__ import annotations
@@ -18,17 +19,20 @@ import json
 import struct
 import unicodedata
 from heapq import heapify, heappop, heappush
-from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm.shared import table
+from palaver.llm.shared import table, worker_state
 
-#: Pieces of text kept with their ids in each worker (twice this with the preceding ones); it bounds memory only.
-CACHE_PIECES = 300_000
-_FIRST, _SECOND = itemgetter(0), itemgetter(1)
+#: Bytes of the words and pieces kept with their ids in each worker, about; it bounds memory only.
+CACHE_BYTES = 96 << 20
+#: What an entry takes besides the characters of its word and its ids.
+ENTRY_BYTES = 170
+#: Characters of the longest word or piece that is kept.
+LONGEST_KEPT = 64
 
 _SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Letters and digits of Unicode 17 that the library's tables (Unicode 16) do not have yet.
@@ -64,6 +68,32 @@ def byte_characters() -> list[str]:
     return out
 
 
+class Recent(dict):
+    """Ids of what was looked up last, in two generations that together hold about ``most`` bytes."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.room = self.half = most // 2
+        self.old: dict[str, bytes] = {}
+
+    def older(self, key: str) -> bytes | None:
+        """The value of a key that is not in the younger generation; it joins that generation."""
+        found = self.old.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(key) > LONGEST_KEPT:
+            return
+        self.room -= ENTRY_BYTES + len(key) + len(value)
+        if self.room < 0:
+            self.old = dict(self)
+            self.clear()
+            self.room = self.half
+        self[key] = value
+
+
 class BpeModel:
     """A BPE vocabulary with word ends, read from the JSON text of a ``tokenizers`` file."""
 
@@ -91,9 +121,7 @@ class BpeModel:
         chars = byte_characters()
         self.inner = [self.vocab.get(c) for c in chars]
         self.last = [self.vocab.get(c + self.suffix) for c in chars]
-        self._pieces: dict[str, tuple[bytes, str]] = {}
-        self._words: dict[str, tuple[bytes, str]] = {}
-        self._old_pieces, self._old_words = {}, {}
+        self._pieces, self._words = Recent(CACHE_BYTES // 8), Recent(CACHE_BYTES * 7 // 8)
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
@@ -139,77 +167,64 @@ class BpeModel:
             return self.pieces.findall(word)
         return [word[m.start() : m.end()] for m in self.pieces.finditer(_LATER.sub("\u0378", word))]
 
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        found = self._pieces.get(piece)
-        if found is None:
-            found = self._old_pieces.get(piece)
-            if found is None:
-                ids = self.encode_piece(piece)
-                found = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
-            if len(self._pieces) >= CACHE_PIECES:
-                self._old_pieces, self._pieces = self._pieces, {}
-            self._pieces[piece] = found
+    def _packed(self, piece: str) -> bytes:
+        ids = self.encode_piece(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        kept = self._pieces
+        found = kept.get(piece)
+        if found is None and (found := kept.older(piece)) is None:
+            found = self._packed(piece)
+            kept.keep(piece, found)
         return found
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        """Ids, four little-endian bytes each, and decoded text of what stands between two white spaces."""
+    def _word(self, word: str) -> bytes:
+        """Ids, four little-endian bytes each, of what stands between two white spaces."""
         if not word.isascii():
             word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
             if _CAPITAL.search(word):
                 word = word.translate(_CAPITALS)
         low = word.lower()
         if low.isalpha() and (low.isascii() or not _LATER.search(low)):
-            return self._piece(low)
-        found = [self._piece(x) for x in self._split(low)]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
+            return self._packed(low)
+        return b"".join(map(self._piece, self._split(low)))
 
-    def decode(self, ids) -> str:
-        return " ".join([self.strings[i] for i in ids if i in self.strings])
+    def decode(self, raw: bytes) -> str:
+        """The vocabulary strings of packed ids, parted by spaces."""
+        return " ".join(map(self.strings.__getitem__, np.frombuffer(raw, "<u4").tolist()))
 
-    def _plain(self, text: str, ids: list[bytes], words: list[str]) -> None:
-        """Append ids and decoded words of a text without special tokens."""
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
         parts = _SPLIT_SPACE.findall(text) if _NOT_ONIG_SPACE.search(text) else text.split()
-        try:
-            found = list(map(self._words.__getitem__, parts))
-        except KeyError:
-            if len(self._words) >= CACHE_PIECES:
-                self._old_words, self._words = self._words, {}
-            known, old, found = self._words, self._old_words, []
-            for word in parts:
-                pair = known.get(word)
-                if pair is None:
-                    known[word] = pair = old.get(word) or self._word(word)
-                found.append(pair)
-        ids += map(_FIRST, found)
-        words += filter(None, map(_SECOND, found))
+        kept = self._words
+        found = list(map(kept.get, parts))
+        if None in found:
+            for k, raw in enumerate(found):
+                if raw is None:
+                    word = parts[k]
+                    raw = kept.get(word)
+                    if raw is None and (raw := kept.older(word)) is None:
+                        raw = self._word(word)
+                        kept.keep(word, raw)
+                    found[k] = raw
+        return b"".join(found)
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids of a whole text as little-endian unsigned 32-bit integers, and the decoded text."""
         ids: list[bytes] = []
-        words: list[str] = []
         if text:
             special = self.special
             if self.cut is not None and any(s in text for s in special):
                 for part in self.cut.split(text):
                     if part in special:
                         ids.append(struct.pack("<I", special[part]))
-                        words.append(part)
                     elif part:
-                        self._plain(part, ids, words)
+                        ids.append(self._plain(part))
             else:
-                self._plain(text, ids, words)
-        return b"".join(ids), " ".join(words)
-
-
-_MODELS: dict[int, BpeModel] = {}
-
-
-def _model(source: str) -> BpeModel:
-    key = hash(source)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = BpeModel(source)
-    return _MODELS[key]
+                ids.append(self._plain(text))
+        raw = b"".join(ids)
+        return raw, self.decode(raw)
 
 
 def read_vocabulary(path: str, max_bytes: int = 64 << 20) -> str:
@@ -226,17 +241,22 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     source = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        model = _model(source.value)
+        model = worker_state("bpe", hash(source.value), lambda: BpeModel(source.value))
         for batch in batches:
-            out = [model.encode(t.as_py()) for t in batch.column(1)]
-            counts = pa.array([len(i) // 4 for i, _ in out], pa.int64())
+            counts, ids, decoded = [], [], []
+            for text in batch.column(1):
+                raw, words = model.encode(text.as_py())
+                counts.append(len(raw) // 4)
+                if digests:
+                    ids.append(hashlib.sha256(raw).hexdigest())
+                    decoded.append(hashlib.sha256(words.encode("utf-8", "surrogatepass")).hexdigest())
+                else:
+                    ids.append(np.frombuffer(raw, "<u4").astype(np.int64))
+                    decoded.append(words)
             if digests:
-                rest = [counts, pa.array([hashlib.sha256(i).hexdigest() for i, _ in out]), pa.array([hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for _, d in out])]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
-                rest = [pa.array([[x[0] for x in struct.iter_unpack("<I", i)] for i, _ in out], pa.list_(pa.int64())), counts, pa.array([d for _, d in out])]
-                names = ["doc_id", "ids", "n_tokens", "decoded"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *rest], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(counts, pa.int64()), pa.array(decoded, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(run, SCHEMA_DIGESTS if digests else SCHEMA_TOKENS)
 

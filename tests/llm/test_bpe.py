@@ -42,3 +42,23 @@ def test_documents(spark):
     full = {r.doc_id: r for r in bpe.encode_documents(df, bpe.read_vocabulary(PATH)).collect()}
     assert full[1].decoded == "one</w> two</w>" and len(full[1].ids) == full[1].n_tokens == 2
     assert bpe.encode_documents(df.limit(0), bpe.read_vocabulary(PATH)).count() == 0
+
+
+def test_kept_words_are_bounded():
+    model = bpe.BpeModel(bpe.read_vocabulary(PATH))
+    model._words, model._pieces = bpe.Recent(200_000), bpe.Recent(100_000)
+    text = " ".join(f"w{k}x" for k in range(20_000))
+    assert model.encode(text) == MODEL.encode(text)
+    for kept in (model._words, model._pieces):
+        assert 0 < len(kept) + len(kept.old) < 200_000 / bpe.ENTRY_BYTES + 2
+    long = "日本語テキスト" * 5000
+    assert model.encode(long) == MODEL.encode(long) and long not in model._words and long not in model._words.old
+    known = model.encode("w1x w19999x")
+    assert known == MODEL.encode("w1x w19999x")
+
+
+def test_long_texts_without_spaces(spark):
+    text = "".join(chr(0x4E00 + k % 300) for k in range(60_000))
+    df = spark.createDataFrame([(k, text + str(k)) for k in range(3)], "doc_id bigint, text string")
+    want = {k: len(LIBRARY.encode(text + str(k), add_special_tokens=False).ids) for k in range(3)}
+    assert {r.doc_id: r.n_tokens for r in bpe.encode_documents(df, bpe.read_vocabulary(PATH), digests=True).collect()} == want
