@@ -3,8 +3,8 @@
 A suffix automaton of labelled text is built for each language.  A text is cross-parsed with each: the parser takes
 the longest match that the automaton knows, starts again at the letter that broke it, and counts the phrases.  The
 language with the fewest phrases, each weighted by the logarithm of that language's learned length (Ziv and Merhav's
-estimate), wins.  An automaton's moves are a dense table, so that a NumPy step advances thousands of segments in all
-languages at once.
+estimate), wins.  The automata's moves stand in one sparse array, so that a NumPy step advances thousands of segments in
+all languages at once, and an alphabet of thousands of letters costs no more than its moves.
 
 What is learned is bounded: at most ``LETTERS_PER_LANGUAGE`` letters of each language, taken from about
 ``DOCS_PER_LANGUAGE`` training documents in the order of a hash of their ids.  Everything else covers whole texts:
@@ -12,12 +12,14 @@ they are cut into segments of ``SEGMENT`` letters, each parsed from the root.
 
 Cases: null texts and texts without a letter get ``und`` and score 0; a language that only has null or letterless
 training text isn't learned; without any training text every prediction is ``und``; ties go to the language that
-sorts first; repeated rows and further columns don't matter.
+sorts first; rows that repeat a doc_id, null ones too, are predicted each; very long texts are parsed whole, segment by
+segment; further columns stay, but for those named as the results, which are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.shared import crc_mod, table
+from palaver.llm.shared import crc_mod, table, worker_state
 
 LETTERS_PER_LANGUAGE = 40_000
 DOCS_PER_LANGUAGE = 200
@@ -95,28 +97,84 @@ def _letter_table() -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages in order, their weights, symbol of each known code point, and the automata's moves."""
+    """Languages in order, their weights, symbol of each known code point, and the automata's moves.
+
+    The moves of all automata share one array: a state is named by its base, and its move by a symbol is the slot at
+    base + symbol if that slot carries the base (row displacement).  So memory grows with the moves, not with states
+    times letters.
+    """
 
     languages: list[str]
     weights: np.ndarray
     alphabet: np.ndarray  # sorted code points; symbol i + 1; 0 is any other character
-    roots: np.ndarray
-    edges: bytes  # compressed (state, symbol, target) triples of all automata, states numbered through
-    states: int
-
-    def table(self) -> np.ndarray:
-        """Next row of the table times two, plus one where a phrase ends; rows have as many places as symbols."""
-        width = len(self.alphabet) + 1
-        state, symbol, target = np.frombuffer(zlib.decompress(self.edges), np.int32).reshape(3, -1)
-        out = np.full((self.states, width), -1, np.int64)
-        out[state, symbol] = target * (2 * width)
-        bounds = np.append(self.roots, self.states)
-        for k, root in enumerate(self.roots):
-            # a letter that breaks a match begins the next phrase; one that the root doesn't know is a phrase itself
-            start = np.where(out[root] >= 0, out[root], root * 2 * width) + 1
-            rows = out[root : bounds[k + 1]]
-            np.copyto(rows, start[None, :], where=rows < 0)
-        return out.astype(np.int32 if self.states * width * 2 < 2**31 else np.int64).ravel()
+    roots: np.ndarray  # base of each root
+    starts: np.ndarray  # by language and symbol: the state after a phrase that this symbol begins
+    slots: bytes  # compressed: base << 32 | next base; -1 where empty
+
+
+def displace(rows: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Bases of the rows (symbols, next rows), all different, and the array of slots."""
+    sizes = np.array([len(x) for x, _ in rows], np.int64)
+    base = np.full(len(rows), -1, np.int64)
+    widest = max((max(x) for x, _ in rows if x), default=0) + 1
+    room = int(sizes.sum()) + widest + 4096
+    taken, used = np.zeros(room, bool), np.zeros(room, bool)
+
+    def grow(least: int) -> None:
+        nonlocal taken, used
+        more = max(least, len(taken)) // 2 + 4096
+        taken, used = (np.concatenate((x, np.zeros(more, bool))) for x in (taken, used))
+
+    begin, window = 0, 512
+    several = np.flatnonzero(sizes > 1)
+    for k in several[np.argsort(-sizes[several], kind="stable")].tolist():
+        symbols = np.array(rows[k][0])
+        at = begin
+        while True:
+            if at + window + widest > len(taken):
+                grow(at + window + widest)
+            good = ~used[at : at + window]
+            for s in symbols.tolist():
+                good &= ~taken[at + s : at + s + window]
+            found = int(good.argmax())
+            if good[found]:
+                break
+            at += window
+        base[k] = at + found
+        used[at + found] = taken[at + found + symbols] = True
+        if at > begin and used[begin : begin + window].mean() + taken[begin : begin + window].mean() > 1:
+            begin += window
+    # rows of one move, by symbol, take the free slots in order; bases that clash try again
+    single = np.flatnonzero(sizes == 1)
+    symbol = np.array([rows[k][0][0] for k in single.tolist()], np.int64)
+    order = np.argsort(symbol, kind="stable")
+    left, symbol = single[order], symbol[order]
+    after = widest
+    while len(left):
+        free = np.flatnonzero(~taken[after:])[: len(left)] + after
+        if len(free) < len(left):
+            grow(len(taken) + len(left))
+            continue
+        wanted = free - symbol
+        good = ~used[wanted]
+        _, first = np.unique(wanted, return_index=True)
+        once = np.zeros(len(wanted), bool)
+        once[first] = True
+        good &= once
+        base[left[good]] = wanted[good]
+        used[wanted[good]] = taken[free[good]] = True
+        if not good.any():
+            after = int(free[-1]) + 1
+        left, symbol = left[~good], symbol[~good]
+    none = np.flatnonzero(sizes == 0)
+    top = int(base.max(initial=-1)) + 1
+    base[none] = np.arange(top, top + len(none))
+    slots = np.full(int(base.max(initial=0)) + widest + 1, -1, np.int64)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    symbols = np.array([s for x, _ in rows for s in x], np.int64)
+    target = np.array([t for _, x in rows for t in x], np.int64)
+    slots[base[owner] + symbols] = base[owner] << 32 | base[target]
+    return base, slots
 
 
 def learn(samples: dict[str, list[str]], most: int = LETTERS_PER_LANGUAGE) -> Model:
@@ -133,24 +191,30 @@ def learn(samples: dict[str, list[str]], most: int = LETTERS_PER_LANGUAGE) -> Mo
         if parts:
             taken[lang] = np.concatenate(parts)
     alphabet = np.unique(np.concatenate([*taken.values(), np.array([32], np.uint32)]))
-    triples, roots, states = [], [], 0
+    rows, roots = [], []
     for x in taken.values():
         automaton = Automaton((np.searchsorted(alphabet, x) + 1).tolist())
-        roots.append(states)
-        triples += [(states + s, c, states + t) for s, row in enumerate(automaton.moves) for c, t in row.items()]
-        states += len(automaton.moves)
-    edges = np.array(triples, np.int32).reshape(-1, 3).T.copy()
+        first = len(rows)
+        roots.append(first)
+        rows += [(list(row), [first + t for t in row.values()]) for row in automaton.moves]
+    base, slots = displace(rows)
+    starts = np.zeros((len(roots), len(alphabet) + 1), np.int64)
+    for k, root in enumerate(roots):
+        # a letter that the root doesn't know is a phrase itself
+        starts[k] = base[root]
+        starts[k, rows[root][0]] = base[rows[root][1]]
     weights = np.array([math.log2(len(x) + 1) for x in taken.values()])
-    return Model(list(taken), weights, alphabet, np.array(roots, np.int64), zlib.compress(edges.tobytes(), 6), states)
+    return Model(list(taken), weights, alphabet, base[np.array(roots, np.int64)], starts, zlib.compress(slots.tobytes(), 6))
 
 
 class Parser:
     """Counts the phrases of many texts in all languages."""
 
     def __init__(self, model: Model):
-        self.model, self.moves, self.width = model, model.table(), len(model.alphabet) + 1
-        self.symbol = np.zeros(0x110000, np.uint16)
-        self.symbol[model.alphabet] = np.arange(1, self.width)
+        self.model = model
+        self.slots = np.frombuffer(zlib.decompress(model.slots), np.int64)
+        self.symbol = np.zeros(0x110000, np.int32)
+        self.symbol[model.alphabet] = np.arange(1, len(model.alphabet) + 1)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns); texts are arrays of code points."""
@@ -169,12 +233,16 @@ class Parser:
         # one line of the matrix for each letter's place: all segments that reach it
         lanes = len(owner)
         count = np.zeros((len(self.model.languages), lanes), np.int32)
-        state = np.repeat((self.model.roots * 2 * self.width).astype(self.moves.dtype)[:, None], lanes, axis=1)
+        state = np.repeat(self.model.roots[:, None], lanes, axis=1)
         live = np.searchsorted(-size, -np.arange(int(size[0])), "left")
         for step, n in enumerate(live.tolist()):
-            moved = self.moves[(state[:, :n] >> 1) + flat[begin[:n] + step]]
-            count[:, :n] += moved & 1
-            state[:, :n] = moved & -2
+            symbol = flat[begin[:n] + step]
+            now = state[:, :n]
+            slot = self.slots[now + symbol]
+            broken = (slot >> 32) != now
+            count[:, :n] += broken
+            # a letter that breaks a match begins the next phrase
+            state[:, :n] = np.where(broken, self.model.starts[:, symbol], slot & 0xFFFFFFFF)
         np.add.at(out, owner, (count + 1).T)
         return out
 
@@ -225,21 +293,17 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return out
 
 
-_PARSERS: dict[int, Parser] = {}
-
-
 def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score."""
+    """``docs`` with the predicted language and its score; columns of these names that it has are replaced."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
+    docs = docs.drop(*({pred_col, score_col} - {text_col}))
     at = docs.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{pred_col}` string, `{score_col}` double"
 
     def run(batches):
-        if id(sent.value) not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[id(sent.value)] = Parser(sent.value)
-        parser = _PARSERS[id(sent.value)]
+        parser = worker_state("langid", name, lambda: Parser(sent.value))
         for batch in batches:
             found = parser.predict(batch.column(at).to_pylist())
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]

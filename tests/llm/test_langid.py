@@ -43,7 +43,7 @@ def test_long_texts_are_the_sum_of_their_segments():
 
 
 def test_cases(spark):
-    df = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 !?", None), (4, "the and of the", "en"), (5, "der die und", "de"), (5, "der die und", "de")], "doc_id bigint, text string, lang string").selectExpr("*", "1 as lang_pred2")
+    df = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 !?", None), (4, "the and of the", "en"), (5, "der die und", "de"), (5, "der die und", "de")], "doc_id bigint, text string, lang string").selectExpr("*", "1 as lang_pred", "'x' as score", "2 as band")
     model = langid.learn(langid.training_sample(df, "doc_id", "text", "lang"))
     out = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, model).collect()}
     assert out[1] == out[2] == out[3] == ("und", 0.0)
@@ -52,6 +52,29 @@ def test_cases(spark):
     assert {r.lang_pred for r in langid.identify(df, langid.learn({})).collect()} == {"und"}
 
 
+def test_thousands_of_letters_take_little_memory():
+    rnd = random.Random(9)
+    letters = [chr(0x4E00 + k) for k in range(3000)], [chr(0x5E00 + k) for k in range(3000)], [chr(0x20000 + k) for k in range(3000)]
+    draw = lambda k, n: "".join(letters[k][min(int(rnd.expovariate(1 / 300)), 2999)] for _ in range(n))
+    model = langid.learn({f"l{k}": [draw(k, 40_000)] for k in range(3)})
+    parser = langid.Parser(model)
+    assert parser.slots.nbytes + parser.symbol.nbytes + model.starts.nbytes < 20 << 20
+    assert [x for x, _ in parser.predict([draw(k, 50) for k in range(3)])] == ["l0", "l1", "l2"]
+
+
+def test_displaced_rows_are_found_again():
+    rnd = random.Random(2)
+    rows = [(sorted(rnd.sample(range(1, 60), min(59, max(0, int(rnd.expovariate(0.6)))))), None) for _ in range(3000)]
+    rows = [(x, [rnd.randrange(3000) for _ in x]) for x, _ in rows]
+    base, slots = langid.displace(rows)
+    assert len(set(base.tolist())) == len(rows) and len(slots) < 2 * sum(len(x) for x, _ in rows) + 4096
+    for b, (symbols, targets) in zip(base.tolist(), rows, strict=True):
+        known = dict(zip(symbols, targets, strict=True))
+        for s in range(60):
+            found = int(slots[b + s]) if b + s < len(slots) else -1
+            assert (found >> 32 == b) == (s in known) and (s not in known or found & 0xFFFFFFFF == base[known[s]])
+
+
 def test_held_out_accuracy(spark):
     import os
 
