@@ -6,22 +6,27 @@ where it occurs, all of them on k + 1 neighbouring diagonals.  Shared q-grams ar
 diagonals; two neighbouring cells make a band, so that bands overlap and no occurrence falls between two.  Bands that
 meet the bound are verified by banded alignment: the whole passage against any part of the region, at most k edits.
 
-The passages travel to the workers in slices of at most ``SLICE_CHARS`` characters; a larger benchmark takes more
-passes over the documents, so nothing that is broadcast grows without bound.
+The passages travel to the workers in slices of about ``SLICE_CHARS`` characters, by a hash; of a larger benchmark one slice
+at a time is collected, searched for in all documents, its findings stored, and then dropped.  So neither the driver nor
+a worker ever holds more than a slice; the documents are read once a slice.
 
 Cases: null and empty documents and passages match nothing; passages that have less than ``MIN_CHARS`` characters
-after normalisation are ignored, since they occur by chance; an item_id with several passages matches by each; a
-repeated passage or document yields repeated rows only for repeated doc_ids; empty tables give an empty table.
+after normalisation are ignored, since they occur by chance; an item_id with several passages matches by each, and a null
+item_id is reported as null; rows that repeat a doc_id, null ones too, are searched each; of overlapping occurrences of a
+passage the one with the fewest edits, then the first, is reported; very long texts are a block of their own; empty
+tables give an empty table; further columns don't matter to ``leaks`` and stay in ``decontaminate``.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.shared import U64, KeyBits, materialize, mix, table
+from palaver.llm.shared import U64, KeyBits, materialize, mix, table, worker_state
 
 Q = 8
 EDIT_SHARE = 0.10
@@ -244,57 +249,55 @@ def occurrences(index: Index, texts: list[np.ndarray], batch: int = 256):
                 yield (t, p, *hit)
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str, most: int):
-    """The benchmark's passages in lists of about ``most`` characters."""
-    items = benchmark.selectExpr(f"cast(`{id_col}` as bigint) as item_id", f"cast(`{text_col}` as string) as text").where("text is not null")
-    total = items.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
-    parts = max(1, -(-total // most))
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect() if total else []
-        yield sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-
-
-_INDEXES: dict[int, tuple[list, Index]] = {}
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_chars: int = SLICE_CHARS) -> DataFrame:
     """Occurrences of benchmark passages in documents: ids, place in the text's code points, edits, passage length."""
-    docs = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+    slices = max(1, -(-total // slice_chars))
+    if slices == 1:
+        return _leaks_of(docs, items, total)[0]
+    # one slice at a time is in the driver and the workers
     out = None
-    for items in _slices(benchmark, item_col, item_text_col, slice_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches, sent=sent):
-            # the passages are kept beside their index: an id is only reused once its object is gone
-            if id(sent.value) not in _INDEXES:
-                _INDEXES.clear()
-                _INDEXES[id(sent.value)] = (sent.value, Index(sent.value))
-            index = _INDEXES[id(sent.value)][1]
-            for batch in batches:
-                n = batch.num_rows
-                i = 0
-                while i < n:
-                    texts, places, held, j = [], [], 0, i
-                    while j < n and held < BLOCK:
-                        x, at = normalise(batch.column(1)[j].as_py())
-                        texts.append(x)
-                        places.append(at)
-                        held += len(x)
-                        j += 1
-                    rows = []
-                    for t, p, edits, start, end in occurrences(index, texts):
-                        at = places[t]
-                        rows.append((batch.column(0)[i + t].as_py(), index.ids[p], int(at[start]) if start < len(at) else 0, int(at[end - 1]) + 1 if end else 0, edits, len(index.passages[p])))
-                    if rows:
-                        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
-                    i = j
-
-        part = docs.mapInArrow(run, FOUND)
+    for k in range(slices):
+        found, sent = _leaks_of(docs, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k), total)
+        part = materialize(found, "leaks")
+        sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _leaks_of(docs: DataFrame, items: DataFrame, total: int):
+    """Occurrences of a slice of passages, and the broadcast that holds them."""
+    rows = items.collect() if total else []
+    sent = docs.sparkSession.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])))
+    name = uuid.uuid4().hex
+
+    def run(batches):
+        index = worker_state("decontaminate", name, lambda: Index(sent.value))
+        for batch in batches:
+            n = batch.num_rows
+            i = 0
+            while i < n:
+                texts, places, held, j = [], [], 0, i
+                while j < n and held < BLOCK:
+                    x, at = normalise(batch.column(1)[j].as_py())
+                    texts.append(x)
+                    places.append(at)
+                    held += len(x)
+                    j += 1
+                rows = []
+                for t, p, edits, start, end in occurrences(index, texts):
+                    at = places[t]
+                    rows.append((batch.column(0)[i + t].as_py(), index.ids[p], int(at[start]) if start < len(at) else 0, int(at[end - 1]) + 1 if end else 0, edits, len(index.passages[p])))
+                if rows:
+                    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
+                i = j
+
+    return docs.mapInArrow(run, FOUND), sent
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark passage; rows without a doc_id stay."""
     bad = materialize(leaks(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "leaking")

@@ -92,3 +92,20 @@ def test_many_texts_against_many_passages():
     # passages without a shared q-gram only widen the keys
     index.passages += [index.passages[0]] * 60_000
     assert index.regions(texts) == want and {(t, p) for t, p, _, _ in want} == {(0, 0), (5_000, 1), (9_999, 2)}
+
+
+def test_many_short_passages_and_texts():
+    rnd = random.Random(12)
+    passage = lambda: " ".join("".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(5))
+    index = d.Index([(i, passage()) for i in range(60_000)])
+    texts = [d.normalise(passage())[0] for _ in range(20_000)]
+    texts[7] = index.passages[59_999]
+    assert (7, 59_999) in {(t, p) for t, p, *_ in d.occurrences(index, texts)}
+
+
+def test_slices_are_searched_for_one_after_the_other(spark):
+    docs, items = fixture()
+    a, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    whole, parts = d.leaks(a, b), d.leaks(a, b, slice_chars=400)
+    assert parts.rdd.getNumPartitions() > whole.rdd.getNumPartitions()
+    assert sorted(whole.collect()) == sorted(parts.collect())
