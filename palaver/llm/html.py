@@ -1,14 +1,22 @@
 """Operator 1: main text of web pages by two passes of block rules.
 
-Pass one classifies each block by itself: blocks in menus, headers, footers, forms, adverts and reader comments are
-boilerplate, blocks of a declared article are text unless they are mostly links, which stay open; for all others, beside
-an article too, stop-word density, length and link density decide, and short blocks stay open.  Pass two gives open
-blocks the label that their nearest decided neighbours on both sides share, or else that of the nearer one; a declared
-article's border is not crossed.
-
-Cases: null and empty pages have an empty text; unclosed and misnested tags end with the element around them; a page
-cut off in a tag or a script ends there; character references are decoded once; repeated rows and further columns
-don't matter; an empty table gives an empty table.
+A page is cut into blocks of text.  Pass one looks at each block by itself: its density of stop words, its length and its
+share of link text label it as text or boilerplate, or leave it open if it is short or undecided.  Markup is evidence in
+that: blocks of elements marked as menus, headers, footers, forms, notices, adverts or reader comments are boilerplate
+without further question, and a block in a declared article needs length only, not stop words.  Pass two gives open blocks
+the label that their nearest decided neighbours on both sides share, or else that of the nearer one, in one sweep each way.
+Marked elements and the borders of a declared article are walls: labels don't pass through them.  An open block
+without a decided neighbour is text if it stands in a declared article and is not mostly links, or if the page has no other
+text; else if it is long enough.
+
+If less than ``LEAST_STOP`` of the words of a page's unmarked blocks are stop words, its language is none of those
+listed, and length and links decide alone.  All steps take time in proportion to the page.
+
+Cases: null and empty pages have an empty text; unclosed and misnested tags end with the element around them (inline tags
+are looked for among the ``INLINE_REACH`` innermost elements); elements without text of their own, such as ``svg``, that are
+never closed lose their tag only; a page cut off in a tag, a script or a style ends there; character references are
+decoded once; rows that repeat a page_id, null ones too, are extracted each; very long pages are extracted whole; further
+columns don't matter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,6 +27,7 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palaver.llm.shared import table
 
@@ -29,6 +38,8 @@ STOP_WORDS = frozenset(
     their there they this to was we were which will with would you
     au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour qu que qui sa se ses
     son sur un une vous
+    а без бы был была были было быть в во вот все вы где да для до его ее если есть еще же за и из или их к как когда которые который кто ли
+    меня мне мы на нас не него нее нет ни но ну о об он она они от по под при с со так также то того тоже только у уже чем что чтобы эта эти это я
     aber als auch auf aus bei bin das dem den der des die ein eine einen er es für hat ich im in ist mit nach nicht noch sich sie sind
     und von war wie wir zu zum zur
     al como con de del el ella en es esta este ha la las lo los más no o para pero por que se sin sobre su sus un una y ya
@@ -45,11 +56,24 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _OUT = frozenset("nav aside form footer button menu dialog".split())
 _MAIN = frozenset("article main".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-_MARK = re.compile(
-    r"(?<![a-z])(?:ad|ads|adv|advert|adverts|advertisement|adbox|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay"
-    r"|newsletter|subscribe|subscription|paywall|sidebar|side-bar|widget|related|recommended|share|sharing|social|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer"
-    r"|masthead|site-header|page-header|top-bar|topbar|comments?|commentlist|comment-list|respond|reply|replies|disqus|discussion|login|signup|search|pagination|pager|copyright|disclaimer)(?![a-z])"
+_INLINE = frozenset("span ins label".split())
+#: Elements whose ids are places to jump to and say nothing of their kind.
+_TEXT = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd option tr td th span ins label".split())
+# Words of class names that mark boilerplate, and words that may stand beside them: a name marks an element if all its
+# words are of these two kinds and one is of the first.
+_MARKS = frozenset(
+    "ad ads adv advert adverts advertisement adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
+    "alert popup modal overlay newsletter subscribe subscription paywall sidebar widget widgets related recommended share sharing social menu nav "
+    "navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist respond reply replies disqus discussion login "
+    "signup search pagination pager copyright disclaimer".split()
+)
+_COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+_BESIDE = frozenset(
+    "site page main article post top bottom left right global primary secondary mobile desktop js the google box bar list wrap wrapper container "
+    "section area block links link inner outer content item items group panel module unit slot zone row col column region body form title "
+    "text icons buttons button posts stories news by and of thread sticky fixed small large".split()
 )
+_NAMES = frozenset("site-header page-header side-bar top-bar".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 _CLOSERS: dict[str, re.Pattern] = {}
@@ -57,6 +81,8 @@ _CLOSERS: dict[str, re.Pattern] = {}
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 MOST_LINKS = 0.2
+LEAST_STOP = 0.02
+INLINE_REACH = 64
 GOOD, BAD, OPEN = "good", "bad", "open"
 
 
@@ -67,34 +93,59 @@ class Block:
     text: str
     link_chars: int = 0
     out: bool = False  # in a menu, a footer, an advert or the like
-    declared: bool = False  # in an article or main element
+    declared: int = 0  # the article or main element it is in, counted from 1
     heading: bool = False
     label: str = field(default=OPEN)
 
 
+@dataclass
+class _Open:
+    """An open element: what holds inside it."""
+
+    tag: str
+    out: bool
+    declared: int
+    comment: bool  # among readers' comments
+    marked: bool = False  # by itself
+
+
+def _named(value: str) -> tuple[bool, bool]:
+    """Whether a class or id names boilerplate, and whether it names readers' comments."""
+    found = comment = False
+    for name in value.replace("_", "-").split():
+        words = [w.rstrip("0123456789") for w in name.split("-")]
+        hits = [w for w in words if w in _MARKS]
+        if name in _NAMES or (hits and all(not w or w in _MARKS or w in _BESIDE or w == "x" for w in words)):
+            found = True
+            comment = comment or not _COMMENTS.isdisjoint(hits)
+    return found, comment
+
+
 def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element's attributes name boilerplate, and whether they name readers' comments."""
+    """Whether an element's attributes mark boilerplate, and whether they name readers' comments."""
     if not attributes or attributes.isspace():
         return False, False
-    words, out = [], False
+    out = comment = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             out = True
         elif name == "role":
             out |= value in _OUT_ROLES
-        elif name in ("class", "id"):
-            words.append(value.replace("_", "-"))
-    found = _MARK.findall(" ".join(words)) if words and tag not in ("html", "body") else []
-    return out or bool(found), any(x.startswith(("comment", "respond", "repl", "disqus", "discussion")) for x in found)
+        elif (name == "class" or (name == "id" and tag not in _TEXT)) and tag not in ("html", "body"):
+            marked, among = _named(value)
+            out, comment = out or marked, comment or among
+    return out, comment
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, without scripts, styles and comments."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, boilerplate, declared text, readers' comments
+    stack = [_Open("", False, 0, False)]
+    many: dict[str, int] = {}  # open elements by name
+    never: set[str] = set()  # elements that are not closed any more
     parts: list[str] = []
-    links = link_depth = 0
+    links = link_depth = articles = 0
     heading = False
 
     def end() -> None:
@@ -103,7 +154,7 @@ def blocks_of(page: str) -> list[Block]:
             raw = "".join(parts)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(text, min(links, len(text)), any(x[1] for x in stack), any(x[2] for x in stack), heading))
+                out.append(Block(text, min(links, len(text)), stack[-1].out, stack[-1].declared, heading))
             parts, links = [], 0
 
     def text(piece: str) -> None:
@@ -113,6 +164,14 @@ def blocks_of(page: str) -> list[Block]:
             if link_depth:
                 links += len(piece.strip())
 
+    def enter(tag: str, marked: bool, comment: bool) -> None:
+        around = stack[-1]
+        stack.append(_Open(tag, around.out or marked, around.declared, around.comment or comment, marked))
+        many[tag] = many.get(tag, 0) + 1
+
+    def leave() -> None:
+        many[stack.pop().tag] -= 1
+
     at = 0
     while True:
         m = _TOKEN.search(page, at)
@@ -130,58 +189,65 @@ def blocks_of(page: str) -> list[Block]:
             end() if tag in _BLOCKS else None
             if tag == "head":
                 # its end tag may be missing: stop before the body
-                close = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
+                close = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(page, at) if tag not in never else None
+                never.add(tag)
                 at = close.end() if close else at
                 continue
             if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
                 closer = _CLOSERS.setdefault(tag, re.compile(rf"</{re.escape(tag)}\s*>", re.I))
-                close = closer.search(page, at)
-                at = close.end() if close else len(page)
+                close = closer.search(page, at) if tag not in never else None
+                if close:
+                    at = close.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    never.add(tag)
             continue
         if tag not in _BLOCKS:
-            if tag not in _VOID and tag in ("span", "ins", "label"):
+            if tag in _INLINE:
                 if closing:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            end() if stack[k][1] else None
-                            del stack[k]
+                    for k in range(len(stack) - 1, max(0, len(stack) - 1 - INLINE_REACH), -1):
+                        if stack[k].tag == tag:
+                            end() if any(x.marked for x in stack[k:]) else None
+                            while len(stack) > k:
+                                leave()
                             break
-                        if stack[k][0] not in ("span", "ins", "label"):
+                        if stack[k].tag not in _INLINE:
                             break
                 else:
                     marked, comment = _marks(tag, m[3])
                     if marked:
                         end()
-                    stack.append((tag, marked, False, comment))
+                    enter(tag, marked, comment)
             continue
         end()
         if tag in _VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if many.get(tag):
+                while stack[-1].tag != tag:
+                    leave()
+                leave()
             heading = heading and not tag[1:].isdigit()
             continue
         heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-        if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "option", "tr", "td", "th"):
-            marked, comment = _marks(tag, m[3])
-            if stack and stack[-1][0] == tag:
-                stack.pop()
-            if marked:
-                stack.append((tag, True, False, comment))
-            continue
         marked, comment = _marks(tag, m[3])
-        inside_text = any(x[2] for x in stack)
-        if tag in _MAIN and not marked and not any(x[3] for x in stack):
+        if tag in _TEXT:
+            if stack[-1].tag == tag:
+                leave()
+            if marked:
+                enter(tag, True, comment)
+        elif tag in _MAIN and not marked and not stack[-1].comment:
             # an article ends what was left open around it, unless it stands among readers' comments
-            stack = [(x[0], False, x[2], x[3]) for x in stack]
-            stack.append((tag, False, True, False))
+            enter(tag, False, False)
+            stack[-1].out = False
+            if not stack[-1].declared:
+                articles += 1
+                stack[-1].declared = articles
         elif tag == "header":
-            stack.append((tag, marked or not inside_text, False, comment))
+            enter(tag, marked or not stack[-1].declared, comment)
         else:
-            stack.append((tag, marked or tag in _OUT, False, comment))
+            enter(tag, marked or tag in _OUT, comment)
     end()
     return out
 
@@ -189,33 +255,56 @@ def blocks_of(page: str) -> list[Block]:
 _WORD = re.compile(r"\w+")
 
 
+def _alone(b: Block, stop: float, listed: bool) -> str:
+    """Pass one: the label of a block by itself, given its density of stop words; ``listed``: the page's language is known."""
+    if b.out:
+        return BAD
+    n = len(b.text)
+    if b.link_chars / n > MOST_LINKS:
+        return OPEN if b.declared else BAD
+    if n < LENGTH_LOW:
+        return BAD if not b.declared and (b.link_chars or b.text[0] == "©") else OPEN
+    if b.declared or not listed or stop >= STOP_HIGH or (n > LENGTH_HIGH and stop >= STOP_LOW):
+        return GOOD
+    return OPEN
+
+
+def _short_text(b: Block) -> bool:
+    """Whether a block stands in a declared article and is not mostly links."""
+    return b.declared > 0 and not b.out and b.link_chars / len(b.text) <= MOST_LINKS
+
+
 def classify(blocks: list[Block]) -> list[Block]:
     """Label blocks: pass one by themselves, pass two by their neighbours."""
+    counts = []
     for b in blocks:
-        if b.out:
-            b.label = BAD
-        elif b.declared:
-            b.label = OPEN if b.link_chars / len(b.text) > MOST_LINKS else GOOD
-        else:
-            n = len(b.text)
-            words = _WORD.findall(b.text.lower())
-            stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-            if b.link_chars / n > MOST_LINKS or "©" in b.text:
-                b.label = BAD
-            elif n < LENGTH_LOW:
-                b.label = BAD if b.link_chars else OPEN
-            elif stop >= STOP_HIGH:
-                b.label = GOOD
-            else:
-                b.label = GOOD if n > LENGTH_HIGH and stop >= STOP_LOW else OPEN if stop > 0 else BAD
-    first = [b.label for b in blocks]
+        words = [] if b.out else _WORD.findall(b.text.lower())
+        counts.append((sum(w in STOP_WORDS for w in words), len(words)))
+    listed = sum(k for k, _ in counts) >= LEAST_STOP * sum(n for _, n in counts)
+    first = [_alone(b, k / n if n else 0.0, listed) for b, (k, n) in zip(blocks, counts, strict=True)]
+    found = GOOD in first or any(_short_text(b) for b in blocks)
+
+    def sweep(order) -> list[int | None]:
+        """The nearest decided block before each in this order, on its side of the walls."""
+        out: list[int | None] = [None] * len(blocks)
+        near = before = None
+        for i in order:
+            if before is not None and (blocks[i].out or blocks[i].declared != blocks[before].declared):
+                near = None
+            out[i] = near
+            if not blocks[i].out and first[i] != OPEN:
+                near = i
+            before = i
+        return out
+
+    before, after = sweep(range(len(blocks))), sweep(range(len(blocks) - 1, -1, -1))
     for i, b in enumerate(blocks):
+        b.label = first[i]
         if first[i] != OPEN:
             continue
-        left = next((k for k in range(i - 1, -1, -1) if first[k] != OPEN and blocks[k].declared == b.declared), None)
-        right = next((k for k in range(i + 1, len(blocks)) if first[k] != OPEN and blocks[k].declared == b.declared), None)
+        left, right = before[i], after[i]
         if left is None and right is None:
-            b.label = GOOD if len(b.text) >= LENGTH_LOW else BAD
+            b.label = GOOD if _short_text(b) or not found or (len(b.text) >= LENGTH_LOW and not b.declared) else BAD
         elif left is None or right is None:
             b.label = first[right if left is None else left]
         elif first[left] == first[right]:
@@ -246,7 +335,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 kept.append(len(good))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(seen, pa.int64()), pa.array(kept, pa.int64())], ["page_id", "url", "text", "n_chars", "n_blocks", "n_kept"])
 
-    return pages.selectExpr(f"cast(`{id_col}` as bigint) as page_id", f"cast(`{url_col}` as string) as url", f"cast(`{html_col}` as string) as html").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint, n_blocks bigint, n_kept bigint")
+    return pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint, n_blocks bigint, n_kept bigint")
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
 import os
+import random
+import re
+import time
 
 import pytest
 
@@ -38,7 +41,6 @@ def test_whole_articles(spark):
     path = "/root/testdata/sf0.01/pages.parquet"
     if not os.path.exists(path):
         pytest.skip("no test data")
-    import re
     from html import unescape
 
     for r in spark.read.parquet(path).collect():
@@ -53,3 +55,88 @@ def test_body_beside_declared_teasers():
     assert html.main_text(page).startswith(f"Head {LONG} Short. {LONG}") and "Another" not in html.main_text(page)
     page = f'<article><h1><a href="/me">Title</a></h1><p>{LONG}</p><p><a href="/x">A link</a></p><p>End</p></article>c'
     assert html.main_text(page) == f"Title {LONG} A link End"
+
+
+def synthetic():
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    import pyarrow.parquet as pq
+
+    return [h for h in pq.read_table(path).column("html").to_pylist() if h]
+
+
+def test_the_rules_find_undeclared_articles():
+    """Without the article's tags the two passes give the same text."""
+    pages = synthetic()
+    same = sum(html.main_text(re.sub(r"(</?)article", r"\1div", h)) == html.main_text(h) for h in pages)
+    assert same >= 0.95 * len(pages), (same, len(pages))
+
+
+def plainly(blocks):
+    """Both passes, looking for the neighbours of each block one by one."""
+    words = [html._WORD.findall(b.text.lower()) for b in blocks]
+    inside = [w for b, ws in zip(blocks, words, strict=True) if not b.out for w in ws]
+    listed = sum(w in html.STOP_WORDS for w in inside) >= html.LEAST_STOP * len(inside)
+    first = [html._alone(b, sum(w in html.STOP_WORDS for w in ws) / len(ws) if ws else 0.0, listed) for b, ws in zip(blocks, words, strict=True)]
+
+    def look(i, step):
+        k = i + step
+        while 0 <= k < len(blocks) and not blocks[k].out and blocks[k].declared == blocks[i].declared:
+            if first[k] != "open":
+                return k
+            k += step
+        return None
+
+    out = []
+    for i, b in enumerate(blocks):
+        left, right = look(i, -1), look(i, 1)
+        labels = {first[k] for k in (left, right) if k is not None}
+        if first[i] != "open":
+            out.append(first[i])
+        elif not labels:
+            text = [x.declared > 0 and not x.out and x.link_chars / len(x.text) <= html.MOST_LINKS for x in blocks]
+            other = "good" in first or any(text)
+            out.append("good" if text[i] or not other or (len(b.text) >= html.LENGTH_LOW and not b.declared) else "bad")
+        elif len(labels) == 1:
+            out.append(labels.pop())
+        elif b.heading:
+            out.append(first[right])
+        else:
+            out.append(first[left] if i - left < right - i else first[right] if right - i < i - left else "good")
+    return out
+
+
+def test_against_neighbours_one_by_one():
+    rnd = random.Random(5)
+    for _ in range(300):
+        blocks, article = [], 0
+        for _ in range(rnd.randint(0, 30)):
+            article = rnd.choice((article, article, article, article, 0, 1, 2))
+            words = [rnd.choice(("the", "of", "and", "rock", "paper", "stone", "©")) for _ in range(rnd.choice((1, 3, 12, 20, 60)))]
+            text = " ".join(words)
+            blocks.append(html.Block(text, rnd.choice((0, 0, 0, 3, len(text))), rnd.random() < 0.15, article, rnd.random() < 0.2))
+        assert [b.label for b in html.classify(blocks)] == plainly(blocks)
+
+
+@pytest.mark.parametrize("shape", ["<div>x", "<p>x", "<div class='note'>x</div></section></span>", "<svg>x<canvas>", "<article><nav>x", "<span><ins>x</label>", "<p>The one of the many and the few of it.</p><div><a href=x>y</a></div>"])
+def test_time_grows_with_the_page(shape):
+    html.main_text(shape * 100)
+    t = time.process_time()
+    html.main_text(shape * 100_000)
+    assert time.process_time() - t < 30
+
+
+def test_names_inside_the_text():
+    page = f"<article><p>{LONG}</p><p id='search-results-explained'>two</p><div class='widget-free notice-board'>three</div><div class='cookie_notice'>no</div><div id='ad-slot-3'>no</div></article>"
+    assert html.main_text(page) == f"{LONG} two three"
+
+
+@pytest.mark.parametrize("tag", ["canvas", "object", "audio", "svg", "iframe", "select"])
+def test_unclosed_elements_lose_their_tag_only(tag):
+    assert html.main_text(f"<article>one <{tag}>x two three</article>") == "one x two three"
+
+
+def test_a_page_in_a_language_without_stop_words():
+    text = "Kala vette päällä joki meri ranta " * 8
+    assert html.main_text(f"<nav><a href=x>Menu</a></nav><div><h1>Otsikko</h1><p>{text}</p></div><div><a href=y>Linkki</a></div>") == f"Otsikko {text.strip()}"
