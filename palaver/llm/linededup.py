@@ -4,32 +4,36 @@ A text's lines are hashed; a rolling hash over ``WINDOW`` line hashes ends a chu
 that boundaries follow the content and come back in step after lines were added or dropped.  A chunk has at least
 ``LEAST_LINES`` lines (a single last line joins the chunk before it).  Chunks of at least two lines with letters or
 digits in them that occur more than once in the whole table are removed everywhere but at their first place, the
-smallest (doc_id, chunk), after their bytes were compared with those of that place.
+smallest (doc_id, chunk), after their bytes were compared.
 
-With ``whole`` (the query) the pieces are not chunks but windows from each line with letters or digits to the next such
-line, and from each other line to the second such line on either side.  Every equal stretch of lines with two of them is
-a union of its windows, so a line goes exactly if some stretch around it stands at an earlier place (doc_id, line), and
-no boundary can part a passage.  Where a stretch overlaps its own first place, the lines of that place stay.
+Chunks that are parted by sparse boundaries cannot give right results alone: a repeated passage of a few lines mostly
+shares its chunk with lines that are not repeated.  So with ``whole`` (the query and the pipeline) there is a boundary at
+every line, and chunks overlap: one from each line with letters or digits to the next such line.  Every equal stretch of lines
+that begins and ends with such lines is a union of these chunks, so a line goes exactly if some such stretch around it
+stands at an earlier place (doc_id, line).  Where a stretch overlaps its own first place, the lines of that place stay.
 
-Only digests are shuffled for all chunks; bytes travel for repeated chunks alone.
+Only digests are shuffled for all chunks.  Bytes are read again for repeated chunks alone and compared by aggregates (the
+least and the greatest of a digest), so that each task sends one copy of a chunk, however many it holds; chunks whose
+digests are equal and bytes are not are told apart by their bytes.  Digests of more than a thousandth of all repeated
+chunks are broadcast to where their rows are.
 
 Cases: null texts stay null, empty ones empty; lines are parted by ``\\n`` alone and compared byte by byte; a text of
-which every line goes becomes empty; rows without a doc_id are left as they are; of rows that repeat a doc_id the
-first place is the smallest chunk and text bytes are compared per (doc_id, chunk), so copies under one id keep one
-text's lines; further columns are kept by ``dedup``; an empty table gives an empty table.
+which every line goes becomes empty; rows without a doc_id are left as they are; rows that repeat a doc_id lose lines of
+their own text only, and equal places of equal texts under one id are the same place, so these rows all keep them; ties
+don't arise, a place is unique but for that; very long texts take memory in proportion to their length; further columns
+are kept by ``dedup``, but for ``n_lines`` and ``n_removed`` where these are asked for; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import zlib
-from itertools import groupby
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.shared import KeyBits, discard, materialize, table
+from palaver.llm.shared import KeyBits, discard, look_up, materialize, table, worker_state
 
 WINDOW, DIVISOR, LEAST_LINES = 2, 4, 2
 _CONTENT = frozenset(range(48, 58)) | frozenset(range(65, 91)) | frozenset(range(97, 123)) | frozenset(range(128, 256))
@@ -61,41 +65,10 @@ def _boundary(roll: int) -> bool:
 
 
 def windows(text: str) -> tuple[list[bytes], list[tuple[int, int, bytes]]]:
-    """The lines of a text and (first line, line after the last, packed lines) of its windows, of each kind in order.
-
-    Packed lines are equal exactly if the lines are; equal lines in a row are counted, so long gaps stay short.
-    """
+    """The lines of a text and (first line, line after the last, bytes) of its overlapping chunks, in order."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
     content = [i for i, x in enumerate(lines) if not _CONTENT.isdisjoint(x)]
-    out = [(p, q + 1, _packed(_counted(lines[p : q + 1]))) for p, q in zip(content[:-1], content[1:], strict=True)]
-    last = len(content) - 1
-    for k, c in enumerate(content if last > 0 else ()):
-        if k < last:  # lines before this one, with it and the next
-            found, end = _counted(lines[c : content[k + 1] + 1][::-1]), content[k + 1] + 1
-            for g in range(c - 1, content[k - 1] if k else -1, -1):
-                _count(found, lines[g])
-                out.append((g, end, b"<" + _packed(found)))
-        if k > 0:  # lines after this one, with it and the one before
-            found, begin = _counted(lines[content[k - 1] : c + 1]), content[k - 1]
-            for g in range(c + 1, content[k + 1] if k < last else len(lines)):
-                _count(found, lines[g])
-                out.append((begin, g + 1, b">" + _packed(found)))
-    return lines, out
-
-
-def _counted(lines: list[bytes]) -> list[tuple[int, bytes]]:
-    return [(sum(1 for _ in same), x) for x, same in groupby(lines)]
-
-
-def _count(found: list[tuple[int, bytes]], line: bytes) -> None:
-    if found[-1][1] == line:
-        found[-1] = (found[-1][0] + 1, line)
-    else:
-        found.append((1, line))
-
-
-def _packed(found: list[tuple[int, bytes]]) -> bytes:
-    return b"\n".join(b"%d:%b" % x for x in found)
+    return lines, [(p, q + 1, b"\n".join(lines[p : q + 1])) for p, q in zip(content[:-1], content[1:], strict=True)]
 
 
 def _pieces(text: str, whole: bool) -> list[tuple[int, bytes]]:
@@ -105,9 +78,9 @@ def _pieces(text: str, whole: bool) -> list[tuple[int, bytes]]:
     return [(k, raw) for k, (_, _, content, raw) in enumerate(chunks(text)) if content >= 2]
 
 
-def _halves(raw: bytes) -> tuple[int, int]:
+def _halves(raw: bytes, mask: int = -1) -> tuple[int, int]:
     both = xxhash.xxh3_128_intdigest(raw)
-    return (both >> 64) - (1 << 63), (both & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+    return ((both >> 64) - (1 << 63)) & mask, ((both & 0xFFFFFFFFFFFFFFFF) - (1 << 63)) & mask
 
 
 def _slices(batches, most: int = 1000):
@@ -117,74 +90,90 @@ def _slices(batches, most: int = 1000):
             yield batch.slice(i, most)
 
 
-def _digests(batches, whole: bool):
+def _looked_up(batches, whole: bool, mask: int):
+    """For each piece of a batch of texts a list of (doc_id, number, h1, h2, bytes)."""
     for batch in _slices(batches):
-        ids, nth, h1, h2 = [], [], [], []
+        rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if doc is None or not text or "\n" not in text:
-                continue
-            for k, raw in _pieces(text, whole):
-                a, b = _halves(raw)
-                ids.append(doc)
-                nth.append(k)
-                h1.append(a)
-                h2.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nth, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "chunk", "h1", "h2"])
-
-
-def repeated_chunks(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """(doc_id, chunk, h1, first_doc_id, first_chunk) of chunks, or windows, to be removed, for ``docs`` (doc_id, text)."""
-    found = materialize(docs.mapInArrow(lambda batches: _digests(batches, whole), "doc_id bigint, chunk int, h1 bigint, h2 bigint"), "line-chunks")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.chunk").alias("first_chunk"))
+            if doc is not None and text and "\n" in text:
+                rows += [(doc, k, *_halves(raw, mask), raw) for k, raw in _pieces(text, whole)]
+        if rows:
+            yield rows
+
+
+_PLACE = "doc_id bigint, chunk int, h1 bigint, h2 bigint"
+_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+
+
+def _record_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[: len(names)], _TYPES, strict=False)], names)
+
+
+def repeated_chunks(docs: DataFrame, whole: bool = False, mask: int = -1) -> DataFrame:
+    """(doc_id, chunk, h1, first_doc_id, first_chunk) of chunks to be removed, for ``docs`` (doc_id, text).
+
+    ``mask`` weakens the digests, for tests.
+    """
+    key = ["h1", "h2"]
+
+    def digests(batches):
+        worker_state("linededup", 0, dict)
+        for rows in _looked_up(batches, whole, mask):
+            yield _record_batch(rows, ["doc_id", "chunk", *key])
+
+    found = materialize(docs.mapInArrow(digests, _PLACE), "line-chunks")
+    first = found.groupBy(*key).agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")).where("n > 1").select(*key, "n", F.col("first.doc_id").alias("first_doc_id"), F.col("first.chunk").alias("first_chunk"))
     first = materialize(first, "line-first")
-    discard(found)
-    # packed bytes are equal exactly if the bytes are
     # a second scan brings the bytes of chunks whose digest may be repeated; digests are random, so they are their own hash
     bits = KeyBits(first, "h1", hashed=True)
-    sent, mask = bits.sent, bits.bits - 1
+    sent, at_most = bits.sent, bits.bits - 1
 
     def fetch(batches):
         table = sent.value
-        for batch in _slices(batches):
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if doc is None or not text or "\n" not in text:
-                    continue
-                for k, raw in _pieces(text, whole):
-                    h1, h2 = _halves(raw)
-                    at = h1 & mask
-                    if table[at >> 3] >> (at & 7) & 1:
-                        rows.append((doc, k, h1, h2, zlib.compress(raw, 1)))
+        for rows in _looked_up(batches, whole, mask):
+            rows = [r for r in rows if table[(r[2] & at_most) >> 3] >> (r[2] & at_most & 7) & 1]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "chunk", "h1", "h2", "raw"])
+                yield _record_batch(rows, ["doc_id", "chunk", *key, "raw"])
 
-    raw = materialize(docs.mapInArrow(fetch, "doc_id bigint, chunk int, h1 bigint, h2 bigint, raw binary"), "line-bytes")
-    theirs = raw.join(first, ["h1", "h2"]).where("doc_id = first_doc_id and chunk = first_chunk").select("h1", "h2", "first_doc_id", "first_chunk", F.col("raw").alias("first_raw"))
-    same = raw.join(theirs, ["h1", "h2"]).where("raw = first_raw and (doc_id <> first_doc_id or chunk <> first_chunk)")
-    out = materialize(same.select("doc_id", "chunk", "h1", "first_doc_id", "first_chunk").distinct(), "line-same")
-    discard(raw)
+    raw = docs.mapInArrow(fetch, _PLACE + ", raw binary")
+    least = raw.groupBy(*key).agg(F.min("raw").alias("least"), F.max("raw").alias("greatest")).select(*key, (F.col("least") == F.col("greatest")).alias("same"))
+    checked = materialize(first.join(least, key), "line-checked")
+    hits = materialize(bits.maybe(found, "h1"), "line-hits")
+    discard(found)
+    discard(first)
+    out = look_up(hits, checked.where("same").drop("same"), key, "n").where("doc_id <> first_doc_id or chunk <> first_chunk").select("doc_id", "chunk", "h1", "first_doc_id", "first_chunk")
+    if not checked.where("not same").isEmpty():
+        # one digest, different bytes
+        rows = raw.join(checked.where("not same").select(*key), key)
+        each = rows.groupBy(*key, "raw").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")).where("n > 1").select(*key, "raw", F.col("first.doc_id").alias("first_doc_id"), F.col("first.chunk").alias("first_chunk"))
+        out = out.unionByName(rows.join(each, [*key, "raw"]).where("doc_id <> first_doc_id or chunk <> first_chunk").select("doc_id", "chunk", "h1", "first_doc_id", "first_chunk"))
+    out = materialize(out.distinct(), "line-same")
+    for done in (checked, hits):
+        discard(done)
     return out
 
 
-def _without(text: str, numbers: list) -> tuple[str, int]:
+def _without(text: str, numbers: list, mask: int = -1) -> tuple[str, int]:
     """A text without the windows of (number, h1, number of its first place where that is in the text too)."""
     lines, found = windows(text)
     out: set[int] = set()
     for k, h1, first in numbers:
         # rows may share a doc_id, the window of that number is then another text's
-        if k < len(found) and _halves(found[k][2])[0] == h1:
+        if k < len(found) and _halves(found[k][2], mask)[0] == h1:
             stay = range(*found[first][:2]) if first is not None and first < len(found) and found[first][2] == found[k][2] else ()
             out.update(i for i in range(*found[k][:2]) if i not in stay)
     return b"\n".join(x for i, x in enumerate(lines) if i not in out).decode("utf-8", "surrogatepass"), len(out)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, whole: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, whole: bool = False, mask: int = -1) -> DataFrame:
     """``docs`` with repeated chunks of lines removed from the text; with ``counts`` also n_lines, n_removed.
 
     With ``whole`` every repeated stretch of lines goes, whatever stands around it.
     """
+    if counts:
+        docs = docs.drop(*({"n_lines", "n_removed"} - {id_col, text_col}))
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    same = repeated_chunks(narrow, whole)
+    same = repeated_chunks(narrow, whole, mask)
     number = F.struct("chunk", "h1", F.when(F.col("doc_id") == F.col("first_doc_id"), F.col("first_chunk")).alias("first")) if whole else F.col("chunk")
     gone = same.groupBy("doc_id").agg(F.collect_set(number).alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
     names = docs.columns
@@ -218,7 +207,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
                 lines.append(text.count("\n") + 1 if text else 0)
                 dropped = 0
                 if numbers and text and whole:
-                    text, dropped = _without(text, [(x["chunk"], x["h1"], x["first"]) for x in numbers])
+                    text, dropped = _without(text, [(x["chunk"], x["h1"], x["first"]) for x in numbers], mask)
                 elif numbers and text:
                     out = set(numbers)
                     parts = chunks(text)

@@ -55,14 +55,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return _remember(spark.read.schema(df.schema).parquet(path), path)
+    return stored(spark, path, df.schema)
 
 
-def _remember(df: DataFrame, path: str) -> DataFrame:
+def stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table that was written to a place of :func:`new_path`."""
+    df = spark.read.schema(schema).parquet(path)
     df.__dict__["_palaver_path"] = path
     return df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def _delete(path: str, spark: SparkSession) -> None:
     _WRITTEN.pop(path, None)
     jvm = spark._jvm

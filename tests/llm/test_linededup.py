@@ -55,18 +55,24 @@ def test_against_dictionary(spark):
 
 
 def stretches(rows):
-    """Lines in an equal stretch with two lines of letters or digits that begins earlier, by comparing all pairs of lines."""
+    """Rows without lines that are in an equal stretch, from one line of letters or digits to another, that begins earlier.
+
+    By comparing all pairs of places.
+    """
     texts = {i: t.encode().split(b"\n") for i, t in rows if t}
-    places = [(i, k) for i in sorted(texts) for k in range(len(texts[i]))]
+    full = {i: [bool(ld._CONTENT & set(x)) for x in lines] for i, lines in texts.items()}
+    places = [(i, k) for i in sorted(texts) for k in range(len(texts[i])) if full[i][k]]
+    by_line = {}
     gone = {i: set() for i in texts}
-    for a, (i, k) in enumerate(places):
-        for j, m in places[:a]:
-            n, content = 0, 0
+    for i, k in places:
+        for j, m in by_line.setdefault(texts[i][k], []):
+            n, seen = 0, 0
             while k + n < len(texts[i]) and m + n < len(texts[j]) and texts[i][k + n] == texts[j][m + n]:
-                content += bool(ld._CONTENT & set(texts[i][k + n]))
                 n += 1
-                if content >= 2:
+                seen += full[i][k + n - 1]
+                if full[i][k + n - 1] and seen >= 2:
                     gone[i].update(x for x in range(k, k + n) if i != j or x >= m + n)
+        by_line[texts[i][k]].append((i, k))
     return {i: "\n".join(x.decode() for k, x in enumerate(texts[i]) if k not in gone[i]) if t else t for i, t in rows}
 
 
@@ -96,3 +102,21 @@ def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
     rows = [(1, "a\nb"), (2, "a\nb"), (2, "c\nd")]
     out = ld.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), whole=True).collect()
     assert sorted((r.doc_id, r.text) for r in out) == [(1, "a\nb"), (2, ""), (2, "c\nd")]
+
+
+def test_equal_digests_of_different_bytes(spark):
+    rows = fixture()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.text for r in ld.dedup(df, whole=True, mask=7).collect()} == stretches(rows)
+    assert {r.doc_id: r.text for r in ld.dedup(df, mask=7).collect()} == brute(rows)
+
+
+def test_cases_of_rows(spark):
+    long = "\n".join(f"line {k}" if k % 1000 == 0 else "-=" [k % 2] for k in range(20_000))
+    rows = [(None, "a\nb"), (None, "a\nb"), (1, "a\nb"), (1, "a\nb"), (2, "a\nb\n"), (3, long), (4, long), (5, "é" * 100_000 + "\nx")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "7 as n_lines", "'y' as raw")
+    out = ld.dedup(df, counts=True, whole=True)
+    assert out.columns == ["doc_id", "text", "raw", "n_lines", "n_removed"]
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in out.collect()), key=str)
+    rest = "\n".join("-="[k % 2] for k in range(19_001, 20_000))
+    assert got == sorted([(None, "a\nb", 0)] * 2 + [(1, "a\nb", 0)] * 2 + [(2, "", 2), (3, long, 0), (4, rest, 19_001), (5, rows[-1][1], 0)], key=str)
