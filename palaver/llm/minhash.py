@@ -14,9 +14,13 @@ other components.  Candidates inside one component can't change it, so the resul
 look takes blocks of about ``BLOCK`` classes at a time and counts the shared shingles of two blocks by a matrix
 product; only pairs that may reach the threshold leave a task.
 
-Cases: null and empty texts and texts without words have an empty set, link with nothing and are kept; null doc_ids
-are dropped by ``near_duplicates`` because a class needs a name; repeated rows of a doc_id count once each in the
-output; an empty table gives an empty table; further columns are ignored.
+Classes that hold more than a thousandth of all rows are broadcast to their rows, and so are bands; no key gathers more.
+
+Cases: null and empty texts and texts without words have an empty set, link with nothing and are kept; rows without a
+doc_id have a set size, no component and are not kept, since nothing names them; rows that repeat a doc_id are one
+document with several texts: it links with whatever one of them links with, and each row has its own set size; ties don't
+arise, since doc_ids name components; very long texts are hashed in parts, only their sets are held whole; an empty table gives
+an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.llm.components import components
-from palaver.llm.shared import U64, KeyBits, discard, materialize, mix, table, text_runs, word_hashes
+from palaver.llm.shared import U64, KeyBits, discard, look_up, materialize, mix, table, text_runs, word_hashes, worker_state
 
 WORDS, BANDS, ROWS = 5, 32, 4
 SIMILARITY = (75, 100)
@@ -72,6 +76,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches):
+    worker_state("minhash", 0, dict)
     for batch in batches:
         high, low, sizes, signs, bands = [], [], [], [], []
         for x in shingle_sets(batch.column(1)):
@@ -130,10 +135,10 @@ def _verify(pairs: DataFrame, signed: DataFrame, docs: DataFrame, tag: str) -> D
     pairs = materialize(pairs, f"{tag}-pairs")
     ids = lambda p: p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
     signs = KeyBits(ids(pairs), "doc_id").maybe(signed.select("doc_id", "sig"), "doc_id")
-    likely = materialize(pairs.join(signs.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(signs.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_agree, "a bigint, b bigint"), f"{tag}-likely")
+    likely = materialize(pairs.join(signs.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(signs.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_agree, "a bigint, b bigint").distinct(), f"{tag}-likely")
     sets = materialize(KeyBits(ids(likely), "doc_id").maybe(docs.select("doc_id", "text"), "doc_id", then=_sets, schema="doc_id bigint, members binary"), f"{tag}-sets")
     held = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    links = materialize(held.mapInArrow(_confirm, "a bigint, b bigint"), f"{tag}-links")
+    links = materialize(held.mapInArrow(_confirm, "a bigint, b bigint").distinct(), f"{tag}-links")
     for done in (pairs, likely, sets):
         discard(done)
     return links
@@ -172,7 +177,7 @@ def _compare_blocks(batches):
             for k in (0, 1):
                 block = batch.column(k)[r].values
                 sets = [np.frombuffer(v.as_buffer(), np.uint32) for v in block.field("members")]
-                sides.append([block.field(name).to_numpy(zero_copy_only=False) for name in ("doc_id", "component", "n_shingles")] + [sets])
+                sides.append([block.field(name).to_numpy(zero_copy_only=False) for name in ("doc_id", "component")] + [np.array([len(v) for v in sets], np.int64), sets])
             (ids, parts, sizes, x), (ids2, parts2, sizes2, y) = sides
             # shared members with equal upper halves count once: at most as often as either set's own collide
             lost, lost2 = (np.array([len(v) - len(np.unique(v)) for v in sets], np.int64) for sets in (x, y))
@@ -196,47 +201,66 @@ def _second_look(settled: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataF
     sized = settled.join(sizes, "doc_id")
     open_bands = sized.groupBy("band").agg(F.min("component").alias("main"), F.max("component").alias("other"), F.count("*").alias("n"), F.sum("n_shingles").alias("m")).where("main < other")
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("bigint")
-    still = materialize(sized.join(open_bands.select("band", "main", parts.alias("parts")), "band").select("band", "doc_id", "component", "n_shingles", (F.col("component") == F.col("main")).alias("is_main"), F.pmod(F.xxhash64("doc_id"), "parts").alias("part")), "open")
-    sets = materialize(KeyBits(still.select("doc_id").distinct(), "doc_id").maybe(docs.select("doc_id", "text"), "doc_id", then=_short_sets, schema="doc_id bigint, members binary").dropDuplicates(["doc_id"]), "open-sets")
-    blocks = materialize(still.join(sets, "doc_id").groupBy("band", "is_main", "part").agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "members")).alias("block")), "blocks")
+    open_bands = materialize(open_bands.select("band", "main", "n", parts.alias("parts")), "open-bands")
+    still = materialize(look_up(settled, open_bands, ["band"], "n").select("band", "doc_id", "component", (F.col("component") == F.col("main")).alias("is_main"), F.pmod(F.xxhash64("doc_id"), "parts").alias("part")), "open")
+    sets = materialize(KeyBits(still.select("doc_id").distinct(), "doc_id").maybe(docs, "doc_id", then=_short_sets, schema="doc_id bigint, members binary"), "open-sets")
+    blocks = materialize(still.join(sets, "doc_id").groupBy("band", "is_main", "part").agg(F.collect_list(F.struct("doc_id", "component", "members")).alias("block")), "blocks")
     x = blocks.where("not is_main").select("band", F.col("part").alias("px"), F.col("block").alias("x"))
     y = blocks.select("band", "is_main", F.col("part").alias("py"), F.col("block").alias("y"))
     pairs = x.join(y, "band").where("is_main or px <= py").select("x", "y").mapInArrow(_compare_blocks, "a bigint, b bigint")
     out = materialize(pairs.distinct(), "second")
-    for done in (still, sets, blocks):
+    for done in (open_bands, still, sets, blocks):
         discard(done)
     return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
-    docs = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text").where("doc_id is not null")
-    signed = materialize(docs.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig binary, bands array<bigint>"), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = materialize(signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "member")
-    # one row of each class: a repeated doc_id with another text has its own class, named by its set
-    reps = member.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct()
-    first = signed.where("n_shingles > 0").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    key = ["h1", "h2", "n_shingles"]
+    every = materialize(docs.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig binary, bands array<bigint>"), "signed")
+    signed = every.where("n_shingles > 0 and doc_id is not null")
+    again = None
+    if not signed.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # equal texts under one doc_id count once; different ones are classes of their own
+        again = [materialize(signed.dropDuplicates(["doc_id", *key]), "signed-once"), materialize(docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]), "texts-once")]
+        docs = again[1]
+    once = signed if again is None else again[0]
+    classes = materialize(signed.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    member = materialize(look_up(signed.select("doc_id", *key), classes, key, "copies").select("doc_id", "n_shingles", "rep"), "member")
+    # one row of each class, under the name of its smallest doc_id
+    first = once.join(classes.select(*key, F.col("rep").alias("doc_id")), ["doc_id", *key], "left_semi")
     banded = materialize(first.select("doc_id", F.explode("bands").alias("band")), "bands")
-    shared = materialize(banded.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("band", "least"), "shared")
-    crowded = materialize(KeyBits(shared, "band").maybe(banded, "band").join(shared, "band"), "crowded")
+    discard(classes)
+    shared = materialize(banded.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").select("band", "least", "n"), "shared")
+    hits = materialize(KeyBits(shared, "band", hashed=True).maybe(banded, "band"), "band-hits")
     discard(banded)
-    links = _verify(crowded.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), signed, docs, "first")
+    crowded = materialize(look_up(hits, shared, ["band"], "n"), "crowded")
+    discard(hits)
+    links = _verify(crowded.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), once, docs, "first")
+    if again is not None:
+        # the texts of a document belong together
+        several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id")
+        links = links.unionByName(member.join(several, "doc_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
     found = components(links, "a", "b")
-    settled = materialize(crowded.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "settled")
-    likely = _second_look(settled, docs, member.where("doc_id = rep").select("doc_id", "n_shingles").dropDuplicates(["doc_id"]))
-    more = likely if likely.isEmpty() else _verify(likely, signed, docs, "second")
+    settled = materialize(crowded.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")).distinct(), "settled")
+    likely = _second_look(settled, docs, member.where("doc_id = rep").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")))
+    more = likely if likely.isEmpty() else _verify(likely, once, docs, "second")
     if more.isEmpty():
         final = found
     else:
         final = components(links.unionByName(more), "a", "b")
-    for done in (crowded, settled, shared):
+    for done in (crowded, settled, shared, *(again or ())):
         discard(done)
-    return (
-        member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    )
+    named = member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    if again is not None:
+        # a text without words has the component of the document's other texts
+        of = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        empty = every.where("n_shingles = 0").select("doc_id", "n_shingles").join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    else:
+        empty = every.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    nameless = every.where("n_shingles > 0 and doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
+    return named.unionByName(empty).unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

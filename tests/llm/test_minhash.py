@@ -59,8 +59,14 @@ def test_against_brute_force(spark):
 
 
 def test_repeated_and_missing_rows(spark):
-    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (2, "q r s")], "doc_id bigint, text string")
-    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 2)]
+    a, b = ([f"{k}{i}" for i in range(40)] for k in "ab")
+    near = lambda words: " ".join(["other", *words[1:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(b)), (5, near(a)), (6, near(b)), (7, None), (7, "x y"), (8, "x y"), (None, "x y"), (None, None)]
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as rep")
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=str)
+        assert got == sorted([(1, 36, 1, True)] * 3 + [(5, 36, 1, False), (6, 36, 1, False), (7, 0, 7, True), (7, 1, 7, True), (8, 1, 7, False), (None, 1, None, False), (None, 0, None, False)], key=str)
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
