@@ -3,9 +3,11 @@
 Two vectors of the same label and length link if their cosine in double precision is at least ``COSINE``.  On the unit
 sphere that is a distance of at most eps = sqrt(2 - 2 * COSINE), and a projection on orthonormal directions never
 lengthens it.  Vectors are sorted by their grid cells of width eps on the leading principal directions (epsilon grid
-order) and cut into blocks; blocks whose bounding boxes in those directions are further apart than eps are provably
-without links and are never paired.  Paired blocks are joined by recursion over their intervals, with the same bound,
-down to leaves that a matrix product decides.
+order) and cut into blocks.  The sequence of blocks is joined with itself by recursion: intervals of ``FAN`` to the power of
+k blocks have bounding boxes in those directions; only pairs of intervals whose boxes are no further apart than eps, and whose
+labels overlap, are taken apart into pairs of their parts, level by level down to blocks, so provably distant intervals are never
+paired.  Of a pair of blocks one sends the other only its vectors within eps of the other's box; blocks are joined by the
+same recursion, down to leaves that a matrix product decides.
 
 Equal vectors of one label are one class with a multiplicity first, so a group of copies costs one vector; links are
 counted with multiplicities and leave a task as one row per class, never as pairs.  Components come from the stars of
@@ -29,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.llm.components import components
-from palaver.llm.shared import discard, materialize, table
+from palaver.llm.shared import look_up, materialize, table, worker_state
 
 COSINE = 0.98
 DIRECTIONS = 6
-BLOCK, LEAF = 512, 64
+BLOCK, LEAF, FAN = 512, 64, 8
 SAMPLE = 4_000
 
 
@@ -162,15 +164,16 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def cut(batches):
+        worker_state("egojoin", 0, dict)
         held: list[tuple] = []
-        key = None
+        key, nth = None, 0
 
         def block():
             u = np.array([np.frombuffer(h[2]) for h in held])
             p = _places(u, axes.value[key[1]])
             return pa.RecordBatch.from_arrays(
-                [pa.array([held[0][0]], pa.int64()), pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([p.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([p.max(axis=0).tolist()], pa.list_(pa.float64())), pa.array([np.array([h[0] for h in held], np.int64).tobytes()], pa.binary()), pa.array([np.array([h[1] for h in held], np.int64).tobytes()], pa.binary()), pa.array([u.tobytes()], pa.binary())],
-                ["name", "label", "dim", "lo", "hi", "ids", "copies", "units"],
+                [pa.array([nth], pa.int64()), pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([p.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([p.max(axis=0).tolist()], pa.list_(pa.float64())), pa.array([np.array([h[0] for h in held], np.int64).tobytes()], pa.binary()), pa.array([np.array([h[1] for h in held], np.int64).tobytes()], pa.binary()), pa.array([u.tobytes()], pa.binary())],
+                ["nth", "label", "dim", "lo", "hi", "ids", "copies", "units"],
             )
 
         for batch in batches:
@@ -178,31 +181,87 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
                 if held and (key != (label, dim) or len(held) >= BLOCK):
                     yield block()
                     held.clear()
+                    nth += 1
                 key = (label, dim)
                 held.append((rep, copies, unit))
         if held:
             yield block()
 
-    blocks = materialize(ordered.mapInArrow(cut, "name bigint, label string, dim int, lo array<double>, hi array<double>, ids binary, copies binary, units binary"), "ego-blocks")
-    box = blocks.select("name", "label", "dim", "lo", "hi", F.floor(F.col("lo")[0] / eps).alias("first"), F.floor(F.col("hi")[0] / eps).alias("last"))
-    x = box.select("label", "dim", F.col("name").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("cell"))
-    y = box.select("label", "dim", F.col("name").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(F.sequence("first", "last")).alias("cell"))
-    gap = " + ".join(f"power(greatest(lo_b[{k}] - hi_a[{k}], lo_a[{k}] - hi_b[{k}], 0D), 2)" for k in range(DIRECTIONS))
-    pairs = x.join(y, ["label", "dim", "cell"]).where(f"a <= b and {gap} <= {eps * eps}").select("a", "b").distinct()
-    data = blocks.select("name", "dim", "ids", "copies", "units")
-    held = pairs.join(data.select(*[F.col(c).alias(f"{c}_a") for c in data.columns]), F.col("a") == F.col("name_a")).join(data.select(*[F.col(c).alias(f"{c}_b") for c in data.columns]), F.col("b") == F.col("name_b"))
-
-    def compare(batches):
+    blocks = materialize(ordered.mapInArrow(cut, "nth bigint, label string, dim int, lo array<double>, hi array<double>, ids binary, copies binary, units binary").withColumn("part", F.spark_partition_id()), "ego-blocks")
+    # blocks are numbered through in the order of the sequence; there is a row here for each partition
+    counts = {r.part: r.n for r in blocks.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    total, before = 0, {}
+    for part in sorted(counts):
+        before[part] = total
+        total += counts[part]
+    if not total:
+        return spark.createDataFrame([], LINKS)
+    numbered = blocks.withColumn("block", F.create_map(*[F.lit(x) for item in before.items() for x in item])[F.col("part")].cast("bigint") + F.col("nth"))
+    pairs = materialize(_near(numbered, total, eps * eps), "ego-pairs")
+    data = numbered.select("block", "dim", "ids", "copies", "units")
+
+    def inside(batches):
+        """Links inside each block."""
+        for batch in batches:
+            out = []
+            for _, dim, ids, copies, units in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                i, n, u = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64), np.frombuffer(units).reshape(-1, dim)
+                p = _places(u, axes.value[dim])
+                out.append(join_blocks(i, n, u, p, i, n, u, p, True, cosine))
+            yield _link_batch(out)
+
+    def near_part(batches):
+        """Of each pair's first block the vectors that the other's box may reach."""
+        for batch in batches:
+            rows = []
+            for b, lo, hi, dim, ids, copies, units in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                u = np.frombuffer(units).reshape(-1, dim)
+                p = _places(u, axes.value[dim])
+                gap = np.maximum(np.maximum(np.array(lo) - p, p - np.array(hi)), 0)
+                near = np.flatnonzero((gap * gap).sum(axis=1) <= 2 - 2 * cosine + 1e-9)
+                if len(near):
+                    rows.append((b, np.frombuffer(ids, np.int64)[near].tobytes(), np.frombuffer(copies, np.int64)[near].tobytes(), u[near].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "ids_a", "copies_a", "units_a"])
+
+    def across(batches):
         for batch in batches:
             out = []
-            for a, b, dim, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for dim, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, copies, ids2, copies2 = (np.frombuffer(parts[k], np.int64) for k in (0, 1, 3, 4))
                 u, u2 = (np.frombuffer(parts[k]).reshape(-1, dim) for k in (2, 5))
-                out.append(join_blocks(ids, copies, u, _places(u, axes.value[dim]), ids2, copies2, u2, _places(u2, axes.value[dim]), a == b, cosine))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["rep", "n", "root"])
+                out.append(join_blocks(ids, copies, u, _places(u, axes.value[dim]), ids2, copies2, u2, _places(u2, axes.value[dim]), False, cosine))
+            yield _link_batch(out)
+
+    box = numbered.select(F.col("block").alias("b"), "lo", "hi")
+    sent = pairs.where("a < b").join(box, "b").join(data, F.col("a") == F.col("block")).select("b", "lo", "hi", "dim", "ids", "copies", "units").mapInArrow(near_part, "block bigint, ids_a binary, copies_a binary, units_a binary")
+    other = sent.join(data, "block").select("dim", "ids_a", "copies_a", "units_a", "ids", "copies", "units").mapInArrow(across, LINKS)
+    return data.mapInArrow(inside, LINKS).unionByName(other)
+
+
+LINKS = "rep bigint, n bigint, root bigint"
+
+
+def _link_batch(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64)) for c in (zip(*found, strict=True) if found else ((), (), ()))], ["rep", "n", "root"])
+
+
+def _near(blocks: DataFrame, total: int, reach: float) -> DataFrame:
+    """Pairs (a, b), a <= b, of blocks whose labels overlap and whose boxes are no further apart than the root of ``reach``.
 
-    return held.select("a", "b", "dim_a", "ids_a", "copies_a", "units_a", "ids_b", "copies_b", "units_b").mapInArrow(compare, "rep bigint, n bigint, root bigint")
+    Intervals of the sequence are paired from the whole down: what a pair of distant intervals holds is never looked at.
+    """
+    bounds = [f(f"{side}{k}").alias(f"{side}{k}") for k in range(DIRECTIONS) for side, f in (("lo", F.min), ("hi", F.max))]
+    levels = [blocks.select("block", F.struct("label", "dim").alias("least"), F.struct("label", "dim").alias("most"), *[F.col(side)[k].alias(f"{side}{k}") for k in range(DIRECTIONS) for side in ("lo", "hi")])]
+    while total > 1:
+        total = -(-total // FAN)
+        levels.append(levels[-1].withColumn("block", F.expr(f"block div {FAN}")).groupBy("block").agg(F.min("least").alias("least"), F.max("most").alias("most"), *bounds))
+    pairs = levels[-1].select(F.col("block").alias("a"), F.col("block").alias("b"))
+    gap = " + ".join(f"power(greatest(y.lo{k} - x.hi{k}, x.lo{k} - y.hi{k}, 0D), 2)" for k in range(DIRECTIONS))
+    for level in reversed(levels[:-1]):
+        parts = level.withColumn("of", F.expr(f"block div {FAN}"))
+        pairs = pairs.join(parts.alias("x"), F.col("a") == F.col("x.of")).join(parts.alias("y"), F.col("b") == F.col("y.of")).where(f"x.block <= y.block and x.least <= y.most and y.least <= x.most and {gap} <= {reach!r}").select(F.col("x.block").alias("a"), F.col("y.block").alias("b"))
+    return pairs
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -215,7 +274,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = materialize(links(classes, cosine), "vector-links")
     joined = components(found, "rep", "root")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    member = valid.select("vec_id", *key).join(classes.select(*key, "rep", "copies"), key)
+    member = look_up(valid.select("vec_id", *key), classes.select(*key, "rep", "copies", F.col("copies").alias("rows")), key, "rows")
     out = (
         member.join(counts, "rep", "left")
         .join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -21,6 +21,7 @@ an empty table gives no archive records.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import deque
 
@@ -28,16 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.shared import materialize, new_path, table
+from palaver.llm.shared import KeyBits, materialize, new_path, table
 
 REVISIT_BYTES = 100
-#: Repeated payloads up to which their table (about 100 bytes a row) is broadcast; beyond, the join is shuffled.
-BROADCAST_ROWS = 100_000
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:palaver:page:"
+_SHA256 = re.compile("sha256:([0-9a-fA-F]{64})")
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 
 
@@ -56,16 +56,14 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("bigint")).withColumn("digest", F.sha2("payload", 256))
     same = rows.where(f"size >= {REVISIT_BYTES}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    # repeated payloads are few as a rule; then the pages themselves need no shuffle
-    same = materialize(same, "warc-same")
-    few = same.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(same) if few else same.hint("merge"), "digest", "left").select("page_id", "url", "payload", "size", "digest", "first")
+    rows = rows.select("page_id", "url", "payload", "size", "digest")
 
     def run(batches):
         yield pa.RecordBatch.from_arrays([pa.array([_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:palaver:info>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"software: palaver\r\nformat: WARC File Format 1.1\r\n")], pa.binary())], ["value"])
         for batch in batches:
             out = []
-            for page, url, payload, size, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            columns = [c.to_pylist() for c in batch.columns]
+            for page, url, payload, size, digest, first in zip(*columns[:5], columns[5] if len(columns) > 5 else [None] * batch.num_rows, strict=True):
                 revisit = first is not None and page != first
                 name = f"<{_ID}{page}>" if page is not None else f"<urn:sha256:{digest}>"
                 headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", name), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}")]
@@ -76,7 +74,11 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
                 out.append(_record(headers, _HTTP + (b"" if revisit else payload)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
+    # only pages whose payload may be repeated are shuffled; the others go straight from the scan to the archive
+    bits = KeyBits(same, "digest")
+    single = bits.maybe(rows, "digest", present=False, then=run, schema="value binary")
+    again = bits.maybe(rows, "digest").join(same, "digest", "left").select("page_id", "url", "payload", "size", "digest", "first").mapInArrow(run, "value binary")
+    single.unionByName(again).select(F.col("value").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
 class _Damaged(Exception):
@@ -128,7 +130,9 @@ def parse_record(data: bytes) -> dict | None:
         return int(value[len(_ID) :]) if value.startswith(_ID) and value[len(_ID) :].lstrip("-").isdigit() else None
 
     if kind == "revisit":
-        size, digest, payload = int(fields.get("palaver-payload-length", 0)), fields.get("warc-payload-digest", "").rpartition(":")[2], None
+        # archives of others may have no length, and digests of other kinds: both are unknown then
+        size, kept, payload = fields.get("palaver-payload-length", ""), _SHA256.fullmatch(fields.get("warc-payload-digest", "")), None
+        size, digest = int(size) if size.isdigit() else None, kept[1].lower() if kept else None
     else:
         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
     return {"page_id": page("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": page("warc-refers-to"), "payload_bytes": size, "payload_digest": digest, "payload": payload}

@@ -33,11 +33,6 @@ def test_round_trip(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write_warc(df, path)
     assert got(warc.read_warc(spark, path)) == expected(rows)
-    few, warc.BROADCAST_ROWS = warc.BROADCAST_ROWS, 0
-    try:
-        warc.write_warc(df, path + "2")
-    finally:
-        warc.BROADCAST_ROWS = few
     assert got(warc.read_warc(spark, path + "2")) == expected(rows)
     kept = {r.page_id: r.payload for r in warc.read_warc(spark, path).collect() if r.record_type == "response"}
     assert bytes(kept[9]).decode() == rows[6][2]
@@ -100,3 +95,18 @@ def test_false_magics_and_small_ranges(spark, tmp_path):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
             spark.conf.unset("spark.sql.files.openCostInBytes")
         assert found == want, size
+
+
+def test_revisits_of_other_archives_may_lack_size_and_digest():
+    head = "WARC/1.0\r\nWARC-Type: revisit\r\nContent-Length: 0\r\n"
+    for line, digest in (("", None), ("WARC-Payload-Digest: sha1:ABCDEF\r\n", None), (f"WARC-Payload-Digest: sha256:{'AB' * 32}\r\n", "ab" * 32)):
+        found = warc.parse_record(f"{head}{line}\r\n".encode())
+        assert (found["payload_bytes"], found["payload_digest"], found["page_id"]) == (None, digest, None)
+
+
+def test_one_payload_on_a_third_of_the_pages(spark, tmp_path):
+    rows = [(k, f"u{k}", "hot" * 50 if k % 3 == 0 else f"page {k} " * 20) for k in range(300)]
+    path = str(tmp_path / "hot")
+    warc.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4), path)
+    found = warc.read_warc(spark, path, payload=False).collect()
+    assert len(found) == 300 and {r.page_id for r in found if r.record_type == "revisit" and r.refers_to == 0} == set(range(3, 300, 3))
