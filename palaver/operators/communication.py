@@ -41,8 +41,19 @@ def speaker_stats(segments: DataFrame, question_suffix: str = "?") -> DataFrame:
     )
 
 
-def call_metrics(stats: DataFrame) -> DataFrame:
-    """Per call, from :func:`speaker_stats`: totals, balance and changes of speaker per segment."""
+def call_metrics(stats: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """Per call, from :func:`speaker_stats`: totals, balance and changes of speaker per segment.
+
+    With ``calls`` (call_id) calls without segments have a row of zeros.
+    """
+    found = _metrics(stats)
+    if calls is None:
+        return found
+    counts = ["total_speakers", "total_words", "total_segments", "total_questions"]
+    return calls.select("call_id").join(found, "call_id", "left").select("call_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("speaking_balance", "speaker_switches_per_segment")])
+
+
+def _metrics(stats: DataFrame) -> DataFrame:
     call = Window.partitionBy("call_id")
     spread = F.abs(F.col("talk_ratio") - F.lit(1.0) / F.count("*").over(call))
     return (

@@ -66,25 +66,39 @@ def quality(schema_complete: Column, accuracy: Column, grounding: Column, eviden
 
 
 def score_replies(replies: DataFrame, expected: list[str]) -> DataFrame:
-    """Replies (response, transcript, accuracy) with JSON objects: parts of the quality and the score.
+    """Replies (response, transcript, accuracy) in JSON: parts of the quality and the score.
 
-    No reply scores 0, a reply that is not JSON 0.5.  Evidence is the share of fields that are not empty; what is held
-    against the transcript are the fields reasoning, quote and evidence.
+    No reply scores 0, a reply that is not JSON 0.5.  Expected fields are looked for in an object, or in the first entry
+    of a list.  Held against the transcript are an object's texts reasoning, quote and evidence and the entries of its lists
+    findings, strengths, gaps and strongest_signals, or a list's entries (of objects the text, else the quote).  Evidence is the
+    share of an object's fields that are not empty, or a third for each entry of a list, at most 1.
     """
     body = T.json_without_fence("response")
-    out = replies.withColumn("_v", F.try_parse_json(body)).withColumn("_m", F.from_json(body, "map<string,string>"))
-    keys = F.coalesce(F.map_keys("_m"), F.array().cast("array<string>"))
+    out = replies.withColumn("_v", F.try_parse_json(body))
+    kind = F.schema_of_variant("_v")
+    is_object, is_list = F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False)), F.coalesce(F.startswith(kind, F.lit("ARRAY")), F.lit(False))
+    out = out.withColumn("_m", F.when(is_object, F.try_variant_get("_v", "$", "map<string,variant>"))).withColumn("_l", F.when(is_list, F.try_variant_get("_v", "$", "array<variant>")))
+    first = F.try_variant_get("_v", "$[0]", "map<string,variant>")
+    keys = F.coalesce(F.map_keys("_m"), F.when(is_list, F.map_keys(first)), F.array().cast("array<string>"))
     present = F.size(F.filter(F.array(*map(F.lit, expected)), lambda k: F.array_contains(keys, k))) if expected else F.lit(0)
     schema = present / F.lit(len(expected)) if expected else F.lit(1.0)
-    empty = ["", "0", "0.0", "[]", "{}", "null", "false"]
-    filled = F.size(F.filter(F.map_values("_m"), lambda v: v.isNotNull() & ~v.isin(*empty)))
-    evidence = F.coalesce(F.least(F.lit(1.0), filled / F.greatest(F.size("_m"), F.lit(1))), F.lit(0.0))
-    checks = F.filter(F.transform(F.array(*map(F.lit, ("reasoning", "quote", "evidence"))), lambda k: F.try_element_at(F.col("_m"), k)), lambda v: v.isNotNull() & (v != ""))
+    empty = ["", '""', "0", "0.0", "[]", "{}", "null", "false", '"null"']
+    json = lambda v: F.coalesce(F.to_json(v), F.lit("null"))
+    filled = F.size(F.filter(F.map_values("_m"), lambda v: ~json(v).isin(*empty)))
+    evidence = F.when(F.col("_m").isNotNull(), F.least(F.lit(1.0), filled / F.greatest(F.size("_m"), F.lit(1)))).when(F.col("_l").isNotNull(), F.least(F.lit(1.0), F.size("_l") / 3)).otherwise(0.0)
+    plain = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), json(v))
+    texts = F.filter(F.array(*[F.when(F.startswith(json(F.try_variant_get("_v", f"$.{k}", "variant")), F.lit('"')), F.try_variant_get("_v", f"$.{k}", "string")) for k in ("reasoning", "quote", "evidence")]), lambda v: v.isNotNull() & (v != ""))
+    nested = F.flatten(F.array(*[F.transform(F.filter(F.coalesce(F.try_variant_get("_v", f"$.{k}", "array<variant>"), F.array().cast("array<variant>")), lambda v: ~json(v).isin(*empty[:-1])), plain) for k in ("findings", "strengths", "gaps", "strongest_signals")]))
+    entries = F.transform("_l", lambda v: F.coalesce(F.try_variant_get(v, "$.text", "string"), F.try_variant_get(v, "$.quote", "string"), plain(v)))
+    checks = F.when(F.col("_l").isNotNull(), entries).when(F.col("_m").isNotNull(), F.concat(texts, nested)).otherwise(F.array().cast("array<string>"))
+    out = out.withColumn("_checks", F.when(F.coalesce("transcript", F.lit("")) == "", F.array().cast("array<string>")).otherwise(checks))
     words = word_set("transcript")
-    ok = F.size(F.filter(checks, lambda v: (F.size(F.array_intersect(word_set(v), words)) >= 2) | F.contains(T.lower("transcript"), F.lower(v))))
-    grounding = F.when((F.size(checks) > 0) & (F.coalesce("transcript", F.lit("")) != ""), F.round(ok / F.size(checks), 3)).otherwise(1.0)
-    score = F.when(F.col("response").isNull(), 0.0).when(F.col("_v").isNull(), 0.5).otherwise(quality(schema, F.coalesce("accuracy", F.lit(0.0)), grounding, evidence))
-    return out.select(*replies.columns, F.col("_v").isNotNull().alias("json_valid"), F.round(schema, 3).alias("schema_complete"), grounding.alias("grounding_rate"), F.round(evidence, 3).alias("evidence_quality"), score.alias("quality_score"))
+    ok = F.size(F.filter("_checks", lambda v: (F.size(F.array_intersect(word_set(v), words)) >= 2) | F.contains(T.lower("transcript"), F.lower(v))))
+    grounding = F.when(F.size("_checks") > 0, F.round(ok / F.size("_checks"), 3)).otherwise(1.0)
+    valid = F.col("_v").isNotNull()
+    score = F.when(F.col("response").isNull(), 0.0).when(~valid, 0.5).otherwise(quality(schema, F.coalesce("accuracy", F.lit(0.0)), grounding, evidence))
+    part = lambda c: F.when(valid, c).otherwise(0.0)
+    return out.select(*replies.columns, valid.alias("json_valid"), part(F.round(schema, 3)).alias("schema_complete"), part(grounding).alias("grounding_rate"), F.when(valid, F.size("_checks") - ok).otherwise(0).alias("hallucinated_count"), part(F.round(evidence, 3)).alias("evidence_quality"), score.alias("quality_score"))
 
 
 def score_summaries(replies: DataFrame) -> DataFrame:

@@ -17,40 +17,66 @@ def in_month(usage: DataFrame, month: str) -> DataFrame:
     return usage.where(F.startswith(F.col("timestamp").cast("string"), F.lit(month)))
 
 
-def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Entries with their cost from (model, price_in, price_out) per million tokens; models without a price cost nothing."""
-    cost = F.coalesce(F.col("input_tokens") * F.col("price_in") / 1e6 + F.col("output_tokens") * F.col("price_out") / 1e6, F.lit(0.0))
-    return usage.join(prices, "model", "left").withColumn("cost_usd", F.round(cost, 6)).drop("price_in", "price_out")
+#: Dollars per million tokens read and written, for models without a price.
+DEFAULT_PRICE = (3.0, 15.0)
+
+
+def dollars(c: str):
+    """Exact sum of money of six decimals, whatever the order of the rows."""
+    return F.round(F.sum(F.col(c).cast("decimal(28,6)")).cast("double"), 6)
+
+
+def priced(usage: DataFrame, prices: DataFrame, default: tuple[float, float] = DEFAULT_PRICE) -> DataFrame:
+    """Entries with their cost from (model, price_in, price_out) per million tokens, exact and rounded to six decimals."""
+    at = [F.coalesce(F.col(c), F.lit(d)) for c, d in zip(("price_in", "price_out"), default, strict=True)]
+    cost = F.col("input_tokens") * at[0] / 1e6 + F.col("output_tokens") * at[1] / 1e6
+    return usage.join(prices, "model", "left").withColumn("exact_cost", F.coalesce(cost, F.lit(0.0))).withColumn("cost_usd", F.round("exact_cost", 6)).drop("price_in", "price_out")
 
 
 def over_budget(usage: DataFrame, limit: float, session: str, order: list) -> DataFrame:
-    """Running cost per session and whether it is above the limit."""
+    """Running cost per session, of unrounded costs where they are known, and whether it is above the limit."""
     w = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return usage.withColumn("running_cost", F.sum("cost_usd").over(w)).withColumn("over_budget", F.col("running_cost") > limit)
+    cost = "exact_cost" if "exact_cost" in usage.columns else "cost_usd"
+    return usage.withColumn("running_cost", F.sum(cost).over(w)).withColumn("over_budget", F.col("running_cost") > limit)
 
 
-def totals(usage: DataFrame, budget: float | None = None) -> DataFrame:
-    out = usage.agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
-    return out if budget is None else out.withColumn("budget_used", F.round(F.col("cost_usd") / budget, 4)).withColumn("over_budget", F.col("cost_usd") > budget)
+def totals(usage: DataFrame, budget: float | None = None, order: str | None = None) -> DataFrame:
+    """One row: calls, tokens, cost; with a budget what is left of it; with an order the first and last entry's time."""
+    ends = [] if order is None else [F.min_by("timestamp", order).alias("first_entry"), F.max_by("timestamp", order).alias("last_entry")]
+    out = usage.agg(F.count("*").alias("calls"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"), F.coalesce(dollars("cost_usd"), F.lit(0.0)).alias("cost_usd"), *ends)
+    if budget is None:
+        return out
+    return out.withColumn("budget_used", F.round(F.col("cost_usd") / budget, 4)).withColumn("budget_remaining", F.round(F.lit(budget) - F.col("cost_usd"), 6)).withColumn("over_budget", F.col("cost_usd") > budget)
 
 
 def by_model(usage: DataFrame, order: str) -> DataFrame:
     """Per model: calls, tokens, cost, first provider and latencies above 0; the median of an even number is the upper one.
 
-    The exact median needs the values of a group in order: ranks by one sort per model, no array of values.
+    The exact median comes from counts per latency, so what is ranked are a model's different latencies, not its entries.
     """
-    timed = usage.where("latency_ms > 0")
-    rank = timed.withColumn("_r", F.row_number().over(Window.partitionBy("model").orderBy("latency_ms"))).withColumn("_n", F.count("*").over(Window.partitionBy("model")))
-    latency = rank.groupBy("model").agg(F.round(F.avg("latency_ms"), 1).alias("avg_latency"), F.min("latency_ms").alias("min_latency"), F.max("latency_ms").alias("max_latency"), F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("latency_ms"))).alias("p50_latency"))
-    base = usage.groupBy("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost_usd"), 2).alias("cost_usd"), F.min_by("provider", order).alias("provider"))
+    per = usage.where("latency_ms > 0").groupBy("model", "latency_ms").agg(F.count("*").alias("_k"))
+    up = Window.partitionBy("model").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
+    rank = per.withColumn("_upto", F.sum("_k").over(up)).withColumn("_n", F.sum("_k").over(Window.partitionBy("model")))
+    latency = rank.groupBy("model").agg(
+        F.round(F.sum(F.col("latency_ms") * F.col("_k")) / F.sum("_k")).cast("bigint").alias("avg_latency"),
+        F.min("latency_ms").alias("min_latency"),
+        F.max("latency_ms").alias("max_latency"),
+        F.min(F.when(F.col("_upto") > F.floor(F.col("_n") / 2), F.col("latency_ms"))).alias("p50_latency"),
+    )
+    base = usage.groupBy("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), dollars("cost_usd").alias("cost_usd"), F.min_by("provider", order).alias("provider"))
     return base.join(latency, "model", "left")
 
 
 def by_call_type(usage: DataFrame) -> DataFrame:
     kind = F.when(F.coalesce("call_type", F.lit("")) == "", "unknown").otherwise(F.col("call_type")).alias("call_type")
-    return usage.groupBy(kind).agg(F.count("*").alias("calls"), F.round(F.sum("cost_usd"), 2).alias("cost_usd"))
+    return usage.groupBy(kind).agg(F.count("*").alias("calls"), dollars("cost_usd").alias("cost_usd"))
+
+
+def by_day(usage: DataFrame) -> DataFrame:
+    """Calls and cost of each day."""
+    return usage.groupBy(F.left(F.col("timestamp").cast("string"), F.lit(10)).alias("day")).agg(F.count("*").alias("calls"), dollars("cost_usd").alias("cost_usd"))
 
 
 def cube(usage: DataFrame) -> DataFrame:
     """Calls and cost by model, by call type and in all, in one pass."""
-    return usage.groupingSets([["model"], ["call_type"], []], "model", "call_type").agg(F.count("*").alias("calls"), F.round(F.sum("cost_usd"), 2).alias("cost_usd"))
+    return usage.groupingSets([["model"], ["call_type"], []], "model", "call_type").agg(F.count("*").alias("calls"), dollars("cost_usd").alias("cost_usd"))

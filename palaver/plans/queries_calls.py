@@ -351,18 +351,18 @@ def label_map(spark, d):
 # ---------------------------------------------------------------- texts and documents
 
 
-@query(r"""SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '\S+')), 0) AS BIGINT) AS words, CASE WHEN len(regexp_extract_all(text, '\S+')) <= 20 THEN text ELSE array_to_string(list_slice(regexp_extract_all(text, '\S+'), 1, 20), ' ') || ' [cut]' END AS short, left(replace(lower(left(text, 60)), ' ', '-'), 30) AS slug, replace(replace(replace(left(text, 80), '|', '\|'), '<', '&lt;'), '>', '&gt;') AS safe, left(sha256(text), 16) AS hash FROM documents""")
+@query(r"""SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '\S+')), 0) AS BIGINT) AS words, CASE WHEN len(regexp_extract_all(text, '\S+')) <= 20 THEN text ELSE array_to_string(list_slice(regexp_extract_all(text, '\S+'), 1, 20), ' ') || ' [cut]' END AS short, left(replace(lower(text), ' ', '-'), 30) AS slug, replace(replace(replace(text, '|', '\|'), '<', '&lt;'), '>', '&gt;') AS safe, left(sha256(text), 16) AS hash FROM documents""")
 def text_functions(spark, d):
     """C1, C6, C7, C10, C17 and content hashes."""
-    return table(spark, d, "documents").select("doc_id", T.word_count("text").alias("words"), T.truncate_words("text", 20, " [cut]").alias("short"), T.slug(F.left("text", F.lit(60))).alias("slug"), T.markdown(F.left("text", F.lit(80))).alias("safe"), T.content_hash("text").alias("hash"))
+    return table(spark, d, "documents").select("doc_id", T.word_count("text").alias("words"), T.truncate_words("text", 20, " [cut]").alias("short"), T.slug("text").alias("slug"), T.markdown("text").alias("safe"), T.content_hash("text").alias("hash"))
 
 
-@query(rf"""WITH {SEG}, t AS (SELECT DISTINCT call_id, 'call/' || CASE WHEN call_id % 2 = 0 THEN 'qbr' ELSE 'podcast' END AS tag FROM seg UNION SELECT call_id, 'speaker/' || speaker FROM seg UNION SELECT call_id, 'topic/' || left(replace(lower(left(coalesce(text, ''), 40)), ' ', '-'), 30) FROM seg) SELECT call_id, array_to_string(list_sort(list(tag)), ' ') AS tags FROM t GROUP BY call_id""")
+@query(rf"""WITH {SEG}, t AS (SELECT DISTINCT call_id, 'call/' || CASE WHEN call_id % 2 = 0 THEN 'qbr' ELSE 'podcast' END AS tag FROM seg UNION SELECT call_id, 'speaker/' || speaker FROM seg UNION SELECT call_id, 'topic/' || left(replace(lower(coalesce(text, '')), ' ', '-'), 30) FROM seg) SELECT call_id, array_to_string(list_sort(list(tag)), ' ') AS tags FROM t GROUP BY call_id""")
 def tags(spark, d):
     """L2, H4."""
     s = segments(spark, d)
     c = s.select("call_id", F.when(F.pmod("call_id", F.lit(2)) == 0, "qbr").otherwise("podcast").alias("call_type")).distinct()
-    t = reports.tags(c, s.select("call_id", F.coalesce("speaker", F.lit("Unknown")).alias("speaker")), s.select("call_id", F.left(F.coalesce("text", F.lit("")), F.lit(40)).alias("name")))
+    t = reports.tags(c, s.select("call_id", F.coalesce("speaker", F.lit("Unknown")).alias("speaker")), s.select("call_id", F.coalesce("text", F.lit("")).alias("name")))
     return t.withColumn("tags", F.array_join("tags", " "))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palaver.functions import text as T
@@ -28,28 +29,28 @@ def query(sql: str | None = None):
 
 
 @query(f"""WITH {USAGE}, t AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY latency_ms) AS r, count(*) OVER (PARTITION BY model) AS n FROM usage WHERE latency_ms > 0),
-l AS (SELECT model, round(avg(latency_ms), 1) AS avg_latency, min(latency_ms) AS min_latency, max(latency_ms) AS max_latency, max(CASE WHEN r = n // 2 + 1 THEN latency_ms END) AS p50_latency FROM t GROUP BY model)
-SELECT model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost_usd), 2) AS cost_usd, arg_min(provider, (session, l_linenumber, l_partkey, l_suppkey)) AS provider, any_value(avg_latency) AS avg_latency, any_value(min_latency) AS min_latency, any_value(max_latency) AS max_latency, any_value(p50_latency) AS p50_latency FROM usage LEFT JOIN l USING (model) GROUP BY model""")
+l AS (SELECT model, CAST(round(avg(latency_ms)) AS BIGINT) AS avg_latency, min(latency_ms) AS min_latency, max(latency_ms) AS max_latency, max(CASE WHEN r = n // 2 + 1 THEN latency_ms END) AS p50_latency FROM t GROUP BY model)
+SELECT model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(CAST(sum(CAST(cost_usd AS DECIMAL(28,6))) AS DOUBLE), 6) AS cost_usd, arg_min(provider, (session, l_linenumber, l_partkey, l_suppkey)) AS provider, any_value(avg_latency) AS avg_latency, any_value(min_latency) AS min_latency, any_value(max_latency) AS max_latency, any_value(p50_latency) AS p50_latency FROM usage LEFT JOIN l USING (model) GROUP BY model""")
 def usage_by_model(spark, d):
     """Per model with the upper median of latencies."""
     return usage.by_model(usage_rows(spark, d), "key")
 
 
-@query(f"WITH {USAGE} SELECT CASE WHEN coalesce(call_type, '') = '' THEN 'unknown' ELSE call_type END AS call_type, count(*) AS calls, round(sum(cost_usd), 2) AS cost_usd FROM usage GROUP BY 1")
+@query(f"WITH {USAGE} SELECT CASE WHEN coalesce(call_type, '') = '' THEN 'unknown' ELSE call_type END AS call_type, count(*) AS calls, round(CAST(sum(CAST(cost_usd AS DECIMAL(28,6))) AS DOUBLE), 6) AS cost_usd FROM usage GROUP BY 1")
 def usage_by_call_type(spark, d):
     return usage.by_call_type(usage_rows(spark, d))
 
 
-@query(f"WITH {USAGE} SELECT model, call_type, count(*) AS calls, round(sum(cost_usd), 2) AS cost_usd FROM usage GROUP BY GROUPING SETS ((model), (call_type), ())")
+@query(f"WITH {USAGE} SELECT model, call_type, count(*) AS calls, round(CAST(sum(CAST(cost_usd AS DECIMAL(28,6))) AS DOUBLE), 6) AS cost_usd FROM usage GROUP BY GROUPING SETS ((model), (call_type), ())")
 def usage_cube(spark, d):
     return usage.cube(usage_rows(spark, d))
 
 
-@query(f"WITH {USAGE} SELECT count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost_usd) / 1e6, 3) AS cost_millions, sum(cost_usd) > 1e6 AS over_budget FROM usage WHERE CAST(ts AS VARCHAR) LIKE '1997-03%'")
+@query(f"WITH {USAGE} SELECT count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(CAST(sum(CAST(cost_usd AS DECIMAL(28,6))) AS DOUBLE), 6) AS cost_usd, round(1e6::DOUBLE - CAST(sum(CAST(cost_usd AS DECIMAL(28,6))) AS DOUBLE), 6) AS budget_remaining, sum(cost_usd) > 1e6 AS over_budget, arg_min(CAST(ts AS VARCHAR), (ts, session, l_linenumber, l_partkey, l_suppkey)) AS first_entry, arg_max(CAST(ts AS VARCHAR), (ts, session, l_linenumber, l_partkey, l_suppkey)) AS last_entry FROM usage WHERE CAST(ts AS VARCHAR) LIKE '1997-03%'")
 def usage_month(spark, d):
     """Totals of a month against a budget."""
-    t = usage.totals(usage.in_month(usage_rows(spark, d), "1997-03"), 1e6)
-    return t.select("calls", "input_tokens", "output_tokens", F.round(F.col("cost_usd") / 1e6, 3).alias("cost_millions"), "over_budget")
+    rows = usage.in_month(usage_rows(spark, d), "1997-03").withColumn("timestamp", F.col("timestamp").cast("string")).withColumn("place", F.struct("timestamp", "key"))
+    return usage.totals(rows, 1e6, "place").drop("budget_used")
 
 
 @query(f"WITH {USAGE} SELECT model, count(*) AS calls FROM usage WHERE floor((epoch(TIMESTAMP '1998-09-01 12:00:00') - epoch(ts)) / 86400) <= 90 GROUP BY model")
@@ -58,12 +59,12 @@ def usage_days(spark, d):
     return usage.in_days(usage_rows(spark, d), 90, F.lit("1998-09-01 12:00:00").cast("timestamp")).groupBy("model").agg(F.count("*").alias("calls"))
 
 
-@query(f"WITH {USAGE}, p AS (SELECT *, round(coalesce(input_tokens * pi / 1e6 + output_tokens * po / 1e6, 0), 6) AS cost FROM usage LEFT JOIN (VALUES ('A', 3.0137::DOUBLE, 15.0711::DOUBLE), ('N', 0.2571, 1.2593)) v(m, pi, po) ON m = model) SELECT session, l_linenumber, l_partkey, l_suppkey, cost AS cost_usd, round(sum(cost) OVER w, 6) AS running_cost, sum(cost) OVER w > 0.0005 AS over_budget FROM p WINDOW w AS (PARTITION BY session ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)")
+@query(f"WITH {USAGE}, p AS (SELECT *, input_tokens * coalesce(pi, 3.0) / 1e6 + output_tokens * coalesce(po, 15.0) / 1e6 AS cost FROM usage LEFT JOIN (VALUES ('A', 3.0137::DOUBLE, 15.0711::DOUBLE), ('N', 0.2571::DOUBLE, 1.2593::DOUBLE)) v(m, pi, po) ON m = model) SELECT session, l_linenumber, l_partkey, l_suppkey, round(cost, 6) AS cost_usd, round(sum(cost) OVER w, 10) AS running_cost, sum(cost) OVER w > 0.0005 AS over_budget FROM p WINDOW w AS (PARTITION BY session ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)")
 def running_budget(spark, d):
     """Priced entries and the running total of each session."""
     prices = spark.createDataFrame([("A", 3.0137, 15.0711), ("N", 0.2571, 1.2593)], "model string, price_in double, price_out double")
     rows = usage.over_budget(usage.priced(usage_rows(spark, d).drop("cost_usd"), prices), 0.0005, "session", ["key.l_linenumber", "key.l_partkey", "key.l_suppkey"])
-    return rows.select("session", "key.l_linenumber", "key.l_partkey", "key.l_suppkey", "cost_usd", F.round("running_cost", 6).alias("running_cost"), "over_budget")
+    return rows.select("session", "key.l_linenumber", "key.l_partkey", "key.l_suppkey", "cost_usd", F.round("running_cost", 10).alias("running_cost"), "over_budget")
 
 
 # ---------------------------------------------------------------- evaluation runs
@@ -71,49 +72,67 @@ def running_budget(spark, d):
 
 def _results(spark, d):
     o = table(spark, d, "orders")
-    return o.select(F.concat(F.lit("m"), F.pmod("o_custkey", F.lit(40)).cast("string")).alias("model"), F.col("o_orderkey").alias("pos"), F.year("o_orderdate").alias("year"), F.round(F.col("o_totalprice") / 50000, 4).alias("quality"), F.pmod("o_orderkey", F.lit(900)).alias("latency_ms"), (F.pmod("o_orderkey", F.lit(7)) / 1000).alias("cost_usd"), F.when(F.pmod("o_orderkey", F.lit(11)) == 0, "failed").alias("error"))
+    return o.select(F.concat(F.lit("m"), F.pmod("o_custkey", F.lit(40)).cast("string")).alias("model"), F.col("o_orderkey").alias("pos"), F.year("o_orderdate").alias("year"), F.round(F.col("o_totalprice") / 50000, 4).alias("quality"), F.pmod("o_orderkey", F.lit(900)).alias("latency_ms"), (F.pmod("o_orderkey", F.lit(7)) / 1000).alias("cost_usd"), F.when(F.pmod("o_orderkey", F.lit(11)) == 0, "failed").alias("error"), (F.pmod("o_orderkey", F.lit(8)) / 8).alias("accuracy_f1"), F.pmod("o_orderkey", F.lit(4)).alias("hallucinated_count"))
 
 
-RESULTS = "res AS (SELECT 'm' || CAST(o_custkey % 40 AS VARCHAR) AS model, o_orderkey AS pos, year(o_orderdate) AS year, round(o_totalprice / 50000, 4) AS quality, o_orderkey % 900 AS latency_ms, (o_orderkey % 7) / 1000 AS cost_usd, CASE WHEN o_orderkey % 11 = 0 THEN 'failed' END AS error FROM orders)"
+RESULTS = "res AS (SELECT 'm' || CAST(o_custkey % 40 AS VARCHAR) AS model, o_orderkey AS pos, year(o_orderdate) AS year, round(o_totalprice / 50000, 4) AS quality, o_orderkey % 900 AS latency_ms, (o_orderkey % 7) / 1000 AS cost_usd, CASE WHEN o_orderkey % 11 = 0 THEN 'failed' END AS error, (o_orderkey % 8) / 8 AS accuracy_f1, o_orderkey % 4 AS hallucinated_count FROM orders)"
 TIER = "CASE WHEN {0} >= 7.5 THEN 1 WHEN {0} >= 5 THEN 2 WHEN {0} > 0 THEN 3 ELSE 0 END"
 
 
-@query(f"WITH {RESULTS}, a AS (SELECT model, count(*) AS runs, round(avg(CASE WHEN error IS NULL THEN 1.0 ELSE 0.0 END), 3) AS success_rate, round(coalesce(avg(CASE WHEN error IS NULL THEN quality END), 0), 2) AS avg_quality, CAST(round(avg(CASE WHEN error IS NULL THEN latency_ms END)) AS BIGINT) AS avg_latency_ms, round(sum(cost_usd), 2) AS total_cost_usd FROM res GROUP BY model) SELECT *, round(CASE WHEN total_cost_usd <> 0 THEN avg_quality / total_cost_usd END, 6) AS quality_per_cost, {TIER.format('avg_quality')} AS tier FROM a")
+@query(f"WITH {RESULTS}, a AS (SELECT model, count(*) AS runs, avg(CASE WHEN error IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS success_rate, round(coalesce(avg(CASE WHEN error IS NULL THEN quality END), 0), 2) AS avg_quality, CAST(round(coalesce(avg(CASE WHEN error IS NULL THEN latency_ms END), 0)) AS BIGINT) AS avg_latency_ms, round(coalesce(avg(CASE WHEN error IS NULL THEN accuracy_f1 END), 0), 3) AS avg_accuracy_f1, 0.0::DOUBLE AS avg_grounding_rate, CAST(sum(hallucinated_count) AS BIGINT) AS total_hallucinated, round(CAST(sum(CAST(cost_usd AS DECIMAL(28,6))) AS DOUBLE), 6) AS total_cost_usd FROM res GROUP BY model) SELECT *, CASE WHEN total_cost_usd > 0 THEN round(avg_quality / total_cost_usd, 1) ELSE 0 END AS quality_cost_ratio, {TIER.format('avg_quality')} AS tier FROM a")
 def model_aggregates(spark, d):
     """E15."""
     return history.model_aggregates(_results(spark, d))
 
 
-RUNS = "runs AS (SELECT year, model, round(avg(quality), 2) AS avg_quality FROM res WHERE pos % 3 <> year % 3 AND NOT (model = 'm3' AND year = 1996) AND NOT (model = 'm5' AND year = 1997) GROUP BY ALL)"
+#: A run is a year's results of each model; two models take no part in one run each, as a fixture.
+RUNS = "runs AS (SELECT year, model, round(avg(quality), 2) AS avg_quality, CAST(round(avg(latency_ms)) AS BIGINT) AS avg_latency_ms FROM res WHERE NOT (model = 'm3' AND year = 1996) AND NOT (model = 'm5' AND year = 1997) GROUP BY ALL)"
 
 
 def _runs(spark, d):
-    return _results(spark, d).where("pmod(pos, 3) <> pmod(year, 3) and not (model = 'm3' and year = 1996) and not (model = 'm5' and year = 1997)").groupBy("year", "model").agg(F.round(F.avg("quality"), 2).alias("avg_quality"))
+    runs = _results(spark, d).where("not (model = 'm3' and year = 1996) and not (model = 'm5' and year = 1997)").groupBy("year", "model").agg(F.round(F.avg("quality"), 2).alias("avg_quality"), F.round(F.avg("latency_ms")).cast("bigint").alias("avg_latency_ms"))
+    return runs.withColumn("tier", history.tier(F.col("avg_quality")))
 
 
-@query(f"WITH {RESULTS}, {RUNS}, a AS (SELECT * FROM runs WHERE year = 1996), b AS (SELECT * FROM runs WHERE year = 1997) SELECT coalesce(a.model, b.model) AS model, a.avg_quality AS quality_before, b.avg_quality AS quality_after, round(b.avg_quality - a.avg_quality, 2) AS delta, CASE WHEN a.model IS NULL THEN 'added' WHEN b.model IS NULL THEN 'removed' WHEN round(b.avg_quality - a.avg_quality, 2) > 0.5 THEN 'improved' WHEN round(b.avg_quality - a.avg_quality, 2) < -0.5 THEN 'degraded' ELSE 'stable' END AS status FROM a FULL JOIN b ON a.model = b.model")
+@query(f"WITH {RESULTS}, {RUNS}, a AS (SELECT * FROM runs WHERE year = 1996), b AS (SELECT * FROM runs WHERE year = 1997) SELECT coalesce(a.model, b.model) AS model, a.avg_quality AS quality_before, b.avg_quality AS quality_after, round(b.avg_quality - a.avg_quality, 2) AS delta, a.avg_latency_ms AS latency_before_ms, b.avg_latency_ms AS latency_after_ms, b.avg_latency_ms - a.avg_latency_ms AS latency_delta_ms, {TIER.format('a.avg_quality')} * CASE WHEN a.model IS NULL THEN NULL ELSE 1 END AS tier_before, {TIER.format('b.avg_quality')} * CASE WHEN b.model IS NULL THEN NULL ELSE 1 END AS tier_after, {TIER.format('b.avg_quality')} * CASE WHEN b.model IS NULL THEN NULL ELSE 1 END - {TIER.format('a.avg_quality')} * CASE WHEN a.model IS NULL THEN NULL ELSE 1 END AS tier_change, CASE WHEN a.model IS NULL THEN 'added' WHEN b.model IS NULL THEN 'removed' WHEN round(b.avg_quality - a.avg_quality, 2) > 0.5 THEN 'improved' WHEN round(b.avg_quality - a.avg_quality, 2) < -0.5 THEN 'regressed' ELSE 'stable' END AS status FROM a FULL JOIN b ON a.model = b.model")
 def compare_runs(spark, d):
     """D11, H1."""
     r = _runs(spark, d)
     return history.compare_runs(r.where("year = 1996"), r.where("year = 1997"))
 
 
-@query(f"WITH {RESULTS} SELECT model, round(avg(quality), 3) AS mean_quality, min(quality) AS min_quality, max(quality) AS max_quality, count(quality) AS n, round(coalesce(stddev_samp(quality), 0), 3) AS stddev_quality, round(avg(CASE WHEN latency_ms > 0 THEN latency_ms END), 1) AS mean_latency, {TIER.format('arg_max(quality, pos)')} AS current_tier FROM res GROUP BY model")
+@query(f"WITH {RESULTS} SELECT model, count(*) AS runs, round(avg(quality), 2) AS mean_quality, round(min(quality), 2) AS min_quality, round(max(quality), 2) AS max_quality, count(quality) AS n_quality, round(coalesce(stddev_samp(quality), 0), 2) AS stddev_quality, round(coalesce(avg(lat), 0), 2) AS mean_latency, round(coalesce(stddev_samp(lat), 0), 2) AS stddev_latency, coalesce(min(lat), 0)::DOUBLE AS min_latency, coalesce(max(lat), 0)::DOUBLE AS max_latency, count(lat) AS n_latency, {TIER.format('arg_max(quality, pos)')} AS current_tier FROM (SELECT *, CASE WHEN latency_ms > 0 THEN latency_ms END AS lat FROM res) GROUP BY model")
 def model_stats(spark, d):
     """E16."""
     return history.model_stats(_results(spark, d), "pos")
 
 
-@query(f"WITH {RESULTS} SELECT model, arg_min(quality, (year, pos)) AS first_quality, arg_max(quality, (year, pos)) AS last_quality, count(*) AS n_runs, CASE WHEN arg_max(quality, (year, pos)) - arg_min(quality, (year, pos)) > 0.5 THEN 'improving' WHEN arg_max(quality, (year, pos)) - arg_min(quality, (year, pos)) < -0.5 THEN 'declining' ELSE 'stable' END AS trend FROM res GROUP BY model")
+@query(f"WITH {RESULTS}, e AS (SELECT model, arg_min(quality, (year, pos)) AS first_quality, arg_max(quality, (year, pos)) AS last_quality, count(*) AS n_runs FROM res GROUP BY model) SELECT model, year, pos, quality, CAST(row_number() OVER (PARTITION BY model ORDER BY year, pos) AS INT) AS place, first_quality, last_quality, n_runs, CASE WHEN last_quality - first_quality > 0.5 THEN 'improving' WHEN last_quality - first_quality < -0.5 THEN 'declining' ELSE 'stable' END AS trend FROM res JOIN e USING (model)")
 def model_trend(spark, d):
-    """F8."""
-    return history.model_trend(_results(spark, d), ["year", "pos"])
+    """F8: every point."""
+    return history.model_trend(_results(spark, d), ["year", "pos"]).select("model", "year", "pos", "quality", "place", "first_quality", "last_quality", "n_runs", "trend")
+
+
+@query(f"""WITH {RESULTS}, {RUNS}, a AS (SELECT * FROM runs WHERE year = 1996), b AS (SELECT * FROM runs WHERE year = 1997), j AS (SELECT a.model AS ma, b.model AS mb, round(b.avg_quality - a.avg_quality, 2) AS d FROM a FULL JOIN b ON a.model = b.model)
+SELECT count(d) AS models_compared, count(*) FILTER (d > 0.5) AS improved, count(*) FILTER (d < -0.5) AS regressed, count(*) FILTER (d BETWEEN -0.5 AND 0.5) AS stable, count(*) FILTER (ma IS NULL) AS added, count(*) FILTER (mb IS NULL) AS removed FROM j""")
+def comparison_counts(spark, d):
+    """The numbers of a comparison."""
+    r = _runs(spark, d)
+    return history.comparison_counts(history.compare_runs(r.where("year = 1996"), r.where("year = 1997")))
+
+
+@query(f"""WITH {RESULTS}, p AS (SELECT model, '| ' || row_number() OVER w || ' | ' || quality || ' | ' || latency_ms || ' |' AS line, row_number() OVER w AS k FROM res WINDOW w AS (PARTITION BY model ORDER BY year, pos)),
+e AS (SELECT model, arg_min(quality, (year, pos)) AS a, arg_max(quality, (year, pos)) AS b, count(*) AS n FROM res GROUP BY model)
+SELECT model, '# Trend: ' || model || chr(10) || chr(10) || '| # | Quality | Latency |' || chr(10) || '|-|-|-|' || chr(10) || string_agg(line, chr(10) ORDER BY k) || CASE WHEN any_value(n) >= 2 THEN chr(10) || chr(10) || '**Trend:** ' || CASE WHEN any_value(b - a) > 0.5 THEN 'improving' WHEN any_value(b - a) < -0.5 THEN 'declining' ELSE 'stable' END || ' (' || any_value(a) || ' → ' || any_value(b) || ')' ELSE '' END AS markdown FROM p JOIN e USING (model) GROUP BY model""")
+def trend_pages(spark, d):
+    """A page per model."""
+    return history.trend_markdown(history.model_trend(_results(spark, d), ["year", "pos"]))
 
 
 @query(f"WITH {RESULTS}, {RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY avg_quality DESC, model) AS place FROM runs) SELECT year, model, avg_quality, CAST(place AS INT) AS place FROM r WHERE place <= 5")
 def rank_models(spark, d):
     """G7."""
-    return history.rank_models(_runs(spark, d), [F.col("avg_quality").desc(), "model"], ["year"], 5)
+    return history.rank_models(_runs(spark, d), [F.col("avg_quality").desc(), "model"], ["year"], 5).select("year", "model", "avg_quality", "place")
 
 
 def _catalog(spark, d):
@@ -228,11 +247,13 @@ def verbatim_items(spark, d):
     return inner.join(key, "word").where(F.contains("text", F.col("item"))).groupBy("doc_id").agg(F.count("*").alias("n_items"))
 
 
-@query("""SELECT d.doc_id, CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(d.text), '\\S+')), list_distinct(regexp_extract_all(lower(b.text), '\\S+')))) AS INT) AS shared, len(list_intersect(list_distinct(regexp_extract_all(lower(d.text), '\\S+')), list_distinct(regexp_extract_all(lower(b.text), '\\S+')))) >= 8 OR contains(lower(d.text), lower(b.text)) AS grounded FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.text IS NOT NULL""".replace("\\\\", "\\"))
+@query("""SELECT d.doc_id, CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(d.text), '\\S+')), list_distinct(regexp_extract_all(lower(b.text), '\\S+')))) AS INT) AS shared, len(list_intersect(list_distinct(regexp_extract_all(lower(d.text), '\\S+')), list_distinct(regexp_extract_all(lower(b.text), '\\S+')))) >= 8 OR contains(lower(d.text), lower(b.text)) AS grounded FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS nth, count(*) OVER () AS n FROM benchmark) b ON b.nth = d.doc_id % b.n WHERE d.text IS NOT NULL""".replace("\\\\", "\\"))
 def grounding(spark, d):
-    """Each document against one item."""
+    """Documents against all items in turn, one each."""
     docs, items = table(spark, d, "documents").where("text is not null"), table(spark, d, "benchmark").withColumnRenamed("text", "item")
-    j = docs.join(items, F.pmod("doc_id", F.lit(40)) == F.col("item_id"))
+    # items in turn; they are few, so one window numbers them
+    items = items.withColumn("nth", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("item_id")) - 1)
+    j = docs.join(items, F.pmod("doc_id", F.lit(items.count())) == F.col("nth"))
     return j.select("doc_id", F.size(F.array_intersect(evaluation.word_set("item"), evaluation.word_set("text"))).alias("shared"), evaluation.grounded("item", "text", 8).alias("grounded"))
 
 
@@ -329,13 +350,13 @@ def match_labels(spark, d):
     return identity.match_labels(labels, r)
 
 
-@query("""WITH c AS (SELECT event_id AS call_id, ts AS at FROM events WHERE event_id % 5 = 0), e AS (SELECT event_id, ts AS a, ts + INTERVAL 20 MINUTE AS b FROM events WHERE event_id % 3 = 0),
+@query("""WITH c AS (SELECT event_id AS call_id, ts AS at FROM events), e AS (SELECT event_id, ts + INTERVAL 17 MINUTE AS a, ts + INTERVAL 37 MINUTE AS b FROM events),
 h AS (SELECT c.call_id, e.event_id, e.a, row_number() OVER (PARTITION BY c.call_id ORDER BY e.a, e.event_id) AS k FROM c JOIN e ON e.a <= c.at + INTERVAL 90 SECOND + INTERVAL 30 MINUTE AND e.b >= c.at - INTERVAL 30 MINUTE) SELECT c.call_id, h.event_id FROM c LEFT JOIN h ON h.call_id = c.call_id AND h.k = 1""")
 def calendar_matches(spark, d):
     """The earliest event that overlaps a call."""
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    c = e.where("pmod(event_id, 5) = 0").select(F.col("event_id").alias("call_id"), F.col("ts").alias("recorded_at"), F.lit(90.0).alias("duration_seconds"))
-    v = e.where("pmod(event_id, 3) = 0").select("event_id", F.col("ts").alias("event_start"), (F.col("ts") + F.expr("interval 20 minutes")).alias("event_end"))
+    c = e.select(F.col("event_id").alias("call_id"), F.col("ts").alias("recorded_at"), F.lit(90.0).alias("duration_seconds"))
+    v = e.select("event_id", (F.col("ts") + F.expr("interval 17 minutes")).alias("event_start"), (F.col("ts") + F.expr("interval 37 minutes")).alias("event_end"))
     return identity.calendar_matches(c, v).select("call_id", "event_id")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +39,26 @@ def clear(spark, path: str) -> int:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """A table swapped for a new version: written beside it, then renamed."""
+    """A table swapped for a new version: written beside it, the old one moved aside, the new one moved in, the old one deleted.
+
+    Whatever fails, a whole version stays under ``path`` or ``path``.old; a version that was left there comes back first.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.new")
     jvm = spark._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    place, new, old = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".new", ".old"))
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def move(a, b):
+        if not fs.rename(a, b):
+            raise OSError(f"cannot move {a.toString()} to {b.toString()}")
+
     if fs.exists(old):
-        fs.delete(old, True)
-    fs.rename(new, old)
+        fs.delete(old, True) if fs.exists(place) else move(old, place)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    if fs.exists(place):
+        move(place, old)
+    move(new, place)
+    fs.delete(old, True)
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
@@ -53,15 +66,39 @@ def write_pages(pages: DataFrame, path: str) -> None:
     pages.select("file", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
 
 
-def write_runs(runs: DataFrame, path: str) -> None:
-    """Evaluation runs as JSON documents, one file a run."""
-    runs.coalesce(1).write.mode("append").json(path)
+def write_runs(runs: DataFrame, path: str, name: str | None = None) -> None:
+    """Evaluation runs as JSON documents: appended, or, with a name, as the one document ``benchmark-NAME.json``.
+
+    The latest state of a run that goes on is saved after each model under one name, which replaces what stood there.
+    """
+    if name is None:
+        runs.coalesce(1).write.mode("append").json(path)
+        return
+    spark = runs.sparkSession
+    rows = [r.j for r in runs.select(F.to_json(F.struct(*runs.columns)).alias("j")).collect()]  # one run: a handful of models
+    jvm = spark._jvm
+    final, part = (jvm.org.apache.hadoop.fs.Path(f"{path}/{x}") for x in (f"benchmark-{name}.json", f".benchmark-{name}.json.part"))
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray("\n".join(rows).encode()))
+    out.close()
+    fs.delete(final, False)
+    if not fs.rename(part, final):
+        raise OSError(f"cannot write {final.toString()}")
 
 
 def emit(df: DataFrame, form: str = "json", most: int = 1000) -> str:
-    """At most ``most`` rows as text for a terminal: JSON lines or a Markdown table."""
-    rows = df.limit(most)
-    if form == "json":
-        return "\n".join(r.j for r in rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).collect())
-    lines = [" | ".join(str(v) for v in r) for r in rows.collect()]
-    return "\n".join(["| " + " | ".join(rows.columns) + " |", "|" + "-|" * len(rows.columns), *(f"| {x} |" for x in lines)])
+    """Rows as text for a terminal: JSON lines, a Markdown table, or YAML; after ``most`` rows a line says how many are left out."""
+    rows = df.limit(most + 1).collect()
+    more = ""
+    if len(rows) > most:
+        more = f"\n({df.count() - most} more rows; write them to a folder to see all)"
+        rows = rows[:most]
+    if form == "markdown":
+        lines = [" | ".join(str(v) for v in r) for r in rows]
+        return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns), *(f"| {x} |" for x in lines)]) + more
+    shown = [r.j for r in df.sparkSession.createDataFrame(rows, df.schema).select(F.to_json(F.struct(*df.columns)).alias("j")).collect()] if rows else []
+    if form == "yaml":
+        # JSON values are YAML values
+        return "\n".join("- " + "\n  ".join(f"{k}: {json.dumps(v, ensure_ascii=False)}" for k, v in json.loads(x).items()) for x in shown) + more
+    return "\n".join(shown) + more

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,20 +18,40 @@ EPISODE = "episode_id string, timestamp string, mode string, context struct<task
 USAGE = "timestamp string, model string, input_tokens bigint, output_tokens bigint, cost_usd double, source_file string, call_type string, latency_ms bigint, provider string"
 RUN = "timestamp string, models_tested int, in_progress boolean, results array<struct<model:string,provider:string,tier:int,avg_quality:double,avg_latency_ms:bigint,total_cost_usd:double,success_rate:double>>"
 MANIFEST = "version string, entries map<string,struct<file_path:string,file_hash:string,status:string,analyzed_at:string,call_type:string,file_size:bigint,file_mtime:double>>"
-IDENTITIES = "identities map<string,struct<canonical_name:string,total_calls:int,total_speaking_seconds:double,first_seen:string,last_seen:string,typical_co_speakers:array<string>,aliases:array<string>>>"
-#: File names with these parts are results or databases, no transcripts.
-NOT_TRANSCRIPTS = r"embeddings|manifest|speaker_identities"
+IDENTITIES = "identities map<string,struct<canonical_name:string,total_calls:int,total_speaking_seconds:double,first_seen:string,last_seen:string,typical_co_speakers:array<string>,aliases:array<string>,"
+IDENTITIES += "name_history:array<struct<timestamp:string,name:string,confidence:double,status:string,conflict:boolean,sources:array<string>,evidence_count:int,top_evidence:array<struct<source:string,name:string,detail:string>>,role:string,calls_at_time:int>>>>"
+#: In a scan for speakers, files whose names have these parts are results or databases, no transcripts.
+NOT_FOR_SPEAKERS = r"embeddings|manifest|speaker_identities|\.audioscript"
+
+
+def id_of(spark: SparkSession, path: str, suffix: str) -> F.Column:
+    """A file's path below the folder that is read, without its suffix; the whole path where that is no folder."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    root = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().toString().rstrip("/")
+    file = F.replace("source", F.lit(":///"), F.lit(":/"))
+    root = root.replace(":///", ":/")
+    below = F.when(F.startswith(file, F.lit(root + "/")), F.expr(f"substring(replace(source, ':///', ':/'), {len(root) + 2})")).when(file == F.lit(root), F.col("file_name")).otherwise(file)
+    return F.regexp_replace(below, re.escape(suffix) + "$", "")
 
 
 def read_transcripts(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """One row per JSON document that has a text or segments; a missing text is joined from the segments."""
+    """One row per JSON document that has a text or segments; a missing text is joined from the segments.
+
+    call_id is the path below ``path``, so files of one name in two folders are two calls; ``name`` is the bare file name.
+    """
     reader = spark.read.schema(TRANSCRIPT).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*.json")
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     df = reader.json(path).select("*", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("file_mtime"))
-    df = df.where(~F.col("file_name").rlike(NOT_TRANSCRIPTS) & F.col("_corrupt_record").isNull() & (F.col("text").isNotNull() | F.col("segments").isNotNull()))
+    df = df.where(F.col("_corrupt_record").isNull() & (F.col("text").isNotNull() | F.col("segments").isNotNull()))
     joined = F.array_join(F.transform("segments", lambda s: F.coalesce(s["text"], F.lit(""))), " ")
-    return df.withColumn("text", F.coalesce("text", joined)).withColumn("call_id", F.regexp_replace("file_name", r"\.json$", "")).drop("_corrupt_record")
+    return df.withColumn("text", F.coalesce("text", joined)).withColumn("call_id", id_of(spark, path, ".json")).withColumn("name", F.regexp_replace("file_name", r"\.json$", "")).drop("_corrupt_record")
+
+
+def read_for_speakers(spark: SparkSession, path: str) -> DataFrame:
+    """Transcripts of a folder and the folders in it, without files whose names mark them as results or databases."""
+    return read_transcripts(spark, path).where(~F.col("file_name").rlike(NOT_FOR_SPEAKERS))
 
 
 def segments(transcripts: DataFrame) -> DataFrame:
@@ -75,6 +97,6 @@ def read_identities(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_analyses(spark: SparkSession, path: str) -> DataFrame:
-    """Saved analyses (``*.analysis.json``) as VARIANT by the call they belong to."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.analysis.json").text(path).withColumn("file_name", F.col("_metadata.file_name"))
-    return df.select(F.regexp_replace("file_name", r"\.analysis\.json$", "").alias("call_id"), F.try_parse_json("value").alias("analysis"))
+    """Saved analyses (``*.analysis.json``) as VARIANT by the call they belong to (name: the bare file name)."""
+    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.analysis.json").text(path).select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_name").alias("file_name"))
+    return df.select(id_of(spark, path, ".analysis.json").alias("call_id"), F.regexp_replace("file_name", r"\.analysis\.json$", "").alias("name"), F.try_parse_json("value").alias("analysis"))

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.sources.transcripts import TRANSCRIPT, USAGE
+from palaver.sources.transcripts import TRANSCRIPT, USAGE, id_of
 
 
 def new_transcripts(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """A stream of transcripts that arrive in a folder; the checkpoint remembers which were seen."""
     df = spark.readStream.schema(TRANSCRIPT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", files_per_trigger).json(path)
-    return df.where("_corrupt_record is null and (text is not null or segments is not null)").withColumn("call_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)).drop("_corrupt_record")
+    df = df.select("*", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_name").alias("file_name"))
+    return df.where("_corrupt_record is null and (text is not null or segments is not null)").withColumn("call_id", id_of(spark, path, ".json")).drop("_corrupt_record")
 
 
 def process_new(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):

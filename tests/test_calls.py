@@ -122,14 +122,14 @@ def folder(tmp_path):
 
 def test_whole_plan(spark, folder):
     t = S.read_transcripts(spark, str(folder))
-    assert {r.call_id: r.text for r in t.collect()} == {"one": "Hello there. I will call you.", "two": "x"}
+    assert {r.call_id: r.text for r in t.collect()} == {"one": "Hello there. I will call you.", "sub/two": "x"}
     out = plan.analyze(t)
     kinds = {r.call_id: (r.call_type, r.confidence) for r in out["calls"].collect()}
-    assert kinds["two"] == ("qbr", 0.9) and kinds["one"][0] == "unknown"
-    assert sorted((r.call_id, r.item) for r in out["actions"].collect()) == [("one", "call you"), ("two", "Do it now"), ("two", "Other thing")]
-    assert sorted((r.call_id, r.name) for r in out["topics"].collect()) == [("one", "Hello there"), ("two", "Part 1"), ("two", "Two")]
+    assert kinds["sub/two"] == ("qbr", 0.9) and kinds["one"][0] == "unknown"
+    assert sorted((r.call_id, r.item) for r in out["actions"].collect()) == [("one", "call you"), ("sub/two", "Do it now"), ("sub/two", "Other thing")]
+    assert sorted((r.call_id, r.name) for r in out["topics"].collect()) == [("one", "Hello there"), ("sub/two", "Part 1"), ("sub/two", "Two")]
     assert {r.call_id: r.tags for r in out["tags"].collect()}["one"] == ["call/unknown", "speaker/A", "speaker/B", "topic/hello-there"]
-    m = chunks.metadata(t.where("call_id = 'two'")).first()
+    m = chunks.metadata(t.where("call_id = 'sub/two'")).first()
     assert (m.chunk_count, m.total_duration, m.chunk_titles) == (2, 7.5, ["", "Two"])
     assert plan.with_model(out["calls"]).where("reply is not null").count() == 0
     assert {r.reply for r in plan.with_model(out["calls"], lambda p: None if p == "x" else p.upper()).collect()} == {None, "HELLO THERE. I WILL CALL YOU."}
@@ -140,7 +140,7 @@ def test_stream_processes_each_file_once(spark, folder, tmp_path):
     run()
     (folder / "three.json").write_text(json.dumps({"text": "late"}))
     run()
-    assert sorted(r.call_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["one", "three", "two"]
+    assert sorted(r.call_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["one", "sub/two", "three"]
 
 
 def test_sinks(spark, tmp_path):
