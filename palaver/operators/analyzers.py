@@ -167,12 +167,12 @@ def family_of(kind: Column) -> Column:
 ONLY_FOR = {"operations": {"sprint-retro": ("went_well", "to_improve"), "postmortem": ("root_cause_signals", "blame_signals", "blamelessness")}, "education": {"coaching-session": ("goal", "reality", "options", "will")}}
 
 
-def analyze(calls: DataFrame, type_col: str = "call_type") -> DataFrame:
-    """``calls`` with family and the family's sections as JSON (null sections left out)."""
+def analyze(calls: DataFrame, type_col: str = "call_type", competitors: list[str] = ()) -> DataFrame:
+    """``calls`` with family and the family's sections as JSON (null sections left out); ``competitors`` are looked for in sales calls."""
     low = T.lower("text")
     sections = None
     for family, (build, kinds) in FAMILIES.items():
-        columns = build(low)
+        columns = build(low, competitors=competitors) if build is sales else build(low)
         if not columns:
             continue
         for kind, names in ONLY_FOR.get(family, {}).items():

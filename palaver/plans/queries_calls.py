@@ -205,71 +205,86 @@ def questions(spark, d):
     return extract.questions(segments(spark, d), "n.")
 
 
-def _family(name: str, build, lex, columns: dict[str, str]):
+def _family(name: str, build, lex, columns: dict[str, str], suffix: str = ""):
     def run(spark, d):
         made = build(F.col("_low"), *lex)
         out = []
         for c in columns:
             x = made[c]
             out.append(x.alias(c))
-        rows = calls(spark, d).withColumn("_low", T.lower("text")).select("call_id", *out)
+        of = table(spark, d, "documents").withColumnRenamed("doc_id", "call_id") if suffix else calls(spark, d)
+        rows = of.withColumn("_low", T.lower("text")).select("call_id", *out)
         return rows.select("call_id", *[joined(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "string" else joined(F.transform(f.name, lambda e: F.concat_ws("=", e["signal"], e["keyword"]))).alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in rows.schema if f.name != "call_id"])
 
-    run.__doc__ = f"The {name} family with fragments for terms."
-    QUERIES[f"analyze_{name}"] = run
-    SQL[f"analyze_{name}"] = f"WITH {CALLS} SELECT call_id, " + ", ".join(f"{sql} AS {c}" for c, sql in columns.items()) + " FROM calls"
+    run.__doc__ = f"The {name} family with {'its built-in terms' if suffix else 'fragments for terms'}."
+    QUERIES[f"analyze_{name}{suffix}"] = run
+    source = "calls AS (SELECT doc_id AS call_id, coalesce(lower(text), '') AS low FROM documents)" if suffix else CALLS
+    SQL[f"analyze_{name}{suffix}"] = f"WITH {source} SELECT call_id, " + ", ".join(f"{sql} AS {c}" for c, sql in columns.items()) + " FROM calls"
 
 
 def _groups_sql(groups) -> str:
     return "concat_ws('|', " + ", ".join(f"{q(g + '=')} || {first_hit('low', ts)}" for g, ts in groups.items()) + ")"
 
 
-_b, _r = fragments(L.SALES, 0), fragments(L.SALES_RISK, 7)
-_family("sales", A.sales, (_b, _r, ["Hest", "Zzz"]), {"buying_signals": _groups_sql(_b), "risk_signals": _groups_sql(_r), "competitor_mentions": "CASE WHEN contains(low, 'hest') THEN 'Hest' ELSE '' END"})
-_c = fragments(L.COMMITMENTS, 4)
-_family("discovery", A.discovery, (_c, FRAGMENTS[2:8]), {"commitment_signals": _groups_sql(_c), "hypothetical_questions": list_hits("low", FRAGMENTS[2:8])})
-_p, _f = fragments(L.PMF, 5), fragments(L.FEATURES, 11)
-_s = {k: f"least({n_hits('low', t)} * 2.5::DOUBLE, 10.0)" for k, t in _p.items()}
-_i, _u = n_hits("low", _f["incremental"]), n_hits("low", _f["fundamental"])
-_fq = f"(CASE WHEN {_i} + {_u} > 0 THEN round({_i} / ({_i} + {_u}) * 10, 1) ELSE 5.0 END)"
-_pm = f"round(({_s['dependency']} + {_s['workflow_depth']} + {_s['evangelism']} + {_s['switching_cost']} + {_fq} + {_s['wtp']}) / 8, 1)"
-_family("pmf", A.pmf, (_p, _f), {
-    "pmf_score": _pm, "emotional_intensity": _s["dependency"], "workflow_integration": _s["workflow_depth"], "feature_request_quality": _fq,
-    "ellis_classification": f"CASE WHEN {_pm} >= 7 AND {_s['anti_pmf']} <= 2 THEN 'very_disappointed' WHEN {_pm} >= 4 THEN 'somewhat_disappointed' ELSE 'not_disappointed' END",
-    "strongest_signals": "concat_ws('|', " + ", ".join(f"CASE WHEN {any_hit('low', t)} THEN {q(k + ': ')} || concat_ws(', ', {', '.join(f'CASE WHEN contains(low, {q(x)}) THEN {q(x)} END' for x in t)}) END" for k, t in _p.items() if k != "anti_pmf") + ")",
-    "anti_pmf_flags": list_hits("low", _p["anti_pmf"]),
-})
-_st = fragments(L.STAR, 2, 3)
-_pres = "(" + " + ".join(f"CAST({n_hits('low', t)} > 0 AS INT)" for t in _st.values()) + ")"
-_family("interview", A.interview, (_st,), {**{k: f"CAST(least({n_hits('low', t)}, 3) AS INT)" for k, t in _st.items()}, "components_present": f"CAST({_pres} AS INT)", "assessment": f"CASE WHEN {_pres} = 4 THEN 'complete' WHEN {_pres} >= 2 THEN 'partial' ELSE 'incomplete' END", "overall_star_score": f"round({_pres} / 4 * 10, 1)"})
-_is, _su = fragments(L.ISSUES, 0, 3), fragments(L.SUPPORT, 9, 3)
-_max = "greatest(" + ", ".join(n_hits("low", t) for t in _is.values()) + ")"
-_bad, _good = n_hits("low", _su["frustration"]), n_hits("low", _su["satisfaction"])
-_family("support", A.support, (_is, _su), {
-    "issue_type": "CASE " + " ".join(f"WHEN {n_hits('low', t)} = {_max} AND {_max} > 0 THEN {q(k)}" for k, t in _is.items()) + " ELSE 'other' END",
-    "severity": f"CASE WHEN {_bad} > 2 THEN 'high' ELSE 'medium' END",
-    "start_emotion": f"CASE WHEN {_bad} > {_good} THEN 'frustrated' ELSE 'neutral' END",
-    "end_emotion": f"CASE WHEN {_bad} > {_good} THEN CASE WHEN {_good} = 0 THEN 'frustrated' ELSE 'neutral' END WHEN {_good} > 0 THEN 'satisfied' ELSE 'neutral' END",
-    "frustration_signals": f"CAST({_bad} AS INT)", "resolution_status": f"CASE WHEN {any_hit('low', _su['resolution'])} THEN 'resolved' WHEN {any_hit('low', _su['escalation'])} THEN 'escalated' ELSE 'unresolved' END",
-    "empathy_score": f"CAST(least({n_hits('low', _su['empathy'])} * 2, 10) AS INT)",
-})
-_qb = fragments(L.QBR, 1, 5)
-_ch = n_hits("low", _qb["churn"])
-_family("qbr", A.qbr, (_qb,), {"health_score": f"CAST(greatest(0, least(10, 5 + {n_hits('low', _qb['positive'])} - {n_hits('low', _qb['negative'])})) AS INT)", "expansion_signals": list_hits("low", _qb["expansion"]), "churn_level": f"CASE WHEN {_ch} >= 3 THEN 'high' WHEN {_ch} >= 1 THEN 'medium' ELSE 'low' END", "churn_indicators": list_hits("low", _qb["churn"])})
-_re = fragments(L.RELATIONSHIP, 6, 6)
-_gp, _gn = n_hits("low", _re["positive"]), n_hits("low", _re["negative"])
-_family("relationship", A.relationship, (_re,), {"positive_count": f"CAST({_gp} AS INT)", "negative_count": f"CAST({_gn} AS INT)", "ratio": f"CAST({_gp} AS VARCHAR) || ':' || CAST({_gn} AS VARCHAR)", "appreciation": f"CASE WHEN {_gn} = 0 THEN CASE WHEN {_gp} > 0 THEN 'healthy' ELSE 'neutral' END WHEN {_gp} / {_gn} >= 5 THEN 'healthy (5:1+)' WHEN {_gp} / {_gn} >= 3 THEN 'approaching (3:1-5:1)' ELSE 'concerning (<3:1)' END"})
-for _name, _build, _groups, _off in (("pitch", A.pitch, L.PITCH, 3), ("customer", A.customer, L.CUSTOMER, 8), ("therapy", A.therapy, L.THERAPY, 12)):
-    _x = fragments(_groups, _off)
-    _family(_name, _build, (_x,), {k: list_hits("low", t) for k, t in _x.items()})
-_rc = fragments(L.RECRUITING, 10)
-_family("recruiting", A.recruiting, (_rc,), {"qualification_signals": list_hits("low", _rc["qualification_signals"]), "red_flags": list_hits("low", _rc["red_flags"]), "compensation_discussed": any_hit("low", _rc["compensation"])})
-_mg = fragments(L.MANAGEMENT, 13)
-_family("management", A.management, (_mg,), {**{k: f"CAST({n_hits('low', _mg[k])} AS INT)" for k in ("career", "status", "blockers")}, **{k: list_hits("low", _mg[k]) for k in ("burnout_indicators", "alignment_signals", "advice_given")}})
-_op = fragments(L.OPERATIONS, 15)
-_family("operations", A.operations, (_op,), {**{k: list_hits("low", t) for k, t in _op.items()}, "blamelessness": f"CASE WHEN {any_hit('low', _op['blame_signals'])} THEN 'concerning' ELSE 'healthy' END"})
-_ed = fragments(L.EDUCATION, 17)
-_family("education", A.education, (_ed,), {k: f"CAST({n_hits('low', t)} AS INT)" for k, t in _ed.items()})
+def _families(fragments, hypotheticals, rivals, _family) -> None:
+    """Register every family with lists of terms that ``fragments`` makes of the built-in ones."""
+    _b, _r = fragments(L.SALES, 0), fragments(L.SALES_RISK, 7)
+    _family("sales", A.sales, (_b, _r, list(rivals)), {"buying_signals": _groups_sql(_b), "risk_signals": _groups_sql(_r), "competitor_mentions": "concat_ws('|', " + ", ".join(f"CASE WHEN contains(low, {q(x.lower())}) THEN {q(x)} END" for x in rivals) + ")"})
+    _c = fragments(L.COMMITMENTS, 4)
+    _family("discovery", A.discovery, (_c, hypotheticals), {"commitment_signals": _groups_sql(_c), "hypothetical_questions": list_hits("low", hypotheticals)})
+    _p, _f = fragments(L.PMF, 5), fragments(L.FEATURES, 11)
+    _s = {k: f"least({n_hits('low', t)} * 2.5::DOUBLE, 10.0)" for k, t in _p.items()}
+    _i, _u = n_hits("low", _f["incremental"]), n_hits("low", _f["fundamental"])
+    _fq = f"(CASE WHEN {_i} + {_u} > 0 THEN round({_i} / ({_i} + {_u}) * 10, 1) ELSE 5.0 END)"
+    _pm = f"round(({_s['dependency']} + {_s['workflow_depth']} + {_s['evangelism']} + {_s['switching_cost']} + {_fq} + {_s['wtp']}) / 8, 1)"
+    _family("pmf", A.pmf, (_p, _f), {
+        "pmf_score": _pm, "emotional_intensity": _s["dependency"], "workflow_integration": _s["workflow_depth"], "feature_request_quality": _fq,
+        "ellis_classification": f"CASE WHEN {_pm} >= 7 AND {_s['anti_pmf']} <= 2 THEN 'very_disappointed' WHEN {_pm} >= 4 THEN 'somewhat_disappointed' ELSE 'not_disappointed' END",
+        "strongest_signals": "concat_ws('|', " + ", ".join(f"CASE WHEN {any_hit('low', t)} THEN {q(k + ': ')} || concat_ws(', ', {', '.join(f'CASE WHEN contains(low, {q(x)}) THEN {q(x)} END' for x in t)}) END" for k, t in _p.items() if k != "anti_pmf") + ")",
+        "anti_pmf_flags": list_hits("low", _p["anti_pmf"]),
+    })
+    _st = fragments(L.STAR, 2, 3)
+    _pres = "(" + " + ".join(f"CAST({n_hits('low', t)} > 0 AS INT)" for t in _st.values()) + ")"
+    _family("interview", A.interview, (_st,), {**{k: f"CAST(least({n_hits('low', t)}, 3) AS INT)" for k, t in _st.items()}, "components_present": f"CAST({_pres} AS INT)", "assessment": f"CASE WHEN {_pres} = 4 THEN 'complete' WHEN {_pres} >= 2 THEN 'partial' ELSE 'incomplete' END", "overall_star_score": f"round({_pres} / 4 * 10, 1)"})
+    _is, _su = fragments(L.ISSUES, 0, 3), fragments(L.SUPPORT, 9, 3)
+    _max = "greatest(" + ", ".join(n_hits("low", t) for t in _is.values()) + ")"
+    _bad, _good = n_hits("low", _su["frustration"]), n_hits("low", _su["satisfaction"])
+    _family("support", A.support, (_is, _su), {
+        "issue_type": "CASE " + " ".join(f"WHEN {n_hits('low', t)} = {_max} AND {_max} > 0 THEN {q(k)}" for k, t in _is.items()) + " ELSE 'other' END",
+        "severity": f"CASE WHEN {_bad} > 2 THEN 'high' ELSE 'medium' END",
+        "start_emotion": f"CASE WHEN {_bad} > {_good} THEN 'frustrated' ELSE 'neutral' END",
+        "end_emotion": f"CASE WHEN {_bad} > {_good} THEN CASE WHEN {_good} = 0 THEN 'frustrated' ELSE 'neutral' END WHEN {_good} > 0 THEN 'satisfied' ELSE 'neutral' END",
+        "frustration_signals": f"CAST({_bad} AS INT)", "resolution_status": f"CASE WHEN {any_hit('low', _su['resolution'])} THEN 'resolved' WHEN {any_hit('low', _su['escalation'])} THEN 'escalated' ELSE 'unresolved' END",
+        "empathy_score": f"CAST(least({n_hits('low', _su['empathy'])} * 2, 10) AS INT)",
+    })
+    _qb = fragments(L.QBR, 1, 5)
+    _ch = n_hits("low", _qb["churn"])
+    _family("qbr", A.qbr, (_qb,), {"health_score": f"CAST(greatest(0, least(10, 5 + {n_hits('low', _qb['positive'])} - {n_hits('low', _qb['negative'])})) AS INT)", "expansion_signals": list_hits("low", _qb["expansion"]), "churn_level": f"CASE WHEN {_ch} >= 3 THEN 'high' WHEN {_ch} >= 1 THEN 'medium' ELSE 'low' END", "churn_indicators": list_hits("low", _qb["churn"])})
+    _re = fragments(L.RELATIONSHIP, 6, 6)
+    _gp, _gn = n_hits("low", _re["positive"]), n_hits("low", _re["negative"])
+    _family("relationship", A.relationship, (_re,), {"positive_count": f"CAST({_gp} AS INT)", "negative_count": f"CAST({_gn} AS INT)", "ratio": f"CAST({_gp} AS VARCHAR) || ':' || CAST({_gn} AS VARCHAR)", "appreciation": f"CASE WHEN {_gn} = 0 THEN CASE WHEN {_gp} > 0 THEN 'healthy' ELSE 'neutral' END WHEN {_gp} / {_gn} >= 5 THEN 'healthy (5:1+)' WHEN {_gp} / {_gn} >= 3 THEN 'approaching (3:1-5:1)' ELSE 'concerning (<3:1)' END"})
+    for _name, _build, _groups, _off in (("pitch", A.pitch, L.PITCH, 3), ("customer", A.customer, L.CUSTOMER, 8), ("therapy", A.therapy, L.THERAPY, 12)):
+        _x = fragments(_groups, _off)
+        _family(_name, _build, (_x,), {k: list_hits("low", t) for k, t in _x.items()})
+    _rc = fragments(L.RECRUITING, 10)
+    _family("recruiting", A.recruiting, (_rc,), {"qualification_signals": list_hits("low", _rc["qualification_signals"]), "red_flags": list_hits("low", _rc["red_flags"]), "compensation_discussed": any_hit("low", _rc["compensation"])})
+    _mg = fragments(L.MANAGEMENT, 13)
+    _family("management", A.management, (_mg,), {**{k: f"CAST({n_hits('low', _mg[k])} AS INT)" for k in ("career", "status", "blockers")}, **{k: list_hits("low", _mg[k]) for k in ("burnout_indicators", "alignment_signals", "advice_given")}})
+    _op = fragments(L.OPERATIONS, 15)
+    _family("operations", A.operations, (_op,), {**{k: list_hits("low", t) for k, t in _op.items()}, "blamelessness": f"CASE WHEN {any_hit('low', _op['blame_signals'])} THEN 'concerning' ELSE 'healthy' END"})
+    _ed = fragments(L.EDUCATION, 17)
+    _family("education", A.education, (_ed,), {k: f"CAST({n_hits('low', t)} AS INT)" for k, t in _ed.items()})
+
+
+_families(fragments, FRAGMENTS[2:8], ["Hest", "Zzz"], _family)
+
+
+def _builtin(name: str, build, lex, columns: dict[str, str]):
+    _family(name, build, lex, columns, "_documents")
+
+
+# the built-in lists themselves, over whole documents
+_families(lambda groups, *_: groups, L.HYPOTHETICALS, ["The", "Une", "Zzz"], _builtin)
 
 
 @query(f"""WITH {SEG}, c AS (SELECT call_id, arg_min("start", ord) AS a, arg_max("end", ord) AS b FROM seg GROUP BY call_id) SELECT call_id, round(b - a, 1) AS duration_seconds, CASE WHEN b - a <= 60 THEN 'good' ELSE 'over_time' END AS time_discipline FROM c""")
