@@ -97,11 +97,11 @@ def resolve_names(evidence: DataFrame) -> DataFrame:
         F.min("pos").alias("first_pos"),
         F.coalesce(F.max_by("name", F.when(F.col("confidence") > 0.8, F.col("pos"))), F.min_by("name", "pos")).alias("spelling"),
     )
-    best = per.groupBy("cluster_id").agg(F.max_by(F.struct("spelling", "score", "n"), F.struct("score", -F.col("first_pos"))).alias("b"))
+    best = per.groupBy("cluster_id").agg(F.min_by(F.struct("spelling", "score", "n"), F.struct((-F.col("score")).alias("s"), "first_pos")).alias("b"))
     trusted = F.col("source").isin(*TRUSTED) & (F.col("confidence") >= 0.70)
     spaced = F.contains("name", F.lit(" "))
-    key = F.struct(F.length("name"), -F.col("pos"))
-    full = named.groupBy("cluster_id").agg(F.max_by("name", F.when(spaced & trusted, key)).alias("_trusted"), F.max_by("name", F.when(spaced & (F.col("confidence") >= 0.60), key)).alias("_any"), F.count("*").alias("evidence_count"))
+    key = F.struct((-F.length("name")).alias("l"), "pos")
+    full = named.groupBy("cluster_id").agg(F.min_by("name", F.when(spaced & trusted, key)).alias("_trusted"), F.min_by("name", F.when(spaced & (F.col("confidence") >= 0.60), key)).alias("_any"), F.count("*").alias("evidence_count"))
     return best.join(full, "cluster_id").select("cluster_id", F.col("b.spelling").alias("likely_name"), F.round(F.least(F.lit(1.0), F.col("b.score") / F.col("b.n")), 3).alias("name_confidence"), F.coalesce("_trusted", "_any", "b.spelling").alias("full_name"), "evidence_count")
 
 

@@ -213,4 +213,89 @@ def test_command_line(spark, folder, capsys):
     assert '"call_id":"one"' in capsys.readouterr().out
     assert main(["analyze", str(folder), "--table", "topics", "--format", "markdown"]) == 0
     assert "Hello there" in capsys.readouterr().out
-    assert main(["list-types"]) == 0 and main(["usage", str(folder / "none")]) != 0
+    assert main(["list-types"]) == 0 and main(["usage", str(folder / "none")]) != 0 and main(["prep", str(folder)]) == 2
+
+
+def test_commands_over_stored_data(spark, tmp_path, capsys):
+    from palaver.__main__ import main
+
+    def run(*args):
+        assert main([str(x) for x in args]) == 0, capsys.readouterr().err
+        return capsys.readouterr().out
+
+    # the same file name in two folders, and a name that is special to the speakers' scan only
+    d = tmp_path / "in"
+    for sub, who in (("a", "Ann Lee"), ("b", None)):
+        (d / sub).mkdir(parents=True)
+        doc = {"segments": [{"start": 0, "end": 2, "text": "We have pricing and budget to discuss?", "speaker": "S0"}], "diarization": {"speakers_resolved": [{"local_label": "S0", "speaker_cluster_id": "k1", "display_name": who, "status": "ok"}]}, "metadata": {"audio": {"creation_time": "2024-01-01"}}}
+        (d / sub / "call.json").write_text(json.dumps(doc))
+    (d / "embeddings-talk.json").write_text(json.dumps({"text": "hello"}))
+    out = tmp_path / "out"
+    assert run("analyze", d, "--dry-run").count("call_id") == 3
+    assert run("analyze", d, "--out", out, "--table", "reports").count("**Type:**") == 3
+    assert run("analyze", d, "--out", out, "--new-only") == "\n"
+    docs = [json.loads(r.document) for r in spark.read.parquet(str(out / "documents")).collect()]
+    assert sorted(x["source"] for x in docs) == ["a/call", "b/call", "embeddings-talk"]
+    one = next(x for x in docs if x["source"] == "a/call")
+    assert one["analysis"]["questions"][0]["text"].endswith("discuss?") and one["communication"]["speakers"][0]["word_count"] == 7
+    assert {r.call_id: r.total_segments for r in spark.read.parquet(str(out / "metrics")).collect()}["embeddings-talk"] == 0
+    assert "### Ann Lee (k1)" in run("speakers", d, "-o", "markdown").replace("\\n", "\n")
+    assert '"display_name":"Ann Lee"' in run("speakers", d, "--find", "ann") and "Ann_Lee.md" in run("speakers", d, "--pages", "--out", out)
+    # episodes
+    ep = tmp_path / "ep"
+    ep.mkdir()
+    rows = [{"episode_id": str(k), "timestamp": f"2024-01-0{k}", "context": {"task_type": "pmf-call"}, "outcome": {"scores": {"overall": float(k)}, "findings": ["very disappointed", "anti-pmf flag" if k == 2 else "workflow signal"]}} for k in range(1, 5)]
+    (ep / "x.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\nnot json\n")
+    page = run("dashboard", ep, "--out", out)
+    for part in ("from 4 customer calls", "Very Disappointed: 100% (4)", "✅", "Average: 2.5/10 across 4", "1.5, second half avg: 3.5 → **improving**", "anti-pmf flag *(seen 1x)*"):
+        assert part in page, part
+    assert (out / "semantic/playbooks").exists()
+    prep = run("prep", ep, "--type", "pmf-call")
+    assert "# Call Prep: Pmf Call" in prep and "- very disappointed" in prep and "Recent avg score: 2.5/10 across 4 calls" in prep and "## Playbook Reference" in prep
+    # runs
+    b = tmp_path / "b"
+    b.mkdir()
+    for k, q in ((1, 5.0), (2, 6.0)):
+        (b / f"benchmark-2024010{k}.json").write_text(json.dumps({"timestamp": f"2024-01-0{k}", "models_tested": 1, "results": [{"model": "m", "avg_quality": q, "tier": 2, "avg_latency_ms": 10 * k}]}))
+    (b / "benchmark-latest.json").write_text(json.dumps({"timestamp": "x", "in_progress": True, "results": []}))
+    assert run("benchmark", b).count("file_name") == 2
+    assert '"status":"improved"' in run("benchmark", b, "--compare") and '"latency_delta_ms":10' in run("benchmark", b, "--compare", "benchmark-20240101.json,benchmark-20240102.json")
+    assert "improving (5.0 → 6.0)" in run("benchmark", b, "--trend", "m", "-o", "markdown")
+    # usage
+    u = tmp_path / "u.jsonl"
+    u.write_text(json.dumps({"timestamp": "2024-01-01T00:00:00Z", "model": "m", "input_tokens": 1, "output_tokens": 2, "cost_usd": 0.5, "latency_ms": 3}))
+    assert '"calls":1' in run("usage", u, "--all") and '"calls":0' in run("usage", u) and "p50_latency" in run("usage", u, "--all", "--table", "models", "-o", "yaml")
+
+
+def test_swap_brings_back_what_a_crash_left(spark, tmp_path):
+    sinks.replace_table(spark.range(1), str(tmp_path / "t"))
+    (tmp_path / "t").rename(tmp_path / "t.old")  # the old version was moved aside, then the run died
+    sinks.replace_table(spark.range(2), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2 and not (tmp_path / "t.old").exists()
+
+
+def test_emit_says_what_it_leaves_out(spark):
+    assert sinks.emit(spark.range(5), most=2).endswith("(3 more rows; write them to a folder to see all)")
+    assert sinks.emit(spark.range(1).selectExpr("id", "'x' as t"), "yaml") == '- id: 0\n  t: "x"'
+
+
+def test_sections_of_families(spark):
+    from palaver.plans import documents
+
+    s = spark.createDataFrame([("d", 0, 0.0, 1.0, "A", "It is frustrating to wait."), ("p", 0, 0.0, 1.0, "A", " ".join(["word"] * 30)), ("p", 1, 1.0, 2.0, "B", "Yes."), ("f", 0, 0.0, 1.0, "A", "I hear you, we agree. You never listen")], SEG)
+    t = s.groupBy("call_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    kinds = F.when(F.col("call_id") == "d", "discovery-call").when(F.col("call_id") == "p", "podcast").otherwise("family")
+    typed = analyzers.analyze(t.withColumn("call_type", kinds).withColumn("confidence", F.lit(0.5)).withColumn("scores", F.array().cast("array<struct<call_type:string,score:double>>")))
+    st = communication.speaker_stats(s)
+    out = documents.analyses(typed, t, s, st)
+    got = {r.call_id: json.loads(r.analysis) for r in out.collect()}
+    assert got["d"]["pain_points"][0]["keyword"] == "frustrating" and got["d"]["commitment_signals"] == []
+    assert got["p"]["guest"] == "B" and got["p"]["host"] == "A" and len(got["p"]["key_quotes"]) == 1 and got["p"]["summary"]["word_count"] == 31
+    f = got["f"]
+    assert "summary" not in f and f["we_i_language"][0]["we_count"] == 1 and f["validation_moments"][0]["keyword"] == "i hear you" and f["gottman_indicators"][0]["keyword"] == "you never" and f["appreciation"] == "neutral"
+    pages = {r.call_id: r.markdown for r in documents.reports(out, st, communication.call_metrics(st), topics.topics(s)).collect()}
+    assert "## Pain Points" in pages["d"] and "## Cast" in pages["p"] and "## Validation Moments" in pages["f"] and "## Attendees" not in pages["f"]
+    only = {r.call_id: json.loads(r.document) for r in documents.documents(out, st, communication.call_metrics(st), topics.topics(s), ["pain_points", "communication"]).collect()}
+    assert set(only["d"]) == {"source", "classification", "communication", "analysis"} and set(only["d"]["analysis"]) == {"call_type", "pain_points"} and "analysis" not in only["p"]
+    sold = analyzers.analyze(t.withColumn("call_type", F.lit("sales-call")), competitors=["Agree"]).where("call_id = 'f'").first()
+    assert json.loads(sold.sections)["competitor_mentions"] == ["Agree"]
