@@ -56,3 +56,10 @@ def test_held_out_accuracy(spark):
     good, bad = [s for s, t in held if not t], [s for s, t in held if t]
     above = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(good) * len(bad))
     assert above > 0.95  # one in twenty toxic texts is junk without a word of its own
+
+
+def test_columns_named_as_results_are_replaced(spark):
+    model = tx.Model(np.zeros(0, np.int64), np.zeros(0), -1.0)
+    df = spark.createDataFrame([(1, "x", "old"), (None, None, "old"), (1, "y" * 3_000_000, "old")], "doc_id bigint, text string, score string").selectExpr("*", "7 as predicted", "2 as band")
+    out = tx.score(df, model)
+    assert out.columns == ["doc_id", "band", "score", "predicted"] and {(r.predicted, round(r.score, 3)) for r in out.collect()} == {(0, 0.269)}
