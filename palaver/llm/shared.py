@@ -17,7 +17,22 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ``BATCH_BYTES``, unless the caller has set a bound.
+
+    Each task holds a few batches outside the heap on the JVM's side and again in its worker; Spark's own bound is 64 MB.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,6 +60,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """A new place in the shared folder; it is deleted by :func:`clear`, or when the driver's Python ends."""
+    small_batches(spark)
     path = f"{shared_dir(spark)}/palaver/{tag}-{uuid.uuid4().hex}"
     _WRITTEN[path] = spark
     return path
