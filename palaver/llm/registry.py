@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from palaver.llm.bpe import op7_bpe
+from palaver.llm.bytebpe import op13_bytebpe
 from palaver.llm.decontaminate import op4_decontaminate
 from palaver.llm.egojoin import op6_embedding
 from palaver.llm.html import op1_html
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_langid": op8_langid,
         "op9_minhash": op9_minhash,
         "op10_linededup": op10_linededup,
+        "op13_bytebpe": op13_bytebpe,
     }
 
 
