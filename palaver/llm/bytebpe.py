@@ -40,11 +40,13 @@ from palaver.llm.bpe import _LATER, Recent, read_vocabulary
 from palaver.llm.shared import table, worker_state
 
 #: Transitions kept in a worker, and pairs of tokens of which it is known whether they may be neighbours.
-MOVES, PAIRS = 400_000, 400_000
+MOVES, PAIRS = 1_000_000, 1_000_000
 #: Bytes that are read by the branches themselves where a transition is not known yet.
 REST = 64
+#: Tokens that a state or the rest of a piece may have open, at most: the longest token and the rest.
+REST_TOKENS = 4096
 #: Bytes of the pieces and words kept with their ids in each worker, about; it bounds memory only.
-CACHE_BYTES = 80 << 20
+CACHE_BYTES = 160 << 20
 #: Ids decoded at a time.
 STEP = 1 << 16
 SCHEMA_TOKENS = "doc_id bigint, ids array<bigint>, n_tokens bigint, decoded string"
@@ -52,6 +54,9 @@ SCHEMA_DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha
 # White space, a space, and white space again or the end: the only places where a text may not be cut before the space.
 _UNCUT = re.compile(r"\s (?:\s|\Z)")
 _MARKS = frozenset(".,;:!?")
+#: Of a transition: the next state, eight bits up; what is emitted stands above it.
+_STATE = (1 << 40) - 1
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(REST_TOKENS + 1)]
 
 
 def read_ranks(source: str) -> dict[bytes, int]:
@@ -145,15 +150,19 @@ class Transducer:
 
     def _advance(self, last: int, branches: list, byte: int) -> list:
         """The branches after one more byte; the last of them is the one at the root."""
-        child, ends, inner = self.child, self.ends, self.inner
+        child, ends, inner, pairs = self.child.get, self.ends, self.inner, self.pairs.get
         after, root = [], None
-        for tail, node in branches:
-            node = child.get(node << 8 | byte)
-            if node:
+        for branch in branches:
+            tail, node = branch
+            node = child(node << 8 | byte)
+            if node is not None:
                 token = ends[node]
                 if root is None and token >= 0:
                     before = tail[-1] if tail else last
-                    if before < 0 or self._neighbours(before, token):
+                    fits = before < 0 or pairs(before << 32 | token)
+                    if fits is None:
+                        fits = self._neighbours(before, token)
+                    if fits:
                         root = (*tail, token)
                 if node in inner:
                     after.append((tail, node))
@@ -173,7 +182,7 @@ class Transducer:
             out = self.emitted.setdefault(raw, len(self.emits))
             if out == len(self.emits):
                 self.emits.append(raw)
-        made = self.moves[state << 8 | byte] = out << 32 | self._state((last, tuple(after)))
+        made = self.moves[state << 8 | byte] = out << 40 | self._state((last, tuple(after))) << 8
         return made
 
     def encode(self, piece: bytes) -> bytes:
@@ -183,29 +192,28 @@ class Transducer:
             return struct.pack("<I", whole)
         if len(self.moves) > MOVES or len(self.pairs) > PAIRS:
             self._restart()
-        state, out, moves, emits = self.start, [], self.moves, self.emits
+        at, out, get = self.start << 8, [], self.moves.get
         for k, b in enumerate(piece):
-            move = moves.get(state << 8 | b)
-            if move is None:  # most transitions are wanted once only: the first time the rest of the piece is read by the branches
-                moves[state << 8 | b] = -1
-                if len(piece) - k < REST:
-                    last, branches = self.branches[state]
-                    for b in piece[k:]:
-                        branches = self._advance(last, branches, b)
-                    tail = branches[-1][0]
-                    out.append(struct.pack(f"<{len(tail)}I", *tail))
-                    return b"".join(out)
-                move = -1
+            move = get(at | b, -2)
             if move < 0:
-                if len(moves) > 2 * MOVES or len(self.pairs) > 2 * PAIRS:  # a very long piece
-                    kept = self.branches[state]
+                if move == -2:  # most transitions are wanted once only: the first time the rest of the piece is read by the branches
+                    self.moves[at | b] = -1
+                    if len(piece) - k < REST:
+                        last, branches = self.branches[at >> 8]
+                        for b in piece[k:]:
+                            branches = self._advance(last, branches, b)
+                        tail = branches[-1][0]
+                        out.append(_PACK[len(tail)](*tail))
+                        return b"".join(out)
+                if len(self.moves) > 2 * MOVES or len(self.pairs) > 2 * PAIRS:  # a very long piece
+                    kept = self.branches[at >> 8]
                     self._restart()
-                    state, moves, emits = self._state(kept), self.moves, self.emits
-                move = self._step(state, b)
-            state = move & 0xFFFFFFFF
-            if move >> 32:
-                out.append(emits[move >> 32])
-        out.append(self.final[state])
+                    at, get = self._state(kept) << 8, self.moves.get
+                move = self._step(at >> 8, b)
+            at = move & _STATE
+            if move > _STATE:
+                out.append(self.emits[move >> 40])
+        out.append(self.final[at >> 8])
         return b"".join(out)
 
 
@@ -274,11 +282,6 @@ class ByteBpe:
 
     def _word(self, word: str) -> bytes:
         """Ids of a stretch of text that starts and ends where pieces do."""
-        stem = word[1:] if word[-1] not in _MARKS else word[1:-1]
-        if stem.isalpha() and word[0] == " " and (word.isascii() or not _LATER.search(word)):
-            if len(stem) + 1 == len(word):
-                return self.machine.encode(word.encode())
-            return self.spaced(stem) + self.machine.encode(word[-1].encode())
         kept, out = self.pieces, []
         for piece in self.split(word):
             raw = kept.get(piece)
@@ -310,7 +313,13 @@ class ByteBpe:
         kept = self.words
         raw = kept.get(word)
         if raw is None and (raw := kept.older(word)) is None:
-            raw = self._word(" " + word)
+            plain = word.isascii() or not _LATER.search(word)
+            if plain and word.isalpha():
+                raw = self.machine.encode((" " + word).encode())
+            elif plain and word[:-1].isalpha() and word[-1] in _MARKS:
+                raw = self.spaced(word[:-1]) + self.machine.encode(word[-1].encode())
+            else:
+                raw = self._word(" " + word)
             kept.keep(word, raw)
         return raw
 
