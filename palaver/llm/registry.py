@@ -10,6 +10,7 @@ from palaver.llm.html import op1_html
 from palaver.llm.langid import op8_langid
 from palaver.llm.linededup import op10_linededup
 from palaver.llm.minhash import op9_minhash
+from palaver.llm.negatives import op11_negatives
 from palaver.llm.phrases import op12_phrases
 from palaver.llm.substring import op5_substring
 from palaver.llm.toxicity import op2_toxicity
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_langid": op8_langid,
         "op9_minhash": op9_minhash,
         "op10_linededup": op10_linededup,
+        "op11_negatives": op11_negatives,
         "op12_phrases": op12_phrases,
         "op13_bytebpe": op13_bytebpe,
     }
@@ -53,6 +55,12 @@ i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.
 l AS (SELECT a, b FROM i JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)), {_REACH}
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(c.b, w.doc_id)) AS component_id, least(w.doc_id, coalesce(c.b, w.doc_id)) = w.doc_id AS kept FROM w LEFT JOIN k ON k.doc_id = w.doc_id LEFT JOIN c ON c.a = w.doc_id"""
 
+_NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS q, embedding AS e FROM embeddings),
+ok AS (SELECT vec_id, label, q FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM ok a JOIN ok b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)"""
+
 _PHRASES = r"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM t),
 g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) v(k) WHERE len(ws) >= k),
@@ -68,4 +76,4 @@ SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can express; the others are tested against brute force, a library or held-out rows."""
-    return {"op3_warc": _WARC, "op6_embedding": _EMBEDDING, "op9_minhash": _MINHASH, "op12_phrases": _PHRASES}
+    return {"op3_warc": _WARC, "op6_embedding": _EMBEDDING, "op9_minhash": _MINHASH, "op11_negatives": _NEGATIVES, "op12_phrases": _PHRASES}
