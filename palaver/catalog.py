@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palaver.plans import queries_calls, queries_documents, queries_rollups
+from palaver.plans import queries_calls, queries_documents, queries_insights, queries_rollups
 
-_MODULES = [queries_calls, queries_rollups, queries_documents]
+_MODULES = [queries_calls, queries_rollups, queries_documents, queries_insights]
 
 
 def queries() -> dict:

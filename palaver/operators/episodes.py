@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import text as T
+from palaver.operators import ordering
 
 #: Words that mark a finding as something that fails.
 FAILS = ["risk", "missing", "weak", "gap", "concern", "anti"]
@@ -85,6 +86,21 @@ def half_trend(scores: DataFrame, within: list[str], order: list) -> DataFrame:
     return out.withColumn("trend", F.when(F.col("n") >= 4, trend))
 
 
+def overall_trend(scores: DataFrame, order: list) -> DataFrame:
+    """:func:`half_trend` of all scores as one row: places come from one order cut into ranges, sums are partial."""
+    placed = ordering.numbered(scores, order, "_r")
+    first = F.col("_r") <= F.floor(F.col("_n") / 2)
+    rows = placed.join(F.broadcast(placed.agg(F.count("*").alias("_n"))), how="cross")  # one row
+    out = rows.agg(F.count("*").alias("n"), F.round(F.avg("score"), 1).alias("average"), F.round(F.avg(F.when(first, F.col("score"))), 1).alias("first_half"), F.round(F.avg(F.when(~first, F.col("score"))), 1).alias("second_half")).where("n > 0")
+    trend = F.when(F.col("second_half") > F.col("first_half"), "improving").when(F.col("second_half") < F.col("first_half"), "declining").otherwise("stable")
+    return out.withColumn("trend", F.when(F.col("n") >= 4, trend))
+
+
+def top_findings(findings: DataFrame, most: int) -> DataFrame:
+    """The most frequent findings (finding, pos) of all, ties by first appearance: (finding, n, first_pos)."""
+    return findings.groupBy("finding").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).orderBy(F.col("n").desc(), "first_pos").limit(most)
+
+
 def recent(episodes: DataFrame, within: list[str], order: list, most: int = 10) -> DataFrame:
     """The last episodes of each group, the newest first."""
     w = Window.partitionBy(*within).orderBy(*order)

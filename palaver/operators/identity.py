@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import text as T
+from palaver.operators.joins import heavy_keys, look_up
+from palaver.plans.stored import cut
 
 TRUSTED = ("contacts", "calendar", "diarisation_confirmed", "speaker_db")
 EVIDENCE = ["cluster_id", "source", "name", "confidence", "detail", "call_id", "pos"]
@@ -31,10 +33,86 @@ def match_labels(labels: DataFrame, resolved: DataFrame) -> DataFrame:
     return labels.join(best, ["call_id", "label"], "left").select(*keys, "cluster_id")
 
 
-def co_speakers(members: DataFrame, call: str = "call_id", member: str = "cluster_id", bonds: DataFrame | None = None) -> DataFrame:
-    """Pairs of different members of a call and the number of calls they share (both directions)."""
+def co_speakers(members: DataFrame, call: str = "call_id", member: str = "cluster_id") -> DataFrame:
+    """Pairs of different members of a call and the number of calls they share (both directions).
+
+    Each pair is counted once, the smaller member first, and mirrored after its count.
+    """
     once = members.select(F.col(call).alias("call_id"), F.col(member).alias("a")).where("a is not null").distinct()
-    return once.join(once.withColumnRenamed("a", "b"), "call_id").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("calls"))
+    pairs = once.join(once.withColumnRenamed("a", "b"), "call_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("calls"))
+    return pairs.select(F.explode(F.array(F.struct("a", "b", "calls"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "calls"))).alias("p")).select("p.*")
+
+
+#: How far evidence of a kind is trusted.
+EMAIL, TOPIC, CO_SPEAKER = 0.70, 0.50, 0.40
+
+
+def email_evidence(members: DataFrame, emails: DataFrame) -> DataFrame:
+    """Evidence for the speakers of a call (call_id, cluster_id) who have no name of their own there: the people of the email thread about it.
+
+    emails: (call_id, name, pos).  Where a call has one unnamed speaker and one person in its thread that no speaker of the call is
+    named after, that person is the speaker; else nothing can be told.  members may have a ``name``; ``detail`` tells the thread's size.
+
+    Cases: null names in a thread are nobody; persons who are named twice count once; ties go to the first place.
+    """
+    known = F.coalesce(F.col("name"), F.lit("")) != "" if "name" in members.columns else F.lit(False)
+    key = lambda c: F.split_part(F.lower(T.strip(c)), F.lit(" "), F.lit(1))
+    taken = members.where(known).select("call_id", key("name").alias("k")).distinct() if "name" in members.columns else None
+    people = emails.where("coalesce(name, '') <> ''").groupBy("call_id", key("name").alias("k")).agg(F.min_by("name", "pos").alias("name"), F.min("pos").alias("pos"))
+    size = people.groupBy("call_id").agg(F.count("*").alias("size"))
+    free = people if taken is None else people.join(taken, ["call_id", "k"], "left_anti")
+    one = free.groupBy("call_id").agg(F.count("*").alias("n"), F.min("name").alias("name"), F.min("pos").alias("pos")).where("n = 1")
+    alone = members.where(~known).select("call_id", "cluster_id").distinct().groupBy("call_id").agg(F.count("*").alias("n"), F.min("cluster_id").alias("cluster_id")).where("n = 1").drop("n")
+    return alone.join(one.drop("n"), "call_id").join(size, "call_id").select("cluster_id", F.lit("email").alias("source"), "name", F.lit(EMAIL).alias("confidence"), F.format_string("thread=%d", "size").alias("detail"), "call_id", "pos")
+
+
+def topic_evidence(topics: DataFrame, names: DataFrame, least: int = 3) -> DataFrame:
+    """Evidence for unnamed clusters from what they always talk about: the name of the one named cluster with the same leading topic.
+
+    topics: (cluster_id, topic, calls); names: (cluster_id, name).  A cluster's leading topic is that of most calls (at least
+    ``least``, ties: the smaller topic).  A topic that leads for more than one name tells nothing.
+
+    Cases: null topics are none; a cluster with a null or empty name is unnamed; a topic led by unnamed clusters only gives nothing.
+    """
+    lead = topics.where(F.col("topic").isNotNull() & (F.col("calls") >= least)).groupBy("cluster_id").agg(F.min_by("topic", F.struct((-F.col("calls")).alias("n"), "topic")).alias("topic"))
+    named = names.where("coalesce(name, '') <> ''").groupBy("cluster_id").agg(F.min("name").alias("name"))
+    own = lead.join(named, "cluster_id", "left")
+    # the smallest and the greatest name of a topic are enough to tell whether there is only one; no topic's clusters are gathered
+    only = own.groupBy("topic").agg(F.min("name").alias("name"), F.max("name").alias("other")).where("name = other").drop("other")
+    unnamed = own.where("name is null").drop("name")
+    heavy = heavy_keys(unnamed, "topic")
+    return look_up(unnamed, only, "topic", heavy).select("cluster_id", F.lit("topic").alias("source"), "name", F.lit(TOPIC).alias("confidence"), F.concat(F.lit("topic="), F.col("topic")).alias("detail"))
+
+
+def propagated_evidence(members: DataFrame, seeds: DataFrame, rounds: int = 3, damping: float = CO_SPEAKER, least: float = 0.01) -> DataFrame:
+    """Evidence that spreads over the graph of who speaks with whom: (cluster_id, source, name, confidence, hops) of clusters that no seed names.
+
+    members: (call_id, cluster_id); seeds: (cluster_id, name, confidence), the surest of a cluster counts.  In a round each call takes
+    up the surest label of its speakers, and each unlabelled speaker the label for which confidence times the share of the speaker's
+    calls that bring it is highest, damped.  A speaker who got a label keeps it: the nearest evidence counts.  Spreading ends after
+    ``rounds`` rounds, or where confidences fall below ``least``.
+
+    Labels go from speakers to calls and from calls to speakers, so a round's work grows with the memberships and no call's pairs
+    are ever listed; calls and speakers with more than a thousandth of the rows are looked up by broadcast (``joins.look_up``).
+
+    Cases: ties go to the smaller name; null ids, names and confidences take no part; repeated memberships count once; a cluster
+    that meets no label has no row; an empty table gives an empty table.
+    """
+    links = cut(members.where("call_id is not null and cluster_id is not null").select("call_id", "cluster_id").distinct(), "members")
+    calls_of = cut(links.groupBy("cluster_id").agg(F.count("*").alias("calls")), "calls-of")
+    busy, crowded = cut(heavy_keys(links, "cluster_id"), "busy"), cut(heavy_keys(links, "call_id"), "crowded")
+    key = F.struct((-F.col("confidence")).alias("c"), "name")
+    named = seeds.where("cluster_id is not null and coalesce(name, '') <> '' and confidence is not null").groupBy("cluster_id").agg(F.min(key).alias("k")).select("cluster_id", F.col("k.name").alias("name"), (-F.col("k.c")).alias("confidence"), F.lit(0).alias("hops"))
+    now = cut(named, "labels")
+    for n in range(rounds):
+        spoken = look_up(links, now.select("cluster_id", "name", "confidence"), "cluster_id", busy)
+        best = spoken.groupBy("call_id").agg(F.min(key).alias("k")).select("call_id", F.col("k.name").alias("name"), (-F.col("k.c")).alias("confidence"))
+        open_ = links.join(now.select("cluster_id"), "cluster_id", "left_anti")
+        heard = look_up(open_, best, "call_id", crowded).groupBy("cluster_id", "name").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+        share = heard.join(calls_of, "cluster_id").withColumn("confidence", F.round(F.col("confidence") * damping * F.col("n") / F.col("calls"), 6)).where(F.col("confidence") >= least)
+        new = share.groupBy("cluster_id").agg(F.min(key).alias("k")).select("cluster_id", F.col("k.name").alias("name"), (-F.col("k.c")).alias("confidence"), F.lit(n + 1).alias("hops"))
+        now = cut(now.unionByName(new), "labels")
+    return now.where("hops > 0").select("cluster_id", F.lit("co_speaker").alias("source"), "name", "confidence", "hops")
 
 
 def top_co_speakers(pairs: DataFrame, most: int = 5) -> DataFrame:

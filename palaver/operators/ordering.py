@@ -24,7 +24,7 @@ def _new(rows: DataFrame, name: str) -> str:
     return name
 
 
-def _quoted(name: str, of: str = "") -> Column:
+def quoted(name: str, of: str = "") -> Column:
     return F.col(of + "`" + name.replace("`", "``") + "`")
 
 
@@ -35,7 +35,7 @@ def running(rows: DataFrame, order: list[Column | str], sums: dict[str, Column],
     """
     part = _new(rows, "_part")
     values = {_new(rows, f"_value{k}"): v for k, v in enumerate(sums.values())}
-    groups = {_new(rows, f"_group{k}"): _quoted(g) for k, g in enumerate(within)}
+    groups = {_new(rows, f"_group{k}"): quoted(g) for k, g in enumerate(within)}
     keyed = rows.withColumns(values | groups)
     order = [F.col(o).asc_nulls_first() if isinstance(o, str) else o for o in order]
     ranged = cut(keyed.repartitionByRange(*[F.col(g).asc_nulls_first() for g in groups], *order).withColumn(part, F.spark_partition_id()), "ranges")
@@ -48,7 +48,7 @@ def running(rows: DataFrame, order: list[Column | str], sums: dict[str, Column],
     before, total = [], {}
     for r in sorted(inside.collect(), key=lambda r: r[part]):
         group = tuple(r[g] for g in groups)
-        now = total.get(group, (0,) * len(values))
+        now = total.get(group) or tuple(type(r[v])(0) for v in values)
         before.append((r[part], *group, *now))
         total[group] = tuple(x + r[v] for x, v in zip(now, values, strict=True))
     w = Window.partitionBy(part, *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -60,8 +60,8 @@ def running(rows: DataFrame, order: list[Column | str], sums: dict[str, Column],
         on = [F.col(f"x.{part}") == F.col("y._p"), *[F.col(f"x.{g}").eqNullSafe(F.col(f"y._g{k}")) for k, g in enumerate(groups)]]
         joined = x.join(y, on, "left")
         sums_of = [(F.col(f"x.{v}") + F.coalesce(F.col(f"y._v{k}"), F.lit(0))).alias(name) for k, (v, name) in enumerate(zip(values, sums, strict=True))]
-        return joined.select(*[_quoted(c, "x.") for c in rows.columns], *sums_of)
-    return local.select(*[_quoted(c) for c in rows.columns], *[F.col(v).alias(name) for v, name in zip(values, sums, strict=True)])
+        return joined.select(*[quoted(c, "x.") for c in rows.columns], *sums_of)
+    return local.select(*[quoted(c) for c in rows.columns], *[F.col(v).alias(name) for v, name in zip(values, sums, strict=True)])
 
 
 def numbered(rows: DataFrame, order: list[Column | str], name: str = "place", within: list[str] = ()) -> DataFrame:

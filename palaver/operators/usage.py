@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palaver.operators import ordering
+
 
 def in_days(usage: DataFrame, days: int, now: Column) -> DataFrame:
     """Entries of at most ``days`` whole days before ``now``."""
@@ -40,6 +42,21 @@ def over_budget(usage: DataFrame, limit: float, session: str, order: list) -> Da
     return usage.withColumn("running_cost", F.sum(cost).over(w)).withColumn("over_budget", F.col("running_cost") > limit)
 
 
+def admit(calls: DataFrame, limit: float, order: list, cost: str = "cost_usd", within: list[str] = ()) -> DataFrame:
+    """Calls of a whole log with ``running_cost``, the exact cost up to and with each, and whether it is ``admitted``.
+
+    A call is made while the calls before it have not cost more than the limit, so the one that crosses it is the last.  The order
+    is cut into ranges with carried sums (``ordering.running``): no task sees the whole log.  With ``within`` each group
+    (a month, a session) has a budget of its own, and a group of any size is split all the same.
+
+    Cases: a null cost is 0; costs count in millionths, rounded; a limit below 0 admits nothing; ties in the order are taken in
+    any order, so an order ends with a key.
+    """
+    exact = F.coalesce(F.col(cost), F.lit(0)).cast("decimal(20,6)")
+    summed = ordering.running(calls, order, {"running_cost": exact}, within)
+    return summed.withColumn("admitted", F.col("running_cost") - exact <= F.lit(limit).cast("decimal(20,6)"))
+
+
 def totals(usage: DataFrame, budget: float | None = None, order: str | None = None) -> DataFrame:
     """One row: calls, tokens, cost; with a budget what is left of it; with an order the first and last entry's time."""
     ends = [] if order is None else [F.min_by("timestamp", order).alias("first_entry"), F.max_by("timestamp", order).alias("last_entry")]

@@ -5,12 +5,12 @@ A call's sections are gathered per call because a document holds them; nothing e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions import lexicons as L
 from palaver.functions import text as T
-from palaver.operators import communication, extract
+from palaver.operators import communication, extract, ordering
 
 
 def gather(rows: DataFrame, name: str, order: list[str], fields: dict[str, str | Column]) -> DataFrame:
@@ -190,21 +190,21 @@ def pmf_dashboard(episodes: DataFrame, threshold: float = 0.40) -> DataFrame:
     """
     from palaver.operators import episodes as E
 
-    found = episodes.select("pos", F.posexplode("findings").alias("place", "finding")).select(F.struct("pos", "place").alias("pos"), "finding", F.lit("all").alias("g"))
+    found = episodes.select("pos", F.posexplode("findings").alias("place", "finding")).select(F.struct("pos", "place").alias("pos"), "finding")
     n = episodes.agg(F.count("*").alias("calls"))
     kinds = E.ellis_distribution(found, threshold)
     label = F.create_map(*[F.lit(x) for k in (("very_disappointed", "Very Disappointed"), ("somewhat_disappointed", "Somewhat Disappointed"), ("not_disappointed", "Not Disappointed")) for x in k])
     place = F.when(F.col("answer") == "very_disappointed", 0).when(F.col("answer") == "somewhat_disappointed", 1).otherwise(2)
     said = F.concat(F.lit("- "), label[F.col("answer")], F.lit(": "), F.col("pct").cast("string"), F.lit("% ("), F.col("n").cast("string"), F.lit(")"), F.when(F.col("answer") == "very_disappointed", F.lit(f" — target: {int(threshold * 100)}%+")).otherwise(""), F.when(F.col("on_target"), " ✅").otherwise(""))
     answers = kinds.agg(_lines(F.sort_array(F.collect_list(F.struct(place.alias("p"), said.alias("line")))), lambda r: r["line"]).alias("answers"))
-    scored = episodes.select("pos", F.try_element_at("scores", F.lit("overall")).alias("score"), F.lit("all").alias("g")).where("score is not null")
-    t = E.half_trend(scored, ["g"], ["pos"])
+    scored = episodes.select("pos", F.try_element_at("scores", F.lit("overall")).alias("score")).where("score is not null")
+    t = E.overall_trend(scored, ["pos"])
     trend = t.agg(F.max(F.concat(F.lit("- Average: "), F.col("average").cast("string"), F.lit("/10 across "), F.col("n").cast("string"), F.lit(" calls"), F.coalesce(F.concat(F.lit("\n- First half avg: "), F.col("first_half").cast("string"), F.lit(", second half avg: "), F.col("second_half").cast("string"), F.lit(" → **"), F.col("trend"), F.lit("**")), F.lit("")))).alias("trend"))
 
     def top(rows: DataFrame, name: str) -> DataFrame:
-        counted = E.finding_counts(rows, 10, ["g"])
+        counted = E.top_findings(rows, 10)
         line = F.format_string("- %s *(seen %dx)*", "finding", "n")
-        return counted.agg(_lines(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))), lambda r: r["line"]).alias(name))
+        return counted.agg(_lines(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "first_pos", line.alias("line")))), lambda r: r["line"]).alias(name))
 
     low = F.lower("finding")
     against = found.where(F.contains(low, F.lit("anti-pmf")) | F.contains(low, F.lit("anti_pmf")))
@@ -283,6 +283,5 @@ def tag_properties(calls: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def listing(profiles: DataFrame) -> DataFrame:
     """Profiles in listing order: the surest names first, then those with the most calls."""
-    w = Window.partitionBy(F.lit(1)).orderBy(F.col("name_confidence").desc_nulls_last(), F.col("total_calls").desc(), "cluster_id")
-    # a place in one list needs one order; a report shows the first places only
-    return profiles.withColumn("place", F.row_number().over(w))
+    order = [F.col("name_confidence").desc_nulls_last(), F.col("total_calls").desc(), F.col("cluster_id").asc()]
+    return ordering.numbered(profiles, order, "place").withColumn("place", F.col("place").cast("int"))

@@ -61,8 +61,13 @@ def render(template: str, **values: str | Column) -> Column:
     return out
 
 
-def ask(rows: DataFrame, prompt: Column, complete: Callable[[str], str | None] | None, column: str = "reply") -> DataFrame:
-    """``rows`` with the model's replies; null where there is no model, no prompt, or no answer.  Batches go by Arrow."""
+def ask(rows: DataFrame, prompt: Column, complete: Callable[[str], str | None] | None, column: str = "reply", admitted: Column | None = None) -> DataFrame:
+    """``rows`` with the model's replies; null where there is no model, no prompt, or no answer.  Batches go by Arrow.
+
+    ``admitted``: which rows the budget allows (see ``usage.admit``); for the others, and where it is null, the model is not called.
+    """
+    if admitted is not None:
+        prompt = F.when(admitted, prompt)
     if complete is None:
         return rows.withColumn(column, F.lit(None).cast("string"))
 
