@@ -155,23 +155,77 @@ FAMILIES: dict[str, tuple[Callable[..., Columns], tuple[str, ...]]] = {
 DISPATCH = {kind: family for family, (_, kinds) in FAMILIES.items() for kind in kinds}
 
 
+#: Sections that only one call type of a family has.
+ONLY_FOR = {"operations": {"sprint-retro": ("went_well", "to_improve"), "postmortem": ("root_cause_signals", "blame_signals", "blamelessness")}, "education": {"coaching-session": ("goal", "reality", "options", "will")}}
+#: Families that were there before any was registered.
+BUILT_IN = frozenset(FAMILIES)
+
+
+def register(name: str, build: Callable[..., Columns], kinds: list[str], only_for: dict[str, tuple[str, ...]] | None = None) -> None:
+    """Add a family, or replace one: ``build`` makes named columns of the lower-cased text for calls of these types.
+
+    Types that another family had go over to this one.  ``only_for``: sections that only one of its types has.
+    """
+    if not name or not kinds:
+        raise ValueError("a family has a name and call types")
+    for other, (made, had) in list(FAMILIES.items()):
+        if other != name and set(had) & set(kinds):
+            FAMILIES[other] = made, tuple(k for k in had if k not in kinds)
+    FAMILIES[name] = build, tuple(kinds)
+    ONLY_FOR.pop(name, None)
+    if only_for:
+        ONLY_FOR[name] = dict(only_for)
+    _dispatch()
+
+
+def unregister(name: str) -> None:
+    """Take out a family that was registered; its types are treated as simple ones."""
+    if name in BUILT_IN:
+        raise ValueError(f"{name} is built in")
+    FAMILIES.pop(name, None)
+    ONLY_FOR.pop(name, None)
+    _dispatch()
+
+
+def _dispatch() -> None:
+    DISPATCH.clear()
+    DISPATCH.update({kind: family for family, (_, kinds) in FAMILIES.items() for kind in kinds})
+
+
+def families_of(kinds: list[str]) -> list[str]:
+    """The families of some call types, in order of registration."""
+    wanted = {DISPATCH.get(k, "simple") for k in kinds}
+    return [f for f in FAMILIES if f in wanted]
+
+
+def present(calls: DataFrame, type_col: str = "call_type") -> list[str]:
+    """The families of the call types that a table holds: there are few types, so few rows reach the driver."""
+    return families_of([r[0] for r in calls.select(type_col).distinct().where(F.col(type_col).isin(*DISPATCH)).collect()])
+
+
 def family_of(kind: Column) -> Column:
     """The family of a call type."""
     out = F.lit("simple")
     for family, (_, kinds) in FAMILIES.items():
-        out = F.when(kind.isin(*kinds), family).otherwise(out)
+        if kinds:
+            out = F.when(kind.isin(*kinds), family).otherwise(out)
     return out
 
 
-#: Sections that only one call type of a family has.
-ONLY_FOR = {"operations": {"sprint-retro": ("went_well", "to_improve"), "postmortem": ("root_cause_signals", "blame_signals", "blamelessness")}, "education": {"coaching-session": ("goal", "reality", "options", "will")}}
+def analyze(calls: DataFrame, type_col: str = "call_type", competitors: list[str] = (), families: list[str] | None = None) -> DataFrame:
+    """``calls`` with family and the family's sections as JSON (null sections left out); ``competitors`` are looked for in sales calls.
 
-
-def analyze(calls: DataFrame, type_col: str = "call_type", competitors: list[str] = ()) -> DataFrame:
-    """``calls`` with family and the family's sections as JSON (null sections left out); ``competitors`` are looked for in sales calls."""
+    Columns are built for ``families`` only (default: all that are registered): where a table holds few call types, give
+    ``present(calls)`` and the plan has no terms of the others.  Calls of families that are left out have no sections.
+    """
+    unknown = set(families or ()) - set(FAMILIES)
+    if unknown:
+        raise ValueError(f"no such family: {', '.join(sorted(unknown))}")
     low = T.lower("text")
     sections = None
     for family, (build, kinds) in FAMILIES.items():
+        if not kinds or (families is not None and family not in families):
+            continue
         columns = build(low, competitors=competitors) if build is sales else build(low)
         if not columns:
             continue
@@ -181,4 +235,4 @@ def analyze(calls: DataFrame, type_col: str = "call_type", competitors: list[str
         made = F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]))
         hit = F.col(type_col).isin(*kinds)
         sections = F.when(hit, made) if sections is None else sections.when(hit, made)
-    return calls.withColumn("family", family_of(F.col(type_col))).withColumn("sections", F.coalesce(sections, F.lit("{}")))
+    return calls.withColumn("family", family_of(F.col(type_col))).withColumn("sections", F.lit("{}") if sections is None else F.coalesce(sections, F.lit("{}")))

@@ -24,8 +24,9 @@ def analyze(transcripts: DataFrame, lexicon: dict[str, list[str]] | None = None,
     chunked = chunks.is_chunked()
     kind, sure = classify.resolve_type(F.lit(override).cast("string"), F.when(chunked, chunks.classification()), 0.9, F.col("call_type"), F.col("confidence"))
     typed = found.withColumn("_kind", classify.privacy_gate(kind, insights)).withColumn("confidence", sure).drop("call_type").withColumnRenamed("_kind", "call_type")
-    calls = analyzers.analyze(typed, competitors=competitors).select("call_id", "text", "call_type", "confidence", "scores", "family", "sections")
-    calls = cut(calls, "calls")
+    typed = cut(typed.select("call_id", "text", "call_type", "confidence", "scores"), "typed")
+    # which families there are is known before their columns are planned
+    calls = cut(analyzers.analyze(typed, competitors=competitors, families=analyzers.present(typed)), "calls")
     ruled = topics.topics(seg, min_duration, max_topics)
     whole = transcripts.where(chunked)
     spans = ruled.join(whole, "call_id", "left_anti").select("call_id", "span", "name", "start_seconds", "end_seconds", "speakers", "summary").unionByName(chunks.topics(whole).withColumnRenamed("chunk", "span"))
