@@ -60,7 +60,11 @@ def _analyze(spark, a, settings, lexicon):
     tables = calls.analyze(files.drop("hash", "mtime", "path", "size"), lexicon, a.type, settings.relationship_insights, settings.min_topic_seconds, settings.max_topics, list(settings.competitors), list(settings.channels))
     if a.out:
         for name, df in tables.items():
-            df.write.mode("append" if a.new_only else "overwrite").parquet(f"{a.out}/{name}")
+            if a.new_only:
+                # a file whose content changed takes its old rows with it
+                sinks.merge_table(df, f"{a.out}/{name}", files.select("call_id"))
+            else:
+                df.write.mode("overwrite").parquet(f"{a.out}/{name}")
         done = files.select("call_id", "path", "mtime", "size", "hash").join(tables["calls"].select("call_id", "call_type"), "call_id").select("path", "hash", F.lit("completed").alias("status"), F.current_timestamp().cast("string").alias("analyzed_at"), "call_type", "size", "mtime")
         sinks.replace_table(cut(incremental.record(manifest, done), "manifest"), f"{a.out}/manifest")
     return tables[a.table]

@@ -85,7 +85,7 @@ def sentiment_arc(segments: DataFrame, positive: list[str], negative: list[str],
     """Per call of (call_id, ord, text, start, end) and tenth of its time: valence, and per call where its mood changes most and the rate of hedge words.
 
     A segment's valence is (positive - negative) / (positive + negative) of its terms, 0 without any; it counts in each part by the
-    time it spends there, so a part's valence is the mean over the time spoken in it, null where nobody speaks.  The change point is the border
+    time it spends there, so a part's valence is the mean over the time spoken in it; a part in which nobody speaks has no row.  The change point is the border
     between parts at which two means fit best (least squares): the one with the largest n1 * n2 / (n1 + n2) * (m1 - m2) ** 2, from sums
     before each border; of equal ones the first.
 
@@ -101,20 +101,23 @@ def sentiment_arc(segments: DataFrame, positive: list[str], negative: list[str],
     spans = said.withColumn("from", F.min(F.when(timed, F.col("a"))).over(call)).withColumn("to", F.max(F.when(timed, F.col("b"))).over(call)).withColumn("n", F.count(F.when(timed, 1)).over(call))
     spans = spans.withColumn("hedge", F.sum("h").over(call)).withColumn("all", F.sum("words").over(call))
     value = F.when(F.col("p") + F.col("g") > 0, (F.col("p") - F.col("g")) / (F.col("p") + F.col("g"))).otherwise(0.0)
-    # the part of a time: parts * (t - from) div (to - from), the end belongs to the last
-    part = lambda t: F.least(F.expr(f"({parts} * ({t} - `from`)) div (`to` - `from`)"), F.lit(parts - 1).cast("bigint"))
-    inside = spans.withColumn("part", F.explode_outer(F.when(timed, F.sequence(part("a"), part("b - 1")))))
+    # the part of a time is parts * (t - from) div (to - from); an end belongs to the part before it
+    first, last = F.expr(f"({parts} * (a - `from`)) div (`to` - `from`)"), F.expr(f"({parts} * (b - `from`) - 1) div (`to` - `from`)")
+    inside = spans.withColumn("part", F.explode_outer(F.when(timed, F.sequence(first, last))))
     width = F.col("to") - F.col("from")
     left, right = F.greatest(F.col("a") * parts, F.col("from") * parts + F.col("part") * width), F.least(F.col("b") * parts, F.col("from") * parts + (F.col("part") + 1) * width)
     # times in parts of a microsecond, and valences in thousandths, are whole numbers
     time, thousandths = F.greatest(right - left, F.lit(0)), F.round(value * 1000).cast("bigint")
     keys = ["call_id", "n", "hedge", "all"]
-    per = inside.groupBy(*keys, "part").agg(F.sum(time.cast("decimal(20,0)")).alias("t"), F.sum(time.cast("decimal(20,0)") * thousandths).alias("v")).where("part is not null or n = 0").dropDuplicates(["call_id", "part"])
+    per = inside.groupBy(*keys, "part").agg(F.sum(time.cast("decimal(20,0)")).alias("t"), F.sum(time.cast("decimal(20,0)") * thousandths).alias("v")).where("part is not null or n = 0")
     order = Window.partitionBy("call_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     x = F.when(F.col("t") > 0, F.round(F.col("v").cast("double") / F.col("t").cast("double") / 1000, 6))
-    sums = per.withColumn("valence", x).withColumn("n1", F.count("valence").over(order)).withColumn("s1", F.sum(F.coalesce("valence", F.lit(0.0))).over(order)).withColumn("n0", F.count("valence").over(call)).withColumn("s0", F.sum(F.coalesce("valence", F.lit(0.0))).over(call))
+    # sums of millionths are exact in any order
+    whole = F.round(F.col("valence") * 1_000_000).cast("bigint")
+    sums = per.withColumn("valence", x).withColumn("n1", F.count("valence").over(order)).withColumn("s1", F.sum(whole).over(order)).withColumn("n0", F.count("valence").over(call)).withColumn("s0", F.sum(whole).over(call))
     n2 = F.col("n0") - F.col("n1")
-    fit = F.when((F.col("n1") > 0) & (n2 > 0), F.round(F.col("n1") * n2 / F.col("n0") * F.pow(F.col("s1") / F.col("n1") - (F.col("s0") - F.col("s1")) / n2, 2), 6))
+    apart = F.col("s1") / F.col("n1") - (F.col("s0") - F.col("s1")) / n2
+    fit = F.when((F.col("n1") > 0) & (n2 > 0), F.round(F.col("n1") * n2 / F.col("n0") * apart * apart / 1e12, 6))
     out = sums.withColumn("fit", fit).withColumn("best", F.max("fit").over(call))
     change = F.min(F.when((F.col("fit") == F.col("best")) & (F.col("best") > 0), F.col("part") + 1)).over(call)
     return out.select("call_id", "part", "valence", F.when(F.col("n") >= least, change).alias("change_point"), _share(F.col("hedge"), F.col("all")).alias("hedge_rate"))

@@ -61,6 +61,22 @@ def words_gini(spark, d):
     return dynamics.participation_gini(communication.speaker_stats(segments(spark, d)))
 
 
+@query(rf"""WITH {SPOKEN}, tx AS (SELECT *, CASE WHEN ord % 17 > 0 THEN speaker || ' and ' || CASE ord % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'maybe signup' ELSE 'ok' END END AS text FROM sp), w AS (SELECT call_id, a, b, string_split(coalesce(text, ''), ' ') AS ws, coalesce(len(regexp_extract_all(text, '\S+')), 0) AS words FROM tx),
+v AS (SELECT *, len(list_filter(ws, lambda x: x IN ('purchase', 'signup'))) AS p, len(list_filter(ws, lambda x: x = 'error')) AS g, len(list_filter(ws, lambda x: x = 'maybe')) AS h FROM w),
+s AS (SELECT call_id, min(a) FILTER (a < b) AS f, max(b) FILTER (a < b) AS t, count(*) FILTER (a < b) AS n, round(CASE WHEN sum(words) > 0 THEN sum(h) / sum(words) ELSE 0 END, 6)::DOUBLE AS hedge_rate FROM v GROUP BY call_id),
+k AS (SELECT call_id, i AS part, CAST(CASE WHEN p + g > 0 THEN round(1000.0::DOUBLE * (p - g) / (p + g)) ELSE 0 END AS BIGINT) AS x, greatest(least(b * 10, f * 10 + (i + 1) * (t - f)) - greatest(a * 10, f * 10 + i * (t - f)), 0) AS len FROM v JOIN s USING (call_id), range(10) r(i) WHERE a < b),
+q AS (SELECT call_id, part, round(CAST(sum(len * x) AS DOUBLE) / CAST(sum(len) AS DOUBLE) / 1000, 6) AS valence FROM k GROUP BY ALL HAVING sum(len) > 0), u AS (SELECT *, CAST(round(valence * 1e6::DOUBLE) AS BIGINT) AS m FROM q),
+c AS (SELECT *, count(*) OVER o AS n1, sum(m) OVER o AS s1, count(*) OVER e AS n0, sum(m) OVER e AS s0 FROM u WINDOW o AS (PARTITION BY call_id ORDER BY part), e AS (PARTITION BY call_id)),
+d AS (SELECT *, CASE WHEN n0 > n1 THEN CAST(s1 AS DOUBLE) / n1 - CAST(s0 - s1 AS DOUBLE) / (n0 - n1) END AS apart FROM c), z AS (SELECT *, round(CAST(n1 * (n0 - n1) AS DOUBLE) / n0 * apart * apart / 1e12::DOUBLE, 6) AS fit FROM d),
+b AS (SELECT call_id, min(part) + 1 AS change_point FROM (SELECT *, max(fit) OVER (PARTITION BY call_id) AS best FROM z) WHERE fit = best AND best > 0 GROUP BY call_id)
+SELECT s.call_id, part, valence, CASE WHEN n >= 10 THEN change_point END AS change_point, hedge_rate FROM s LEFT JOIN q USING (call_id) LEFT JOIN b USING (call_id)""")
+def sentiment_arc(spark, d):
+    """Valence of each tenth of a call, where it changes most, and the rate of hedge words; kinds of events are the words."""
+    said = F.concat("speaker", F.lit(" and "), F.when(F.col("ord") % 4 == 0, "error").when(F.col("ord") % 4 == 1, "maybe signup").otherwise("ok"))
+    rows = _spoken(spark, d).withColumn("text", F.when(F.col("ord") % 17 > 0, said))
+    return dynamics.sentiment_arc(rows, ["purchase", "signup"], ["error"], ["maybe"])
+
+
 # ---------------------------------------------------------------- budgets
 
 

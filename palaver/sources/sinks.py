@@ -38,29 +38,58 @@ def clear(spark, path: str) -> int:
     return n
 
 
+def _places(spark, path: str):
+    """The file system of a table, its folder, and those beside it of a new and of an old version."""
+    place, new, old = (spark._jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".new", ".old"))
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place, new, old
+
+
+def _move(fs, a, b) -> None:
+    if not fs.rename(a, b):
+        raise OSError(f"cannot move {a.toString()} to {b.toString()}")
+
+
+def recover(spark, path: str) -> bool:
+    """Bring back what a swap that failed left under ``path``.old; whether there is a table."""
+    fs, place, _, old = _places(spark, path)
+    if fs.exists(old):
+        fs.delete(old, True) if fs.exists(place) else _move(fs, old, place)
+    return fs.exists(place)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """A table swapped for a new version: written beside it, the old one moved aside, the new one moved in, the old one deleted.
 
     Whatever fails, a whole version stays under ``path`` or ``path``.old; a version that was left there comes back first.
     """
     spark = df.sparkSession
-    jvm = spark._jvm
-    place, new, old = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".new", ".old"))
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def move(a, b):
-        if not fs.rename(a, b):
-            raise OSError(f"cannot move {a.toString()} to {b.toString()}")
-
-    if fs.exists(old):
-        fs.delete(old, True) if fs.exists(place) else move(old, place)
+    fs, place, new, old = _places(spark, path)
+    there = recover(spark, path)
     df.write.mode("overwrite").parquet(f"{path}.new")
-    if fs.exists(place):
-        move(place, old)
-    move(new, place)
+    if there:
+        _move(fs, place, old)
+    _move(fs, new, place)
     fs.delete(old, True)
 
 
+def merge_table(df: DataFrame, path: str, keys: DataFrame) -> None:
+    """Rows of a table whose key is among ``keys`` (one column, which both have) are replaced by ``df``.
+
+    Where the table holds none of the keys, ``df`` is appended and nothing is read but the keys; else the table is swapped.  Doing it
+    again with the same rows leaves the same table, so what failed half-way is simply done again.  Keys without rows in ``df``
+    lose theirs; null keys match nothing; a missing table is made.
+    """
+    spark, key = df.sparkSession, keys.columns[0]
+    if not recover(spark, path):
+        df.write.parquet(path)
+        return
+    there = spark.read.schema(df.schema).parquet(path)
+    if there.join(keys, key, "left_semi").isEmpty():
+        df.write.mode("append").parquet(path)
+    else:
+        replace_table(there.join(keys, key, "left_anti").select(*df.columns).unionByName(df), path)
+
+
 def write_pages(pages: DataFrame, path: str) -> None:
     """Markdown pages (file, markdown), one folder per file name."""
     pages.select("file", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
@@ -69,7 +98,7 @@ def write_pages(pages: DataFrame, path: str) -> None:
 def write_runs(runs: DataFrame, path: str, name: str | None = None) -> None:
     """Evaluation runs as JSON documents: appended, or, with a name, as the one document ``benchmark-NAME.json``.
 
-    The latest state of a run that goes on is saved after each model under one name, which replaces what stood there.
+    The latest state of a run that goes on is saved after each model under one name, which replaces what stood there in one step.
     """
     if name is None:
         runs.coalesce(1).write.mode("append").json(path)
@@ -82,9 +111,9 @@ def write_runs(runs: DataFrame, path: str, name: str | None = None) -> None:
     out = fs.create(part, True)
     out.write(bytearray("\n".join(rows).encode()))
     out.close()
-    fs.delete(final, False)
-    if not fs.rename(part, final):
-        raise OSError(f"cannot write {final.toString()}")
+    over = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(final), over)
 
 
 def emit(df: DataFrame, form: str = "json", most: int = 1000) -> str:

@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.sources.transcripts import TRANSCRIPT, USAGE, id_of
+from palaver.functions import text as T
+from palaver.plans.stored import cut
+from palaver.sources.sinks import merge_table
+from palaver.sources.transcripts import TRANSCRIPT, USAGE, id_of, read_transcripts
+
+#: What a listing says of a file.
+LISTING = "path string, mtime double, size bigint, hash string"
 
 
 def new_transcripts(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -29,6 +35,58 @@ def process_new(stream: DataFrame, transform: Callable[[DataFrame], DataFrame],
     return query
 
 
+def list_files(spark: SparkSession, path: str, log: str) -> None:
+    """Append what a folder of transcripts holds now to a log of listings, one line a file."""
+    found = read_transcripts(spark, path)
+    found.select(F.col("source").alias("path"), (F.unix_micros("file_mtime") / 1e6).alias("mtime"), F.col("file_size").alias("size"), T.content_hash("text").alias("hash")).write.mode("append").json(log)
+
+
+def listings(spark: SparkSession, log: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The log of listings as a stream."""
+    return spark.readStream.schema(LISTING).option("maxFilesPerTrigger", files_per_trigger).json(log)
+
+
+def versions(listed: DataFrame) -> DataFrame:
+    """Of a stream of listings those that show a path with another hash than before; the state of a path is its last time and hash.
+
+    Of several listings of a path in one batch the latest counts, of equal times the largest hash.  Listings older than what is known
+    of the path, and those without path, time or hash, say nothing; a newer time with the same hash only moves the time on.
+    """
+
+    def newest(key, frames, state):
+        at, known = state.get if state.exists else (float("-inf"), None)
+        best = None
+        for f in frames:
+            last = f.sort_values(["mtime", "hash"]).tail(1)
+            if best is None or (last["mtime"].iloc[0], last["hash"].iloc[0]) > (best["mtime"].iloc[0], best["hash"].iloc[0]):
+                best = last
+        if best is None or best["mtime"].iloc[0] < at:
+            return
+        now = best["hash"].iloc[0]
+        state.update((float(best["mtime"].iloc[0]), now))
+        if now != known:
+            yield best[["path", "mtime", "size", "hash"]]
+
+    told = listed.where("path is not null and mtime is not null and hash is not null").select("path", "mtime", "size", "hash")
+    return told.groupBy("path").applyInPandasWithState(newest, LISTING, "mtime double, hash string", "update", "NoTimeout")
+
+
+def process_changed(listed: DataFrame, read: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
+    """Process each version of each file once: ``read`` makes rows with a ``path`` of new versions, which replace the path's rows in ``out``.
+
+    A batch that is run again after a failure replaces its own rows, so each version is there once.
+    """
+
+    def batch(df: DataFrame, n: int) -> None:
+        new = cut(df, "versions")
+        if not new.isEmpty():
+            merge_table(read(new), out, new.select("path"))
+
+    query = versions(listed).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def daily_usage(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
     """Beyond batch roll-ups: calls, tokens and cost per day and model as entries arrive, with a watermark for late ones."""
     usage = spark.readStream.schema(USAGE).json(path).withColumn("ts", F.col("timestamp").cast("timestamp"))
