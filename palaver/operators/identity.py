@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import text as T
+from palaver.operators import ordering
 from palaver.operators.joins import heavy_keys, look_up
 from palaver.plans.stored import cut
 
@@ -133,14 +134,22 @@ def database_evidence(profiles: DataFrame, identities: DataFrame) -> DataFrame:
 def calendar_matches(calls: DataFrame, events: DataFrame, minutes: int = 30) -> DataFrame:
     """Per call (call_id, recorded_at, duration_seconds) the earliest event that overlaps it, ``minutes`` wider on both sides.
 
-    A range join is an equi-join here: both sides are cut into hours, so each pair meets in few partitions' keys.
+    Of the events that end at or after a call's beginning the earliest is the only one that can be the answer: if it begins too late,
+    so do the others.  So calls and events stand in one order of times, the latest first, and each call takes the least
+    (start, id) before it: no pairs of calls and events are made, however many of them fall into an hour.
+
+    Cases: ties go to the smaller event_id; events without a start or an end, and calls without a time, match nothing; a null duration is 0.
     """
-    c = calls.withColumn("_from", F.col("recorded_at") - F.expr(f"interval {minutes} minutes")).withColumn("_to", F.col("recorded_at") + F.make_dt_interval(secs=F.coalesce("duration_seconds", F.lit(0.0))) + F.expr(f"interval {minutes} minutes"))
-    hours = lambda a, b: F.explode(F.sequence(F.floor(F.unix_timestamp(a) / 3600), F.floor(F.unix_timestamp(b) / 3600)))
-    left = c.withColumn("_hour", hours(F.col("_from").cast("timestamp"), F.col("_to").cast("timestamp")))
-    right = events.select("event_id", "event_start", "event_end", hours(F.col("event_start").cast("timestamp"), F.col("event_end").cast("timestamp")).alias("_hour"))
-    hit = left.join(right, "_hour").where("event_start <= _to and event_end >= _from")
-    best = hit.groupBy("call_id").agg(F.min(F.struct("event_start", "event_id")).alias("e"))
+    at = calls.select(
+        (F.col("recorded_at") - F.expr(f"interval {minutes} minutes")).alias("_at"), F.lit(1).alias("_kind"), "call_id",
+        (F.col("recorded_at") + F.make_dt_interval(secs=F.coalesce("duration_seconds", F.lit(0.0))) + F.expr(f"interval {minutes} minutes")).alias("_to"),
+    )
+    ends = events.where("event_start is not null and event_end is not null").select(F.col("event_end").alias("_at"), F.lit(0).alias("_kind"), F.struct("event_start", "event_id").alias("_event"))
+    rows = at.where("_at is not null and call_id is not null").unionByName(ends, allowMissingColumns=True)
+    # events before calls of the same time; the rest only splits equal times
+    order = [F.col("_at").desc(), F.col("_kind").asc(), F.col("_event").asc(), F.col("call_id").asc()]
+    hit = ordering.least_so_far(rows, order, F.col("_event"), "_first").where("_kind = 1 and _first.event_start <= _to")
+    best = hit.groupBy("call_id").agg(F.min("_first").alias("e"))
     return calls.join(best, "call_id", "left").select(*calls.columns, F.col("e.event_id").alias("event_id"), F.col("e.event_start").alias("event_start"))
 
 

@@ -1,4 +1,4 @@
-"""Places and running sums over one order of any number of rows, without a task that sees them all.
+"""Places, running sums and running minima over one order of any number of rows, without a task that sees them all.
 
 Rows are range-partitioned by the order, which also splits a group with most of the rows; sums are taken inside each
 range, and what stands before a range is added to it.  One row for each range reaches the driver: those of groups
@@ -67,3 +67,18 @@ def running(rows: DataFrame, order: list[Column | str], sums: dict[str, Column],
 def numbered(rows: DataFrame, order: list[Column | str], name: str = "place", within: list[str] = ()) -> DataFrame:
     """``rows`` with their place, from 1, in one order of all rows, or of each group's."""
     return running(rows, order, {name: F.lit(1).cast("bigint")}, within)
+
+
+def least_so_far(rows: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """``rows`` with the least ``value``, nulls aside, up to and with the row in one order of all rows; null where there is none before.
+
+    What stands before a range is a table with a row for each range, which stays on the executors.
+    """
+    part, v = _new(rows, "_part"), _new(rows, "_value")
+    ranged = cut(rows.withColumn(v, value).repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    up = Window.partitionBy(F.lit(1)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(part).agg(F.min(v).alias(v)).select(F.col(part).alias("_p"), F.min(v).over(up).alias("_v"))
+    w = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x, y = ranged.withColumn(v, F.min(v).over(w)).alias("x"), F.broadcast(before).alias("y")
+    joined = x.join(y, F.col(f"x.{part}") == F.col("y._p"), "left")
+    return joined.select(*[quoted(c, "x.") for c in rows.columns], F.least(F.col(f"x.{v}"), F.col("y._v")).alias(name))
