@@ -238,14 +238,21 @@ def playbooks(spark, d):
 
 @query("""WITH p AS (SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE d.lang = 'en' AND contains(d.text, b.text)) SELECT doc_id, count(*) AS n_items FROM p GROUP BY doc_id""")
 def verbatim_items(spark, d):
-    """D16's containment: benchmark items in documents by their rarest first words (an equi-join on a shared word, then the text)."""
-    docs, items = table(spark, d, "documents").where("lang = 'en'"), table(spark, d, "benchmark")
-    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\S{3,})"), F.lit(1))))
-    w = items.select("item_id", F.col("text").alias("item"), words("text").alias("word"))
-    # each item waits at its longest inner word; a document meets few items there
-    key = w.groupBy("item_id", "item").agg(F.max_by("word", F.struct(F.length("word"), "word")).alias("word"))
-    inner = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    return inner.join(key, "word").where(F.contains("text", F.col("item"))).groupBy("doc_id").agg(F.count("*").alias("n_items"))
+    """D16's containment: benchmark items in documents by their longest inner words (an equi-join on a shared word, then the text).
+
+    Words at an item's ends may be parts of longer ones in a document; those between white space are whole words there.  Items
+    without such a word are looked for in every text.
+    """
+    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
+    pieces = F.split("item", r"\s+")
+    inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    items = table(spark, d, "benchmark").select(F.col("text").alias("item")).where("item is not null").withColumn("word", longest)
+    words = docs.withColumn("word", F.explode(F.array_distinct(F.split("text", r"\s+"))))
+    holds = F.contains("text", F.col("item"))
+    hits = words.join(items.where("word is not null"), "word").where(holds).select("doc_id")
+    short = docs.join(items.where("word is null").drop("word"), holds).select("doc_id")
+    return hits.unionByName(short).groupBy("doc_id").agg(F.count("*").alias("n_items"))
 
 
 @query("""SELECT d.doc_id, CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(d.text), '\\S+')), list_distinct(regexp_extract_all(lower(b.text), '\\S+')))) AS INT) AS shared, len(list_intersect(list_distinct(regexp_extract_all(lower(d.text), '\\S+')), list_distinct(regexp_extract_all(lower(b.text), '\\S+')))) >= 8 OR contains(lower(d.text), lower(b.text)) AS grounded FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS nth, count(*) OVER () AS n FROM benchmark) b ON b.nth = d.doc_id % b.n WHERE d.text IS NOT NULL""".replace("\\\\", "\\"))
