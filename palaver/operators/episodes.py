@@ -76,24 +76,35 @@ def ellis_distribution(findings: DataFrame, threshold: float = 0.40) -> DataFram
     return kinds.select("answer", "n", share.cast("int").alias("pct"), ((F.col("answer") == "very_disappointed") & (share >= threshold * 100)).alias("on_target"))
 
 
+def tenths(mean: Column) -> Column:
+    """A mean rounded to tenths as SQL does: ten times the double, its half away from zero.
+
+    ``round(x, 1)`` looks at the shortest decimal of x instead, and takes 6.6499999999999995, whose tenfold is 66.5, for 6.6.
+    """
+    return F.round(mean * 10) / 10
+
+
+def _halves(first: Column) -> list[Column]:
+    return [F.count("*").alias("n"), tenths(F.avg("score")).alias("average"), tenths(F.avg(F.when(first, F.col("score")))).alias("first_half"), tenths(F.avg(F.when(~first, F.col("score")))).alias("second_half")]
+
+
+def _trend(out: DataFrame) -> DataFrame:
+    trend = F.when(F.col("second_half") > F.col("first_half"), "improving").when(F.col("second_half") < F.col("first_half"), "declining").otherwise("stable")
+    return out.withColumn("trend", F.when(F.col("n") >= 4, trend))
+
+
 def half_trend(scores: DataFrame, within: list[str], order: list) -> DataFrame:
     """From four scores on: the mean of the first half against the rest."""
     w = Window.partitionBy(*within)
     rows = scores.withColumn("_r", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
-    first = F.col("_r") <= F.floor(F.col("_n") / 2)
-    out = rows.groupBy(*within).agg(F.count("*").alias("n"), F.round(F.avg("score"), 1).alias("average"), F.round(F.avg(F.when(first, F.col("score"))), 1).alias("first_half"), F.round(F.avg(F.when(~first, F.col("score"))), 1).alias("second_half"))
-    trend = F.when(F.col("second_half") > F.col("first_half"), "improving").when(F.col("second_half") < F.col("first_half"), "declining").otherwise("stable")
-    return out.withColumn("trend", F.when(F.col("n") >= 4, trend))
+    return _trend(rows.groupBy(*within).agg(*_halves(F.col("_r") <= F.floor(F.col("_n") / 2))))
 
 
 def overall_trend(scores: DataFrame, order: list) -> DataFrame:
     """:func:`half_trend` of all scores as one row: places come from one order cut into ranges, sums are partial."""
     placed = ordering.numbered(scores, order, "_r")
-    first = F.col("_r") <= F.floor(F.col("_n") / 2)
     rows = placed.join(F.broadcast(placed.agg(F.count("*").alias("_n"))), how="cross")  # one row
-    out = rows.agg(F.count("*").alias("n"), F.round(F.avg("score"), 1).alias("average"), F.round(F.avg(F.when(first, F.col("score"))), 1).alias("first_half"), F.round(F.avg(F.when(~first, F.col("score"))), 1).alias("second_half")).where("n > 0")
-    trend = F.when(F.col("second_half") > F.col("first_half"), "improving").when(F.col("second_half") < F.col("first_half"), "declining").otherwise("stable")
-    return out.withColumn("trend", F.when(F.col("n") >= 4, trend))
+    return _trend(rows.agg(*_halves(F.col("_r") <= F.floor(F.col("_n") / 2))).where("n > 0"))
 
 
 def top_findings(findings: DataFrame, most: int) -> DataFrame:
