@@ -28,12 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from palaver.llm.shared import table, worker_state
 
 #: Bytes of the words and pieces kept with their ids in each worker, about; it bounds memory only.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
 #: What an entry takes besides the characters of its word and its ids.
 ENTRY_BYTES = 170
 #: Characters of the longest word or piece that is kept.
 LONGEST_KEPT = 64
 
+#: Symbols of the longest piece whose queue is a plain list.
+SHORT = 48
+NO_RANK = 1 << 62
+
 _SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Letters and digits of Unicode 17 that the library's tables (Unicode 16) do not have yet.
 _LATER = regex.compile(
@@ -132,6 +136,8 @@ class BpeModel:
             symbols = [s for s in symbols if s is not None]
         n = len(symbols)
         ranks = self.ranks
+        if n <= SHORT:
+            return self._merge_short(symbols)
         # an entry is rank << 32 | place of the left symbol: the lowest rank first, the leftmost of equal ranks
         queue = []
         left = -1
@@ -161,6 +167,20 @@ class BpeModel:
                 heappush(queue, rank << 32 | h)
         return [s for s in symbols if s >= 0]
 
+    def _merge_short(self, symbols: list[int]) -> list[int]:
+        """The same merges for few symbols: the queue is the list of the neighbours' ranks, its least and leftmost found by a scan."""
+        get, made = self.ranks.get, self.made
+        queue = [get(left << 32 | right, NO_RANK) for left, right in zip(symbols, symbols[1:])]
+        while queue and (rank := min(queue)) < NO_RANK:
+            i = queue.index(rank)
+            symbols[i] = new = made[rank]
+            del symbols[i + 1], queue[i]
+            if i < len(queue):
+                queue[i] = get(new << 32 | symbols[i + 1], NO_RANK)
+            if i:
+                queue[i - 1] = get(symbols[i - 1] << 32 | new, NO_RANK)
+        return symbols
+
     def _split(self, word: str) -> list[str]:
         """Pre-tokens; what the library's older Unicode tables don't hold is no letter or digit."""
         if word.isascii() or not _LATER.search(word):

@@ -18,7 +18,7 @@ U64 = np.uint64
 
 
 #: Bytes of an Arrow batch between Spark and a Python worker; a longer row is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -62,3 +62,19 @@ def test_long_texts_without_spaces(spark):
     df = spark.createDataFrame([(k, text + str(k)) for k in range(3)], "doc_id bigint, text string")
     want = {k: len(LIBRARY.encode(text + str(k), add_special_tokens=False).ids) for k in range(3)}
     assert {r.doc_id: r.n_tokens for r in bpe.encode_documents(df, bpe.read_vocabulary(PATH), digests=True).collect()} == want
+
+
+def test_short_pieces_merge_as_long_ones_without_a_heap(monkeypatch):
+    model = bpe.BpeModel(bpe.read_vocabulary(bpe.default_vocabulary()))
+    draw = random.Random(7)
+    pieces = ["".join(draw.choice("aaabbelnst" if k % 3 else "aéß0中z") for _ in range(draw.randrange(1, 90))) for k in range(400)] + ["a" * 47, "a" * 48, "a" * 49]
+    with monkeypatch.context() as m:
+        m.setattr(bpe, "SHORT", 0)
+        want = [model.encode_piece(p) for p in pieces]
+    assert [model.encode_piece(p) for p in pieces] == want
+
+    def refused(*_):
+        raise AssertionError("a heap for a short piece")
+
+    monkeypatch.setattr(bpe, "heapify", refused)
+    assert model.encode_piece("thinestouble") and len(model.encode_piece("abcdefgh" * 6)) > 0
