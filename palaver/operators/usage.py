@@ -29,10 +29,13 @@ def dollars(c: str):
 
 
 def priced(usage: DataFrame, prices: DataFrame, default: tuple[float, float] = DEFAULT_PRICE) -> DataFrame:
-    """Entries with their cost from (model, price_in, price_out) per million tokens, exact and rounded to six decimals."""
+    """Entries with their cost from (model, price_in, price_out) per million tokens, exact and rounded to six decimals.
+
+    A price list has a row for each model, so it is broadcast: entries of a model, which may be most of all, stay where they are.
+    """
     at = [F.coalesce(F.col(c), F.lit(d)) for c, d in zip(("price_in", "price_out"), default, strict=True)]
     cost = F.col("input_tokens") * at[0] / 1e6 + F.col("output_tokens") * at[1] / 1e6
-    return usage.join(prices, "model", "left").withColumn("exact_cost", F.coalesce(cost, F.lit(0.0))).withColumn("cost_usd", F.round("exact_cost", 6)).drop("price_in", "price_out")
+    return usage.join(F.broadcast(prices), "model", "left").withColumn("exact_cost", F.coalesce(cost, F.lit(0.0))).withColumn("cost_usd", F.round("exact_cost", 6)).drop("price_in", "price_out")
 
 
 def over_budget(usage: DataFrame, limit: float, session: str, order: list) -> DataFrame:
