@@ -34,13 +34,21 @@ def match_labels(labels: DataFrame, resolved: DataFrame) -> DataFrame:
     return labels.join(best, ["call_id", "label"], "left").select(*keys, "cluster_id")
 
 
+#: Pairs of one call that a task lists and counts, about.
+PAIRS_A_TASK = 500_000
+
+
 def co_speakers(members: DataFrame, call: str = "call_id", member: str = "cluster_id") -> DataFrame:
     """Pairs of different members of a call and the number of calls they share (both directions).
 
-    Each pair is counted once, the smaller member first, and mirrored after its count.
+    Each pair is counted once, the smaller member first, and mirrored after its count.  Memberships are dealt out by call to so many
+    tasks that each makes about ``PAIRS_A_TASK`` pairs: what a task holds to count them does not grow with the input.
     """
-    once = members.select(F.col(call).alias("call_id"), F.col(member).alias("a")).where("a is not null").distinct()
-    pairs = once.join(once.withColumnRenamed("a", "b"), "call_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("calls"))
+    once = cut(members.select(F.col(call).alias("call_id"), F.col(member).alias("a")).where("a is not null and call_id is not null").distinct(), "members")
+    size = F.col("n").cast("double")
+    listed = once.groupBy("call_id").agg(F.count("*").alias("n")).agg(F.sum(size * (size - 1) / 2)).first()[0] or 0
+    dealt = once.repartition(int(listed // PAIRS_A_TASK) + 1, "call_id")
+    pairs = dealt.join(dealt.withColumnRenamed("a", "b"), "call_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("calls"))
     return pairs.select(F.explode(F.array(F.struct("a", "b", "calls"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "calls"))).alias("p")).select("p.*")
 
 
